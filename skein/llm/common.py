@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,24 +47,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bit_table(df: DataFrame, key: str, log2_bits: int) -> DataFrame:
-    """One row ``bits array<long>``: a bit for each slot that an xxhash64 of ``key`` falls in.
+def slot_bits(df: DataFrame, slot: Column, log2_bits: int) -> np.ndarray:
+    """A bit for each slot (0 to 2**log2_bits - 1) that df has, as 64-bit words.
 
-    Its size is fixed by log2_bits, whatever the input: at most 2**log2_bits / 64 words reach the
-    driver.  Every key of df passes :func:`has_bit`; a full table only lets more rows through.
+    The size is fixed by log2_bits, whatever the input; at most 2**log2_bits / 64 rows reach the driver.
     """
-    spark, n = df.sparkSession, 1 << log2_bits
-    slot = F.pmod(F.xxhash64(key), F.lit(n))
     found = (
         df.select(slot.alias("slot"))
-        .groupBy(F.shiftright("slot", 6).alias("word"))
+        .groupBy(F.shiftright("slot", 6).cast("long").alias("word"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
-        .collect()
+        .toArrow()
     )
-    table = [0] * (n // 64)
-    for row in found:
-        table[row["word"]] = row["bits"]
-    return spark.createDataFrame([(0, table)], "one int, bits array<bigint>")
+    table = np.zeros(1 << (log2_bits - 6), np.int64)
+    table[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return table.view(np.uint64)
+
+
+def bit_table(df: DataFrame, key: str, log2_bits: int) -> DataFrame:
+    """One row ``bits array<long>``: a bit for each slot that an xxhash64 of ``key`` falls in.
+
+    Every key of df passes :func:`has_bit`; a full table only lets more rows through.
+    """
+    slots = slot_bits(df, F.pmod(F.xxhash64(key), F.lit(1 << log2_bits)), log2_bits)
+    return df.sparkSession.createDataFrame([(0, slots.view(np.int64).tolist())], "one int, bits array<bigint>")
 
 
 def has_bit(df: DataFrame, key: str, table: DataFrame, log2_bits: int) -> DataFrame:
@@ -74,6 +80,22 @@ def has_bit(df: DataFrame, key: str, table: DataFrame, log2_bits: int) -> DataFr
     return df.withColumn("one", F.lit(0)).join(F.broadcast(table), "one").withColumn("maybe", hit).drop("one", "bits")
 
 
+def packed(docs: DataFrame, **more: Column) -> DataFrame:
+    """docs as one column _row, so that no name can clash, beside the columns in more."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *(c.alias(n) for n, c in more.items()))
+
+
+def without_ids(docs: DataFrame, gone: DataFrame, log2_bits: int = 22) -> DataFrame:
+    """docs without the rows whose doc_id is in gone (doc_id).
+
+    Rows that the filter of fixed size clears are not shuffled.
+    """
+    gone = written(gone.select(F.col("doc_id").alias("_id")).distinct(), "gone")
+    marked = has_bit(packed(docs, _id=F.col("doc_id")), "_id", bit_table(gone, "_id", log2_bits), log2_bits)
+    left = marked.where("maybe").join(gone, "_id", "left_anti")
+    return left.select("_row").union(marked.where("not maybe").select("_row")).select("_row.*")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, root): for each id in an edge (a, b), the smallest id of its component.
 

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import once, words
+from .common import once, packed, words
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -104,8 +104,7 @@ def _with(df: DataFrame, features, made: set[str], guard: Column | None = None)
 
 
 def _texts(df: DataFrame, text: str) -> DataFrame:
-    """The rows of df as one column _row, so that no name can clash, and their texts."""
-    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
+    return packed(df, _text=F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
 def order_by_sample(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:

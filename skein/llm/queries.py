@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, license_scan, quality, topk, url_filter
+import corpus_pipeline
+
+from . import bpe, chat, license_scan, line_dedup, mixing, ngram_join, quality, repeats, topk, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,10 +45,28 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = mixing.decided(_table(spark, sf_dir, "documents"))
+    return done.select(F.col("_row.doc_id").alias("doc_id"), *mixing.DIMS, F.col("tokens").cast("long").alias("n_tokens"), "weight", "probability", "kept")
+
+
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.counted(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select(F.col("_row.doc_id").alias("doc_id"), "n_lines", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op8_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_components(_table(spark, sf_dir, "documents").select("doc_id", "text"), n=4, percent=85)
+
+
 def op9_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -57,5 +77,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk, op2_quality, op3_chat, op5_license, op9_url, op10_bpe)}
+    made = (op1_topk, op2_quality, op3_chat, op4_repeats, op5_license, op6_mixing, op7_lines, op8_ngram, op9_url, op10_bpe, pipeline)
+    return {f.__name__: f for f in made}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
