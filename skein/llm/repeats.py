@@ -103,7 +103,7 @@ def _contexts(bits):
                 h, at, first, last = anchors(data, offsets)
                 if not len(h):
                     continue
-                slot = h >> np.uint64(64 - LOG2_ANCHORS)
+                slot = h & np.uint64((1 << LOG2_ANCHORS) - 1)  # an anchor's hash is a minimum, so its upper bits are low
                 hit = (table[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
                 h, at, first, last = h[hit], at[hit], first[hit], last[hit]
                 doc = np.searchsorted(offsets, at, "right") - 1
@@ -251,7 +251,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """(d, th, a, b) for rows (d, th, text): spans [a, b) of documents, unmerged."""
     spark = docs.sparkSession
     often = docs.select("text").mapInArrow(_anchor_hashes, "h long").groupBy("h").count().where("count > 1")
-    bits = spark.sparkContext.broadcast(slot_bits(often, F.shiftrightunsigned("h", 64 - LOG2_ANCHORS), LOG2_ANCHORS))
+    bits = spark.sparkContext.broadcast(slot_bits(often, F.col("h").bitwiseAND(F.lit((1 << LOG2_ANCHORS) - 1)), LOG2_ANCHORS))
     near = docs.mapInArrow(_contexts(bits), "h long, d long, th long, at long, o_min int, o_max int, around binary")
     return near.repartition("h").sortWithinPartitions("h").mapInArrow(_spans, "d long, th long, a long, b long")
 
