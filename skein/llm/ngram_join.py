@@ -153,41 +153,55 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int64), pa.int64()))
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """(node, grams binary) of the given nodes (node, rep), from the texts of their first documents."""
-    table = bit_table(nodes, "rep", LOG2_FILTER)
-    near = has_bit(docs.select("doc_id", "text"), "doc_id", table, LOG2_FILTER).where("maybe").select("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets reach the threshold: bitmaps first, then exact intersections.
+
+    Only the texts of the nodes' first documents move; their sets are made after that and grouped by
+    b, whose own set comes first in its group, so that a task holds two sets at a time.
+    """
+    roles = pairs.select("b", F.col("a").alias("node")).union(pairs.select("b", F.col("b").alias("node"))).distinct()
+    roles = written(roles.join(nodes.select("node", "rep"), "node").select("b", "node", F.col("rep").alias("doc_id")), "roles")
+    table = bit_table(roles.select("doc_id").distinct(), "doc_id", LOG2_FILTER)
+    texts = has_bit(docs.select("doc_id", "text"), "doc_id", table, LOG2_FILTER).where("maybe").select("doc_id", "text")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s for s in gram_sets(batch.column("text"), n) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "grams"])
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                made, asked = list(gram_sets(part.column("text"), n)), part.column("node").to_pylist()
+                same = pa.array([len(s) > 0 and _node(s) == x for s, x in zip(made, asked)], pa.bool_())
+                grams = pa.array([s.tobytes() for s in made], pa.binary())
+                yield pa.RecordBatch.from_arrays([x.filter(same) for x in (part.column("b"), part.column("node"), grams)], names=["b", "node", "grams"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, own = None, None
+        for batch in batches:
+            keep = []
+            for b, node, grams in zip(*(batch.column(c) for c in ("b", "node", "grams"))):
+                b, node, x = b.as_py(), node.as_py(), np.frombuffer(grams.as_py(), np.uint64)
+                if node == b:
+                    head, own = b, x
+                keep.append(node != b and head == b and _reaches(x, own, percent))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("node", "b")], names=["a", "b"])
 
-    found = near.mapInArrow(run, "node long, grams binary").join(nodes.select("node"), "node", "left_semi")
-    return found.groupBy("node").agg(F.min("grams").alias("grams"))
+    grouped = texts.join(roles, "doc_id").select("b", "node", "text").mapInArrow(sets, "b long, node long, grams binary").repartition("b")
+    return grouped.sortWithinPartitions("b", F.col("node") != F.col("b")).mapInArrow(compare, "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold: bitmaps first, then exact intersections."""
-    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("a_grams")), "a")
-    both = one.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("b_grams")), "b").select("a", "b", "a_grams", "b_grams")
+def _reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """overlap * 100 >= percent * union, which is total - overlap."""
+    total = len(x) + len(y)
+    words = 1 << max(0, (total // 64).bit_length())
+    differ = int(np.bitwise_count(_bitmap(x, words) ^ _bitmap(y, words)).sum())
+    if (total - differ) // 2 * (100 + percent) < percent * total:
+        return False
+    return len(np.intersect1d(x, y, assume_unique=True)) * (100 + percent) >= percent * total
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for at in range(0, batch.num_rows):
-                x, y = (np.frombuffer(batch.column(c)[at].as_py(), np.uint64) for c in ("a_grams", "b_grams"))
-                total = len(x) + len(y)
-                words = 1 << max(0, (total // 64).bit_length())
-                differ = int(np.bitwise_count(_bitmap(x, words) ^ _bitmap(y, words)).sum())
-                # overlap * 100 >= percent * (total - overlap)
-                ok = (total - differ) // 2 * (100 + percent) >= percent * total
-                if ok:
-                    ok = len(np.intersect1d(x, y, assume_unique=True)) * (100 + percent) >= percent * total
-                keep.append(ok)
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+def _bits_fit(a: str, b: str, total: Column, percent: int) -> Column:
+    """Whether two bitmaps leave room for the overlap that the threshold asks for."""
+    differ = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, c: s + c)
+    return F.floor((total - differ) / 2) * (100 + percent) >= total * percent
 
 
 def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
@@ -209,13 +223,12 @@ def linked(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[DataFrame, D
     lead = F.min(F.struct("rep", F.col("node").alias("lead"), F.col("n").alias("lead_n"))).over(tile)
     tiles = rows.withColumn("members", F.count("*").over(tile)).withColumn("first", lead).where("members > 1").select("gram", "node", "n", "first.lead", "first.lead_n")
     tiles = written(tiles, "tiles")
-    active = nodes.select("node", "rep").join(tiles.select("node").distinct(), "node", "left_semi")
-    sets = written(_sets(docs, active, n), "sets")
-
-    votes = tiles.where((F.col("node") != F.col("lead")) & _sizes_fit(F.col("n"), F.col("lead_n"), percent)).groupBy("node", "lead").count()
+    votes = tiles.where((F.col("node") != F.col("lead")) & _sizes_fit(F.col("n"), F.col("lead_n"), percent)).groupBy("node", "n", "lead", "lead_n").count()
+    votes = votes.join(nodes.select("node", "bits"), "node").join(nodes.select(F.col("node").alias("lead"), F.col("bits").alias("lead_bits")), "lead")
+    votes = votes.where(_bits_fit("bits", "lead_bits", F.col("n") + F.col("lead_n"), percent))
     lead_pairs = votes.groupBy("node").agg(F.max_by("lead", F.struct("count", "lead")).alias("b")).select(F.col("node").alias("a"), "b")
     lead_pairs = written(lead_pairs, "lead-pairs")
-    links = written(_verified(lead_pairs, sets, percent), "links")
+    links = written(_verified(docs, lead_pairs, nodes, n, percent), "links")
 
     known = components(links)
     root = F.coalesce("root", "node")
@@ -224,7 +237,6 @@ def linked(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[DataFrame, D
     mixed = written(rooted.join(mixed, "gram", "left_semi"), "mixed").join(nodes.select("node", "bits"), "node")
     left = mixed.withColumn("band", F.explode(F.array(_band(F.col("n"), percent), _band(F.col("n"), percent) + 1))).alias("l")
     right = mixed.withColumn("band", _band(F.col("n"), percent)).alias("r")
-    differ = F.aggregate(F.zip_with("l.bits", "r.bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, c: s + c)
     total = F.col("l.n") + F.col("r.n")
     fits = (
         (F.col("l.gram") == F.col("r.gram"))
@@ -232,12 +244,12 @@ def linked(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[DataFrame, D
         & (F.col("l.root") != F.col("r.root"))
         & ((F.col("l.n") < F.col("r.n")) | ((F.col("l.n") == F.col("r.n")) & (F.col("l.node") < F.col("r.node"))))
         & _sizes_fit(F.col("l.n"), F.col("r.n"), percent)
-        & (F.floor((total - differ) / 2) * (100 + percent) >= total * percent)
+        & _bits_fit("l.bits", "r.bits", total, percent)
     )
     rest = left.join(right, fits).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
     done = lead_pairs.union(lead_pairs.select("b", "a"))
     rest = written(rest.join(done, ["a", "b"], "left_anti"), "rest")
-    more = written(_verified(rest, sets, percent), "links")
+    more = written(_verified(docs, rest, nodes, n, percent), "links")
     return features, nodes, links.union(more)
 
 
