@@ -36,7 +36,7 @@ REACH = SIZE - GRAM
 #: Bits of the filters on anchor hashes and on documents: fixed sizes.
 LOG2_ANCHORS, LOG2_DOCS = 26, 22
 #: Anchors that a task looks at together (more only if one hash has more).
-TOGETHER = 20_000
+TOGETHER = 8_000
 _STEP = 0x5851F42D4C957F2D
 _BACK = pow(_STEP, -1, 1 << 64)
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are taken together up to so many bytes, so that a task's arrays stay small; a longer text comes alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
