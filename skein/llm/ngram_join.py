@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import bit_table, components, has_bit, without_ids, written
 from .textbytes import BYTE_HASH, byte_chunks, mix
 
-#: Cells of the frequency sketch, bits of the bitmap in tiles, and of the filters on documents: all fixed sizes.
-LOG2_CELLS, BITMAP_WORDS, LOG2_FILTER = 18, 16, 22
+#: Cells of the frequency sketch and bits of the filters on documents: fixed sizes.
+LOG2_CELLS, LOG2_FILTER = 18, 22
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _GAP = np.zeros(256, bool)
@@ -88,6 +88,11 @@ def _node(s: np.ndarray) -> int:
     return int(mix(np.array([mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum() + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
 
 
+def _words(size: int) -> int:
+    """Words of a set's bitmap: a power of two with at least a bit for each element."""
+    return 1 << max(3, (size // 64).bit_length())
+
+
 def _bitmap(s: np.ndarray, words: int) -> np.ndarray:
     """Bit b is the parity of the number of elements that fall on b."""
     odd = np.bincount((s % np.uint64(words * 64)).astype(np.int64), minlength=words * 64) & 1
@@ -139,7 +144,7 @@ def _features(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 nodes.append(_node(s) if size else None)
                 order = np.lexsort((s, often[(s >> np.uint64(64 - LOG2_CELLS)).astype(np.int64)]))
                 prefixes.append(s[order[: size - (percent * size + 99) // 100 + 1]].view(np.int64) if size else s.view(np.int64))
-                bits.append(_bitmap(s, BITMAP_WORDS))
+                bits.append(_bitmap(s, _words(size)))
             lists = [_lists(x) for x in (prefixes, bits)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), *lists], names=["doc_id", "n_shingles", "node", "prefix", "bits"])
 
@@ -191,7 +196,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, n: int, perce
 def _reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     """overlap * 100 >= percent * union, which is total - overlap."""
     total = len(x) + len(y)
-    words = 1 << max(0, (total // 64).bit_length())
+    words = _words(total)
     differ = int(np.bitwise_count(_bitmap(x, words) ^ _bitmap(y, words)).sum())
     if (total - differ) // 2 * (100 + percent) < percent * total:
         return False
@@ -200,7 +205,12 @@ def _reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 def _bits_fit(a: str, b: str, total: Column, percent: int) -> Column:
     """Whether two bitmaps leave room for the overlap that the threshold asks for."""
-    differ = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, c: s + c)
+    xor = lambda x, y: F.zip_with(x, y, lambda p, q: p.bitwiseXOR(q))
+    # sizes that can link differ by less than two, so one folding makes two bitmaps equally long
+    half = lambda x: xor(F.slice(x, F.lit(1), (F.size(x) / 2).cast("int")), F.slice(x, (F.size(x) / 2).cast("int") + 1, (F.size(x) / 2).cast("int")))
+    x = F.when(F.size(a) > F.size(b), half(F.col(a))).otherwise(F.col(a))
+    y = F.when(F.size(b) > F.size(a), half(F.col(b))).otherwise(F.col(b))
+    differ = F.aggregate(xor(x, y), F.lit(0), lambda s, c: s + F.bit_count(c))
     return F.floor((total - differ) / 2) * (100 + percent) >= total * percent
 
 
