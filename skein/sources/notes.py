@@ -1,0 +1,33 @@
+"""Folders of markdown files as tables, and tables as folders."""
+
+from __future__ import annotations
+
+from urllib.parse import unquote
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def read_notes(spark: SparkSession, folder: str) -> DataFrame:
+    """(file_name, stem, content, mtime) of the *.md files of one folder, empty files included."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(sc._jsc.hadoopConfiguration()).globStatus(sc._jvm.org.apache.hadoop.fs.Path(path, "*.md"))
+    empty = [(s.getPath().getName(), s.getModificationTime()) for s in found if s.getLen() == 0 and s.isFile()]
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(folder)
+    name = F.udf(unquote)(F.regexp_extract("path", "([^/]*)$", 1)) if any("%" in s.getPath().toUri().toString() for s in found) else F.regexp_extract("path", "([^/]*)$", 1)
+    full = files.select(name.alias("file_name"), F.decode("content", F.lit("UTF-8")).alias("content"), F.col("modificationTime").alias("mtime"))
+    none = spark.createDataFrame(empty, "file_name string, ms long").select("file_name", F.lit("").alias("content"), F.timestamp_millis("ms").alias("mtime"))
+    return full.union(none).withColumn("stem", F.regexp_replace("file_name", r"\.md$", "")).select("file_name", "stem", "content", "mtime")
+
+
+def write_version(df: DataFrame, table: str, version: int) -> str:
+    """A new version of a table; earlier ones stay readable while it is written."""
+    path = f"{table}/v={version:08d}"
+    df.write.mode("errorifexists").parquet(path)
+    return path
+
+
+def write_text(df: DataFrame, column: str, path: str) -> None:
+    """The values of one string column, each as one record of a text folder."""
+    df.select(column).write.mode("errorifexists").option("lineSep", "\n").text(path)
