@@ -197,7 +197,7 @@ def _reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     """overlap * 100 >= percent * union, which is total - overlap."""
     total = len(x) + len(y)
     words = _words(total)
-    differ = int(np.bitwise_count(_bitmap(x, words) ^ _bitmap(y, words)).sum())
+    differ = int(np.bitwise_count((_bitmap(x, words) ^ _bitmap(y, words)).view(np.uint64)).sum())  # of signed numbers it counts the absolute value
     if (total - differ) // 2 * (100 + percent) < percent * total:
         return False
     return len(np.intersect1d(x, y, assume_unique=True)) * (100 + percent) >= percent * total
