@@ -86,5 +86,57 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in made}
 
 
+def _op9_sql() -> str:
+    hit = lambda t: f"regexp_matches(u, '(^|[^a-z0-9]){t}([^a-z0-9]|$)')"
+    low = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    strict = " or ".join(map(hit, url_filter.STRICT))
+    soft = " + ".join(f"{w} * cast({hit(t)} as int)" for t, w in url_filter.SOFT.items())
+    rules = sorted(url_filter.RULES, key=lambda r: -len(r[1]))
+    fits = [(v, r, f"ends_with('.' || host, '.{r.partition('/')[0]}') and starts_with(path, '/{r.partition('/')[2]}')") for v, r in rules]
+    rule = "case " + " ".join(f"when {f} then '{r}'" for _, r, f in fits) + " end"
+    said = "case " + " ".join(f"when {f} then '{v}'" for v, _, f in fits) + f" when {strict} or {soft} >= {url_filter.SOFT_LIMIT} then 'block' else 'allow' end"
+    return (
+        f"with p as (select page_id, url, case when contains(url, '://') then substr(url, instr(url, '://') + 3) else '' end as rest from pages), "
+        f"q as (select page_id, {low.format('regexp_extract(rest, ' + chr(39) + '^([^/?#]*)' + chr(39) + ', 1)')} as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path, "
+        f"case when contains(url, '://') then {low.format('url')} else '' end as u from p) select page_id, host, path, {rule} as rule, {said} as verdict from q"
+    )
+
+
+def _op1_sql() -> str:
+    return (
+        "with e as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings where embedding is not null "
+        "and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0), "
+        "d as (select a.vec_id as query_id, b.vec_id, cast(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) as bigint) as score from e a, e b where a.vec_id % 50 = 0 and a.vec_id != b.vec_id) "
+        "select query_id, cast(rank as integer) as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from d) where rank <= 5"
+    )
+
+
+def _op3_sql() -> str:
+    says = chat.END + chat.START + "assistant ok"
+    fixed = len(chat.START) + len(chat.END) + 2
+    return (
+        f"with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all select -1, 0, 'user', '{says}' union all select -1, 1, 'assistant', '{says}'), "
+        "g as (select conv_id, count(*) as n_turns, string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text) as said, "
+        "coalesce(string_agg(text, '' order by turn, text) filter (where role = 'assistant'), '') as loss, "
+        f"sum(length(role) + length(regexp_replace(text, '<(\\\\*)\\|', '<\\\\\\1|', 'g')) + {fixed}) as formatted_chars from t group by conv_id) "
+        "select conv_id, n_turns, sha256(said) as turns_sha256, length(loss) as loss_chars, sha256(loss) as loss_sha256, cast(formatted_chars as bigint) as formatted_chars from g"
+    )
+
+
+def _op2_sql() -> str:
+    rejects = " or ".join(f"({r.rejects})" for r in quality.RULES)
+    base = " or ".join(f"({r.rejects})" for r in quality.BASE_RULES)
+    return (
+        "with d as (select doc_id, coalesce(text, '') as text from documents), "
+        "w as (select doc_id, text, regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+') as ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \\t\\n\\x0B\\f\\r]')) as ls from d), "
+        "g as (select doc_id, i, array_to_string(ws[i : i + 4], ' ') as gram from (select doc_id, ws, unnest(range(1, len(ws) - 3)) as i from w)), "
+        "r as (select doc_id, count(distinct j) as n from (select doc_id, unnest(range(i, i + 5)) as j from (select *, count(*) over (partition by doc_id, gram) as c from g) where c > 1) group by 1), "
+        "f as (select doc_id, len(ws) as n_words, length(array_to_string(ws, '')) as word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols, "
+        "len(ls) - len(list_distinct(ls)) as n_dup_lines, len(ls) as n_lines, coalesce(r.n, 0) as n_repeat_words, length(text) - length(regexp_replace(text, '\\p{Lu}', '', 'g')) as n_upper from w left join r using (doc_id)) "
+        f"select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({base}) as base_failed, not ({rejects}) as kept from f"
+    )
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the operators that it can express; the tests hold the others against brute force."""
+    return {"op1_topk": _op1_sql(), "op2_quality": _op2_sql(), "op3_chat": _op3_sql(), "op9_url": _op9_sql()}
