@@ -3,13 +3,16 @@
 A line of at least MIN_CHARS characters goes if an equal line, or one within THRESHOLD edits, stands
 earlier in the corpus (smaller doc_id, or the same document and a smaller line number).
 
-Edits: a line of length l is cut into THRESHOLD + 1 segments, so a line within THRESHOLD edits of it
-holds one of them unchanged.  A longer line (by at most THRESHOLD) is probed for the segments that a
-line of each length would have, at the few starts where a match leaves no more edits than remain
-(the multi-match bounds of partition-based similarity joins).  Segments are keyed by length, number
-and hash.  Keys that only one line has fall out in one aggregation over hashes; the texts of the
-others are joined by key, compared by letter parities (one edit changes two at most) and verified by
-a banded edit distance.
+Edits: lengths fall into bands, and a line is cut into THRESHOLD + 1 blocks as wide as the band's
+shortest line allows, the first ones counted from its start and the last ones from its end.  Of two
+lines within THRESHOLD edits some block has none of them, at most i - 1 edits before and at most
+THRESHOLD + 1 - i behind it (the multi-match bounds of partition-based similarity joins), so it is
+shifted by at most the smaller of the two.  A block gives a segment, shorter by that shift, at its
+start and probes further in; with the block whole, one of the lines has the other's segment among
+its probes.  Segments are keyed by band, number and hash; a line just above a band's lower end takes
+the band below as well.  Keys that only one line has fall out in one aggregation over hashes; the
+texts of the others are joined by key, compared by letter parities (one edit changes two at most)
+and verified by a banded edit distance.
 
 Defined cases: a null text has no lines and stays null; rows that repeat a doc_id with the same text
 have their lines at equal places, so neither removes the other's; a null doc_id comes first; an empty
@@ -36,24 +39,25 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return rows.where(F.length("line") >= min_chars)
 
 
-def _segment(size: Column, i: int, threshold: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of segment i, from 1, of a line of that length."""
-    base = F.floor(size / (threshold + 1)).cast("int")
-    start = base * (i - 1)
-    return start, (size - start if i == threshold + 1 else base)
+def _band(n: Column, threshold: int) -> Column:
+    """The shortest length of the band of length n: four bands from one power of two to the next, but none narrower than threshold + 1."""
+    narrowest = 1 << threshold.bit_length()
+    octave = F.length(F.bin(n)) - 1
+    step = F.greatest(F.lit(narrowest), F.pow(F.lit(2.0), octave - 2).cast("int"))
+    return n - n % step
 
 
-def _keys(line: Column, n: Column, threshold: int, min_chars: int) -> Column:
-    """array<struct<key, own>>: own tells the line's segments from probes for other lines' segments."""
+def _keys(line: Column, n: Column, band: Column, threshold: int) -> Column:
+    """array<struct<key, own>>: own tells a line's segments from its probes for other lines' segments."""
     out = []
-    for less in range(threshold + 1):
-        size = n - less
-        for i in range(1, threshold + 2):
-            start, width = _segment(size, i, threshold)
-            rest = threshold + 1 - i
-            for off in range(max(1 - i, less - rest), min(i - 1, less + rest) + 1):
-                key = F.xxhash64(size, F.lit(i), F.substring(line, start + (1 + off), width))
-                out.append(F.struct(F.when(size >= min_chars, key).alias("key"), F.lit(less == 0 and off == 0).alias("own")))
+    block = F.floor(band / (threshold + 1)).cast("int")
+    for i in range(1, threshold + 2):
+        before, behind = i - 1, threshold + 1 - i
+        start = block * before if before <= behind else n - block * (behind + 1)
+        shift = min(before, behind)
+        for off in range(shift + 1):
+            segment = F.substring(line, start + (1 + off), F.greatest(block - shift, F.lit(0)))
+            out.append(F.struct(F.xxhash64(band, F.lit(i), segment).alias("key"), F.lit(off == 0).alias("own")))
     return F.array(*out)
 
 
@@ -68,8 +72,11 @@ def _parities(line: Column) -> Column:
 def edit_links(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """(a, b): hashes of different lines within threshold edits, each pair both ways."""
     lines = _lines(docs, min_chars)
-    exploded = lines.select("line", F.length("line").alias("n")).select("line", F.explode(_keys(F.col("line"), F.col("n"), threshold, min_chars)).alias("k"))
-    keyed = exploded.select("line", "k.key", "k.own").where("key is not null")
+    n = F.length("line")
+    band, below = _band(n, threshold), _band(F.greatest(n - threshold, F.lit(1)), threshold)
+    banded = lines.select("line", n.alias("n"), F.explode(F.when(band == below, F.array(band)).otherwise(F.array(band, below))).alias("band"))
+    exploded = banded.select("line", F.explode(_keys(F.col("line"), F.col("n"), F.col("band"), threshold)).alias("k"))
+    keyed = exploded.select("line", "k.key", "k.own")
     shared = keyed.select("key", F.xxhash64("line").alias("id")).groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low != high").select("key")
     shared = written(shared, "shared-keys")
     near = has_bit(keyed, "key", bit_table(shared, "key", LOG2_KEYS), LOG2_KEYS).where("maybe").groupBy("key", "own", "line").agg(F.lit(1).alias("one"))
