@@ -243,10 +243,12 @@ def linked(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[DataFrame, D
     known = components(links)
     root = F.coalesce("root", "node")
     rooted = tiles.join(known.withColumnRenamed("id", "node"), "node", "left").select("gram", "node", "n", root.alias("root"))
-    mixed = rooted.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("gram")
-    mixed = written(rooted.join(mixed, "gram", "left_semi"), "mixed").join(nodes.select("node", "bits"), "node")
-    left = mixed.withColumn("band", F.explode(F.array(_band(F.col("n"), percent), _band(F.col("n"), percent) + 1))).alias("l")
-    right = mixed.withColumn("band", _band(F.col("n"), percent)).alias("r")
+    # a tile is looked at by bands: only where a band and the next one hold several components do bitmaps move
+    at = _band(F.col("n"), percent)
+    banded = rooted.select("gram", "node", "n", "root", F.posexplode(F.array(at, at + 1)).alias("above", "band"))
+    mixed = banded.groupBy("gram", "band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("above").alias("above")).where("low != high and above = 0").select("gram", "band")
+    mixed = written(banded.join(mixed, ["gram", "band"], "left_semi"), "mixed").join(nodes.select("node", "bits"), "node")
+    left, right = mixed.alias("l"), mixed.where("above = 0").alias("r")
     total = F.col("l.n") + F.col("r.n")
     fits = (
         (F.col("l.gram") == F.col("r.gram"))
