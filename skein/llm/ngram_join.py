@@ -35,6 +35,8 @@ from .textbytes import BYTE_HASH, byte_chunks, mix
 
 #: Cells of the frequency sketch and bits of the filters on documents: fixed sizes.
 LOG2_CELLS, LOG2_FILTER = 18, 22
+#: Nodes that are compared with one node in a group; larger groups are split.
+GROUP = 64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _GAP = np.zeros(256, bool)
@@ -162,10 +164,13 @@ def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, n: int, perce
     """The pairs (a, b) whose sets reach the threshold: bitmaps first, then exact intersections.
 
     Only the texts of the nodes' first documents move; their sets are made after that and grouped by
-    b, whose own set comes first in its group, so that a task holds two sets at a time.
+    b, whose own set comes first in its group, so that a task holds two sets at a time.  A group of
+    more than GROUP nodes is split into parts of about that many, each with b's set.
     """
-    roles = pairs.select("b", F.col("a").alias("node")).union(pairs.select("b", F.col("b").alias("node"))).distinct()
-    roles = written(roles.join(nodes.select("node", "rep"), "node").select("b", "node", F.col("rep").alias("doc_id")), "roles")
+    parts = F.ceil(F.col("count") / GROUP)
+    pairs = pairs.join(pairs.groupBy("b").count(), "b").select("b", "a", F.pmod(F.xxhash64("a"), parts).alias("part"))
+    roles = pairs.select("b", "part", F.col("a").alias("node")).union(pairs.select("b", "part", F.col("b").alias("node"))).distinct()
+    roles = written(roles.join(nodes.select("node", "rep"), "node").select("b", "part", "node", F.col("rep").alias("doc_id")), "roles")
     table = bit_table(roles.select("doc_id").distinct(), "doc_id", LOG2_FILTER)
     texts = has_bit(docs.select("doc_id", "text"), "doc_id", table, LOG2_FILTER).where("maybe").select("doc_id", "text")
 
@@ -176,7 +181,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, n: int, perce
                 made, asked = list(gram_sets(part.column("text"), n)), part.column("node").to_pylist()
                 same = pa.array([len(s) > 0 and _node(s) == x for s, x in zip(made, asked)], pa.bool_())
                 grams = pa.array([s.tobytes() for s in made], pa.binary())
-                yield pa.RecordBatch.from_arrays([x.filter(same) for x in (part.column("b"), part.column("node"), grams)], names=["b", "node", "grams"])
+                yield pa.RecordBatch.from_arrays([x.filter(same) for x in (part.column("b"), part.column("part"), part.column("node"), grams)], names=["b", "part", "node", "grams"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, own = None, None
@@ -189,8 +194,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, n: int, perce
                 keep.append(node != b and head == b and _reaches(x, own, percent))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("node", "b")], names=["a", "b"])
 
-    grouped = texts.join(roles, "doc_id").select("b", "node", "text").mapInArrow(sets, "b long, node long, grams binary").repartition("b")
-    return grouped.sortWithinPartitions("b", F.col("node") != F.col("b")).mapInArrow(compare, "a long, b long").distinct()
+    grouped = texts.join(roles, "doc_id").select("b", "part", "node", "text").mapInArrow(sets, "b long, part long, node long, grams binary").repartition("b", "part")
+    return grouped.sortWithinPartitions("b", "part", F.col("node") != F.col("b")).mapInArrow(compare, "a long, b long").distinct()
 
 
 def _reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:

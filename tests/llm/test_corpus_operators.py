@@ -216,6 +216,14 @@ def test_mixing_rows(spark):
     assert mixing.sampled(docs.limit(0)).count() == 0
 
 
+def test_ngram_large_group(spark):
+    """More near copies of one text than a group of comparisons holds, and as many texts apart."""
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, f"{base} end{i}") for i in range(200)] + [(1000 + i, " ".join(f"x{i}_{k}" for k in range(30))) for i in range(200)]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.join_components(make(spark, rows)).collect()}
+    assert got == {i: 0 if i < 1000 else i for i, _ in rows}
+
+
 def test_pipeline(spark):
     table = [r.asDict() for r in read(spark).collect()]
     rules = lambda t: (lambda w, c, s, d, r, base: not base and 100 * s <= 5 * c and 100 * sum(ch.isupper() for ch in t) <= 50 * c)(*brute.op2(t))
