@@ -69,15 +69,15 @@ def bit_table(df: DataFrame, key: str, log2_bits: int) -> DataFrame:
     Every key of df passes :func:`has_bit`; a full table only lets more rows through.
     """
     slots = slot_bits(df, F.pmod(F.xxhash64(key), F.lit(1 << log2_bits)), log2_bits)
-    return df.sparkSession.createDataFrame([(0, slots.view(np.int64).tolist())], "one int, bits array<bigint>")
+    return df.sparkSession.createDataFrame([(0, slots.view(np.int64).tolist())], "_one int, _bits array<bigint>")
 
 
 def has_bit(df: DataFrame, key: str, table: DataFrame, log2_bits: int) -> DataFrame:
     """df with a column ``maybe``: whether key's slot is set.  The one row of the table is broadcast."""
     slot = F.pmod(F.xxhash64(key), F.lit(1 << log2_bits))
-    word = F.get(F.col("bits"), F.shiftright(slot, 6).cast("int"))
+    word = F.get(F.col("_bits"), F.shiftright(slot, 6).cast("int"))
     hit = F.getbit(word, slot.bitwiseAND(F.lit(63)).cast("int")) == 1
-    return df.withColumn("one", F.lit(0)).join(F.broadcast(table), "one").withColumn("maybe", hit).drop("one", "bits")
+    return df.withColumn("_one", F.lit(0)).join(F.broadcast(table), "_one").withColumn("maybe", hit).drop("_one", "_bits")
 
 
 def packed(docs: DataFrame, **more: Column) -> DataFrame:

@@ -3,7 +3,9 @@
 A document's set is its distinct word n-grams as 64-bit hashes; documents with equal sets share one
 node (a 64-bit hash of the set).  Hashes have one global order, rarest first as far as a sketch of
 fixed size can tell, and two sets that reach the threshold share one of the first hashes of each
-(prefix filter), so a tile holds the nodes with one such hash.
+(prefix filter), so a tile holds the nodes with one such hash.  Of two such sets the smaller one has
+it among still fewer of its first hashes, as its overlap has to reach 2 t / (1 + t) of its size and
+not only t; tiles and bands in which no node has it so early are left out.
 
 Links are found in two steps.  First each node is compared with one leader only: the oldest node of
 most of its tiles.  That connects the usual group of near copies with one comparison each.  Then
@@ -91,10 +93,20 @@ def _node(s: np.ndarray) -> int:
 
 
 def _words(size: int) -> int:
-    """Words of a set's bitmap: a power of two with at least a bit for each element."""
+    """Words of a bitmap: a power of two with at least a bit for each element."""
     return 1 << max(3, (size // 64).bit_length())
 
 
+def _tile_words(size: int, percent: int) -> int:
+    """Words of the bitmaps that tiles move: a power of two.
+
+    Two sets of a size that can link differ in at most 2 (1 - t) / (1 + t) of that size, and bitmaps
+    of unrelated sets in half their bits, so three times as many bits as the first tell them apart.
+    """
+    bits = 6 * size * (100 - percent) // (100 + percent)
+    return 1 << max(2, (bits // 64).bit_length())
+
+
 def _bitmap(s: np.ndarray, words: int) -> np.ndarray:
     """Bit b is the parity of the number of elements that fall on b."""
     odd = np.bincount((s % np.uint64(words * 64)).astype(np.int64), minlength=words * 64) & 1
@@ -146,7 +158,7 @@ def _features(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 nodes.append(_node(s) if size else None)
                 order = np.lexsort((s, often[(s >> np.uint64(64 - LOG2_CELLS)).astype(np.int64)]))
                 prefixes.append(s[order[: size - (percent * size + 99) // 100 + 1]].view(np.int64) if size else s.view(np.int64))
-                bits.append(_bitmap(s, _words(size)))
+                bits.append(_bitmap(s, _tile_words(size, percent)))
             lists = [_lists(x) for x in (prefixes, bits)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), *lists], names=["doc_id", "n_shingles", "node", "prefix", "bits"])
 
@@ -228,15 +240,26 @@ def _band(size: Column, percent: int) -> Column:
     return F.floor(F.log(size.cast("double")) / F.lit(-np.log(percent / 100)) + 1e-9).cast("int")
 
 
+def _early(pos: Column, size: Column, percent: int) -> Column:
+    """Whether the hash at pos, from 0, can be the first that a set shares with one that is as large or larger."""
+    return size * (2 * percent) <= (size - pos) * (100 + percent)
+
+
 def linked(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(features, nodes, links): links (a, b) between nodes connect what the threshold connects."""
     features = written(_features(docs, n, percent), "features")
-    nodes = features.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
-    nodes = written(nodes, "nodes")
-    rows = nodes.select("node", "rep", "n", F.explode("prefix").alias("gram"))
+    # prefixes and bitmaps move only for sets that several documents may have
+    sets = features.where("node is not null")
+    copied = sets.groupBy("node").count().where("count > 1").select("node")
+    sets = has_bit(sets, "node", bit_table(copied, "node", LOG2_FILTER), LOG2_FILTER)
+    nodes = sets.where("maybe").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
+    nodes = written(nodes.union(sets.where("not maybe").select("node", "doc_id", "n_shingles", "prefix", "bits")), "nodes")
+    rows = nodes.select("node", "rep", "n", F.posexplode("prefix").alias("pos", "gram"))
+    rows = rows.select("gram", "node", "rep", "n", _early(F.col("pos"), F.col("n"), percent).alias("early"))
     tile = W.partitionBy("gram")
     lead = F.min(F.struct("rep", F.col("node").alias("lead"), F.col("n").alias("lead_n"))).over(tile)
-    tiles = rows.withColumn("members", F.count("*").over(tile)).withColumn("first", lead).where("members > 1").select("gram", "node", "n", "first.lead", "first.lead_n")
+    tiles = rows.withColumn("members", F.count("*").over(tile)).withColumn("some", F.max("early").over(tile)).withColumn("first", lead)
+    tiles = tiles.where("members > 1 and some").select("gram", "node", "n", "early", "first.lead", "first.lead_n")
     tiles = written(tiles, "tiles")
     votes = tiles.where((F.col("node") != F.col("lead")) & _sizes_fit(F.col("n"), F.col("lead_n"), percent)).groupBy("node", "n", "lead", "lead_n").count()
     votes = votes.join(nodes.select("node", "bits"), "node").join(nodes.select(F.col("node").alias("lead"), F.col("bits").alias("lead_bits")), "lead")
@@ -247,13 +270,15 @@ def linked(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[DataFrame, D
 
     known = components(links)
     root = F.coalesce("root", "node")
-    rooted = tiles.join(known.withColumnRenamed("id", "node"), "node", "left").select("gram", "node", "n", root.alias("root"))
+    rooted = tiles.join(known.withColumnRenamed("id", "node"), "node", "left").select("gram", "node", "n", "early", root.alias("root"))
     # a tile is looked at by bands: only where a band and the next one hold several components do bitmaps move
     at = _band(F.col("n"), percent)
-    banded = rooted.select("gram", "node", "n", "root", F.posexplode(F.array(at, at + 1)).alias("above", "band"))
-    mixed = banded.groupBy("gram", "band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("above").alias("above")).where("low != high and above = 0").select("gram", "band")
+    bands = F.when(F.col("early"), F.array(at, at + 1)).otherwise(F.array(at))
+    banded = rooted.select("gram", "node", "n", "root", "early", F.posexplode(bands).alias("above", "band"))
+    mixed = banded.groupBy("gram", "band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("above").alias("above"), F.max("early").alias("some"))
+    mixed = mixed.where("low != high and above = 0 and some").select("gram", "band")
     mixed = written(banded.join(mixed, ["gram", "band"], "left_semi"), "mixed").join(nodes.select("node", "bits"), "node")
-    left, right = mixed.alias("l"), mixed.where("above = 0").alias("r")
+    left, right = mixed.where("early").alias("l"), mixed.where("above = 0").alias("r")
     total = F.col("l.n") + F.col("r.n")
     fits = (
         (F.col("l.gram") == F.col("r.gram"))
