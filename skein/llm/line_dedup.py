@@ -1,18 +1,23 @@
 """Line dedup by a segment-partition edit join, in DataFrame functions only.
 
-A line of at least MIN_CHARS characters goes if an equal line, or one within THRESHOLD edits, stands
-earlier in the corpus (smaller doc_id, or the same document and a smaller line number).
-
-Edits: lengths fall into bands, and a line is cut into THRESHOLD + 1 blocks as wide as the band's
-shortest line allows, the first ones counted from its start and the last ones from its end.  Of two
-lines within THRESHOLD edits some block has none of them, at most i - 1 edits before and at most
-THRESHOLD + 1 - i behind it (the multi-match bounds of partition-based similarity joins), so it is
-shifted by at most the smaller of the two.  A block gives a segment, shorter by that shift, at its
-start and probes further in; with the block whole, one of the lines has the other's segment among
-its probes.  Segments are keyed by band, number and hash; a line just above a band's lower end takes
-the band below as well.  Keys that only one line has fall out in one aggregation over hashes; the
-texts of the others are joined by key, compared by letter parities (one edit changes two at most)
-and verified by a banded edit distance.
+A line of at least MIN_CHARS characters goes if an equal or a near line stands earlier in the corpus
+(smaller doc_id, or the same document and a smaller line number).  Two lines are near if their edit
+distance is at most THRESHOLD or one for each SHARE characters of the shorter line's band (its lower
+end), whichever is more; bands are four from one power of two to the next.
+
+Edits: a line is cut into one block more than its band allows edits, as wide as the band's shortest
+line allows, the first ones counted from its start and the last ones from its end.  Of two near lines
+some block i has none of the t edits, at most i - 1 edits before and at most t + 1 - i behind it (the
+multi-match bounds of partition-based similarity joins), so it is shifted by at most the smaller of
+the two.  A block gives a segment, shorter by that shift, at its start and probes further in; with the
+block whole, one of the lines has the other's segment among its probes.  Their number grows with the
+square of t, so bands from LONG on take strings of block - step + 1 characters instead: a block has
+those at its first step places, and the line has one at each step-th place, so a block that is whole
+holds one of the other line's.  Segments are keyed by band, number and hash; a line that a band's
+edits can bring in from above takes the band below as well.  Keys that only one line has fall out in
+one aggregation over hashes; the pairs of lines that share the others are made by hashes, and their
+texts are compared by letter parities (one edit changes two at most) and verified by a banded edit
+distance.
 
 Defined cases: a null text has no lines and stays null; rows that repeat a doc_id with the same text
 have their lines at equal places, so neither removes the other's; a null doc_id comes first; an empty
@@ -27,6 +32,10 @@ from pyspark.sql import functions as F
 from .common import bit_table, has_bit, once, packed, written
 
 THRESHOLD, MIN_CHARS = 2, 20
+#: Characters of a band's lower end for each edit allowed, and the band from which on strings have no numbers.
+SHARE, LONG = 50, 2048
+#: Probes of a long line that are cut from one piece of it.
+PIECE = 16
 #: Bits of the filters on segment keys and on documents: fixed sizes.
 LOG2_KEYS, LOG2_DOCS = 22, 22
 #: Letters whose parities are compared before a distance is computed.
@@ -47,18 +56,38 @@ def _band(n: Column, threshold: int) -> Column:
     return n - n % step
 
 
-def _keys(line: Column, n: Column, band: Column, threshold: int) -> Column:
-    """array<struct<key, own>>: own tells a line's segments from its probes for other lines' segments."""
-    out = []
-    block = F.floor(band / (threshold + 1)).cast("int")
-    for i in range(1, threshold + 2):
-        before, behind = i - 1, threshold + 1 - i
-        start = block * before if before <= behind else n - block * (behind + 1)
-        shift = min(before, behind)
-        for off in range(shift + 1):
-            segment = F.substring(line, start + (1 + off), F.greatest(block - shift, F.lit(0)))
-            out.append(F.struct(F.xxhash64(band, F.lit(i), segment).alias("key"), F.lit(off == 0).alias("own")))
-    return F.array(*out)
+def _edits(band: Column, threshold: int) -> Column:
+    """Edits allowed between two lines of which the shorter one is of that band."""
+    return F.greatest(F.lit(threshold), F.floor(band / SHARE).cast("int"))
+
+
+def _keyed(lines: DataFrame, threshold: int) -> DataFrame:
+    """(id, t, key, own) for lines (line): own tells a line's segments from its probes for other lines' segments."""
+    n, t, band, block, step, i, off = (F.col(c) for c in ("n", "t", "band", "block", "step", "i", "off"))
+    df = lines.select("line", F.xxhash64("line").alias("id"), F.length("line").alias("n"))
+    high = _band(n, threshold)
+    below = _band(F.greatest(high - 1, F.lit(1)), threshold)
+    reached = (below < high) & (n - _edits(below, threshold) < high)
+    df = df.select("*", F.explode(F.when(reached, F.array(high, below)).otherwise(F.array(high))).alias("band"))
+    df = df.withColumn("t", _edits(band, threshold)).withColumn("block", F.floor(band / (t + 1)).cast("int"))
+    df = df.withColumn("step", F.when(band >= LONG, F.floor(F.sqrt("block")).cast("int")))
+    size = block - step + 1
+    # probes of long lines go in pieces of PIECE; strings are cut from pieces, not from whole lines
+    probes = F.floor((n - size) / step).cast("int") + 1
+    more = F.when(step.isNull(), 0).otherwise(F.ceil(probes / PIECE).cast("int"))
+    df = df.withColumn("probes", probes).select("*", F.explode(F.sequence(F.lit(1), t + 1 + more)).alias("i"))
+    before, behind, piece = i - 1, t + 1 - i, i - t - 2
+    begin = F.when(step.isNull() & (before > behind), n - block * (behind + 1)).when(i <= t + 1, block * before).otherwise(piece * step * PIECE)
+    wide = F.when(i <= t + 1, block).otherwise(step * (PIECE - 1) + size)
+    shift = F.least(before, behind)
+    last = F.when(step.isNull(), shift).when(i <= t + 1, step - 1).otherwise(F.least(F.col("probes") - piece * PIECE, F.lit(PIECE)) - 1)
+    width = F.when(step.isNull(), F.greatest(block - shift, F.lit(0))).otherwise(size)
+    cut = df.select("id", "t", "band", F.substring("line", begin + 1, wide).alias("cut"), last.alias("last"), width.alias("width"),
+        F.when(i <= t + 1, 1).otherwise(step).alias("stride"), F.when(step.isNull(), i).otherwise(0).alias("number"), (step.isNotNull() & (i <= t + 1)).alias("all_own"), (i <= t + 1).alias("blocks"))
+    cut = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("off"))
+    segment = F.substring("cut", off * F.col("stride") + 1, F.col("width"))
+    own = F.col("all_own") | (F.col("blocks") & (off == 0))
+    return cut.select("id", "t", F.xxhash64("band", "number", segment).alias("key"), own.alias("own"))
 
 
 def _parities(line: Column) -> Column:
@@ -70,27 +99,26 @@ def _parities(line: Column) -> Column:
 
 
 def edit_links(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(a, b): hashes of different lines within threshold edits, each pair both ways."""
-    lines = _lines(docs, min_chars)
-    n = F.length("line")
-    band, below = _band(n, threshold), _band(F.greatest(n - threshold, F.lit(1)), threshold)
-    banded = lines.select("line", n.alias("n"), F.explode(F.when(band == below, F.array(band)).otherwise(F.array(band, below))).alias("band"))
-    exploded = banded.select("line", F.explode(_keys(F.col("line"), F.col("n"), F.col("band"), threshold)).alias("k"))
-    keyed = exploded.select("line", "k.key", "k.own")
-    shared = keyed.select("key", F.xxhash64("line").alias("id")).groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low != high").select("key")
+    """(a, b): hashes of different lines that are near, each pair both ways."""
+    lines = _lines(docs, min_chars).select("line")
+    keyed = _keyed(lines, threshold)
+    shared = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low != high").select("key")
     shared = written(shared, "shared-keys")
-    near = has_bit(keyed, "key", bit_table(shared, "key", LOG2_KEYS), LOG2_KEYS).where("maybe").groupBy("key", "own", "line").agg(F.lit(1).alias("one"))
-    near = near.join(shared, "key", "left_semi").select("key", "own", "line", _parities(F.col("line")).alias("odd"))
-    near = written(near, "near-lines")
+    near = has_bit(keyed, "key", bit_table(shared, "key", LOG2_KEYS), LOG2_KEYS).where("maybe").groupBy("key", "own", "id").agg(F.max("t").alias("t"))
+    near = written(near.join(shared, "key", "left_semi"), "near-lines")
     left, right = near.where("own").alias("l"), near.alias("r")
-    close = (
-        (F.col("l.key") == F.col("r.key"))
-        & (F.col("l.line") != F.col("r.line"))
-        & (F.bit_count(F.col("l.odd").bitwiseXOR(F.col("r.odd"))) <= 2 * threshold)
-        & (F.levenshtein("l.line", "r.line", threshold) >= 0)
-    )
-    pairs = left.join(right, close).select(F.xxhash64("l.line").alias("a"), F.xxhash64("r.line").alias("b"))
-    return pairs.union(pairs.select("b", "a")).distinct()
+    pairs = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.id") != F.col("r.id")))
+    pairs = pairs.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b"), "l.t").groupBy("a", "b").agg(F.max("t").alias("t"))
+    pairs = written(pairs, "line-pairs")
+    ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "paired-lines")
+    texts = has_bit(lines.select(F.xxhash64("line").alias("id"), "line"), "id", bit_table(ids, "id", LOG2_KEYS), LOG2_KEYS).where("maybe")
+    texts = texts.groupBy("id", "line").agg(F.lit(1).alias("one")).join(ids, "id", "left_semi")
+    texts = written(texts.select("id", "line", _parities(F.col("line")).alias("odd")), "near-texts")
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x"), F.col("odd").alias("x_odd")), "a")
+    both = both.join(texts.select(F.col("id").alias("b"), F.col("line").alias("y"), F.col("odd").alias("y_odd")), "b")
+    close = (F.bit_count(F.col("x_odd").bitwiseXOR(F.col("y_odd"))) <= 2 * F.col("t")) & F.expr("levenshtein(x, y, t) >= 0")
+    links = both.where(close).select("a", "b")
+    return links.union(links.select("b", "a")).distinct()
 
 
 def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
