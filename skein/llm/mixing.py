@@ -2,15 +2,16 @@
 
 Tokens are summed by cell (source, language, topic).  The cells' weights are raked: scaled in turn so
 that each marginal meets its target, until all do.  A document is kept with probability
-min(1, keep * weight / tokens) of its cell, by a hash of its doc_id, so that the same documents are
-kept each time.  By default the targets are the marginals' own shares to the power TEMPER, which
+rate * weight / tokens of its cell, by a hash of its doc_id, so that the same documents are kept each
+time.  The rate is keep, or less where keep would take more than all of a cell: one by the largest
+weight / tokens, so that no probability is clipped and the kept tokens meet the targets.  By default the targets are the marginals' own shares to the power TEMPER, which
 lowers the share of a source that holds a third of all rows.
 
 Only cells, not rows, are shuffled for the fit; the join of rows with cells is left to Spark, which
 broadcasts the cells only below its own size threshold.
 
 Defined cases: null sources and languages are values of their own; a null or empty text has no
-tokens, and a cell without tokens is kept at the rate keep; repeated rows and repeated doc_ids share
+tokens, and a cell without tokens is kept at the rate; repeated rows and repeated doc_ids share
 their fate; an empty table gives an empty table; all columns of the input are kept, and columns with
 the names of helpers are safe.
 """
@@ -74,9 +75,11 @@ def decided(docs: DataFrame, topic: Column | None = None, temper: float = TEMPER
     raked = rake(cells, tempered(cells, temper) if targets is None else targets)
     ratio = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(F.lit(1.0))
     cell = raked.select(*(F.col(d).alias(f"c_{d}") for d in DIMS), F.round(ratio, 6).alias("weight"))
+    top = cell.agg(F.max("weight")).first()[0]
+    rate = min(keep, 1.0 / top) if top else keep
     same = [F.col(d).eqNullSafe(F.col(f"c_{d}")) for d in DIMS]
     df = rows.join(cell, same[0] & same[1] & same[2], "left")
-    probability = F.least(F.lit(1.0), F.col("weight") * keep)
+    probability = F.least(F.lit(1.0), F.col("weight") * rate)
     draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
     return df.select("_row", *DIMS, "tokens", "weight", probability.alias("probability"), (draw < probability).alias("kept"))
 

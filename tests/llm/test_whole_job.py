@@ -2,7 +2,9 @@
 
 import random
 
-from skein.llm import line_dedup
+from pyspark.sql import functions as F
+
+from skein.llm import line_dedup, mixing, queries
 
 
 def edits(a, b):
@@ -44,3 +46,17 @@ def test_near_lines_grow_with_length(spark):
                 want.add((i, j))
     assert got == want
     assert any(edits(lines[i], lines[j]) > 2 for i, j in want)
+
+
+def test_mixing_meets_targets(spark):
+    done = queries.op6_mixing(spark, "/root/testdata/sf0.01").withColumnRenamed("n_tokens", "tokens").cache()
+    targets = mixing.tempered(done, mixing.TEMPER)
+    chance = F.col("tokens") * F.col("probability")
+    kept = F.when(F.col("kept"), F.col("tokens")).otherwise(0)
+    expected, real, spread = done.agg(F.sum(chance), F.sum(kept), F.sum(chance * F.col("tokens") * (1 - F.col("probability")))).first()
+    assert 0 < done.agg(F.max("probability")).first()[0] <= 1
+    for d in mixing.DIMS:
+        want = {r[d]: r["target"] for r in targets[d].collect()}
+        for r in done.groupBy(d).agg(F.sum(chance).alias("e"), F.sum(kept).alias("k")).collect():
+            assert abs(r["e"] / expected - want[r[d]]) < 1e-3
+            assert abs(r["k"] / real - want[r[d]]) < 4 * spread**0.5 / real
