@@ -1,7 +1,8 @@
 """Line dedup by a segment-partition edit join, in DataFrame functions only.
 
-A line of at least MIN_CHARS characters goes if an equal or a near line stands earlier in the corpus
-(smaller doc_id, or the same document and a smaller line number).  Two lines are near if their edit
+A line goes if an equal line stands earlier in the corpus (smaller doc_id, or the same document and a
+smaller line number), and one of at least MIN_CHARS characters if a near line does.  Lines of white
+space only stay.  Two lines are near if their edit
 distance is at most THRESHOLD or one for each SHARE characters of the shorter line's band (its lower
 end), whichever is more; bands are four from one power of two to the next.
 
@@ -45,7 +46,7 @@ _PARITY = "aeiounrstdhlcmpg"
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """(d, th, pos, line) of the lines that take part; th tells different texts under one doc_id apart."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("d"), F.xxhash64("text").alias("th"), F.posexplode_outer(F.split("text", "\n")).alias("pos", "line"))
-    return rows.where(F.length("line") >= min_chars)
+    return rows.where((F.length("line") >= min_chars) & (F.trim("line", F.lit(" \t\r")) != ""))
 
 
 def _band(n: Column, threshold: int) -> Column:
@@ -123,7 +124,7 @@ def edit_links(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN
 
 def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """(d, th, gone array<int>): for each document the places, from 0, of the lines to remove."""
-    places = _lines(docs, min_chars).select("d", "th", "pos", F.xxhash64("line").alias("id"), F.xxhash64("line", F.lit(1)).alias("check"))
+    places = _lines(docs, 1).select("d", "th", "pos", F.xxhash64("line").alias("id"), F.xxhash64("line", F.lit(1)).alias("check"))
     firsts = places.groupBy("id", "check").agg(F.min(F.struct("d", "pos")).alias("first"), F.count("*").alias("n"))
     firsts = written(firsts.select("id", "check", "first", "n"), "first-lines")
     links = written(edit_links(docs, threshold, min_chars), "line-links")

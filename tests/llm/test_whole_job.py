@@ -60,3 +60,10 @@ def test_mixing_meets_targets(spark):
         for r in done.groupBy(d).agg(F.sum(chance).alias("e"), F.sum(kept).alias("k")).collect():
             assert abs(r["e"] / expected - want[r[d]]) < 1e-3
             assert abs(r["k"] / real - want[r[d]]) < 4 * spread**0.5 / real
+
+
+def test_short_lines_repeat(spark):
+    docs = spark.createDataFrame([(1, "Les.\n\nA\n \t\nLes."), (2, "Les!\n\nA\n \t\nb"), (3, "A\nLes.")], "doc_id long, text string")
+    got = {r[0]: r[1] for r in line_dedup.counted(docs).select("_row.doc_id", "kept").collect()}
+    assert got == {1: "Les.\n\nA\n \t", 2: "Les!\n\n \t\nb", 3: ""}
+    assert {r["doc_id"] for r in line_dedup.without_repeated_lines(docs).collect()} == {1, 2}
