@@ -9,7 +9,9 @@ For what is left each anchor sends the bytes around it to its group's task.  The
 begin at the anchors are sorted with their longest common prefixes, and so are the reversed texts
 before the anchors.  Their common-prefix interval trees, cut at depth SIZE - o on the right and o on
 the left, give the classes of equal strings that start o bytes before their anchors, without hashes:
-all but the first of a class are repeats.  :func:`maximal_repeats` lists the trees' intervals that
+all but the first of a class are repeats.  A hash with more than HOT anchors goes to no single task:
+its equal contexts, and then the strings of different ones, are compared byte by byte in Spark's own
+aggregations and joins, which spill.  :func:`maximal_repeats` lists the trees' intervals that
 are left-diverse, with all occurrences.
 
 Defined cases: a null or empty text has no bytes; documents under SIZE bytes lose nothing; matches
@@ -35,8 +37,8 @@ SIZE, GRAM = 100, 32
 REACH = SIZE - GRAM
 #: Bits of the filters on anchor hashes and on documents: fixed sizes.
 LOG2_ANCHORS, LOG2_DOCS = 26, 22
-#: Anchors that a task looks at together (more only if one hash has more).
-TOGETHER = 8_000
+#: Anchors that a task looks at together (more only if one hash has more), and the most of one hash.
+TOGETHER, HOT = 8_000, 20_000
 _STEP = 0x5851F42D4C957F2D
 _BACK = pow(_STEP, -1, 1 << 64)
 
@@ -247,13 +249,44 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(runs, kind), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(d, th, a, b) for rows (d, th, text): spans [a, b) of documents, unmerged."""
+def _parted(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Contexts of hashes with HOT anchors at most, and of those with more (None without such)."""
     spark = docs.sparkSession
     often = docs.select("text").mapInArrow(_anchor_hashes, "h long").groupBy("h").count().where("count > 1")
-    bits = spark.sparkContext.broadcast(slot_bits(often, F.col("h").bitwiseAND(F.lit((1 << LOG2_ANCHORS) - 1)), LOG2_ANCHORS))
-    near = docs.mapInArrow(_contexts(bits), "h long, d long, th long, at long, o_min int, o_max int, around binary")
-    return near.repartition("h").sortWithinPartitions("h").mapInArrow(_spans, "d long, th long, a long, b long")
+    often = written(often.select("h", (F.col("count") > HOT).alias("hot")), "anchor-hashes")
+    hot = often.where("hot").select("h")
+
+    def contexts(hashes: DataFrame) -> DataFrame:
+        bits = spark.sparkContext.broadcast(slot_bits(hashes, F.col("h").bitwiseAND(F.lit((1 << LOG2_ANCHORS) - 1)), LOG2_ANCHORS))
+        return docs.mapInArrow(_contexts(bits), "h long, d long, th long, at long, o_min int, o_max int, around binary")
+
+    near = contexts(often)
+    if hot.isEmpty():
+        return near, None
+    return near.join(hot, "h", "left_anti"), contexts(hot).join(hot, "h", "left_semi")
+
+
+def _hot_spans(near: DataFrame) -> DataFrame:
+    """(d, th, a, b) for contexts of which one hash may have any number."""
+    who, context = F.struct("d", "th", "at"), ["h", "o_min", "o_max", "around"]
+    near = written(near, "hot-contexts")
+    firsts = written(near.groupBy(*context).agg(F.min(who).alias("first"), F.count("*").alias("n")), "hot-firsts")
+    # all strings of a context stand where it stood first
+    later = near.join(firsts.where("n > 1").drop("n"), context).where(who > F.col("first"))
+    later = later.select("d", "th", (F.col("at") - F.col("o_max")).alias("a"), (F.col("at") - F.col("o_min") + SIZE).alias("b"))
+    strings = firsts.select("h", "first.*", "o_max", "around", F.explode(F.sequence("o_min", "o_max")).alias("o"))
+    strings = strings.select("h", "o", "d", "th", "at", F.substring("around", F.col("o_max") - F.col("o") + 1, F.lit(SIZE)).alias("string"))
+    oldest = strings.groupBy("h", "o", "string").agg(F.min(who).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = strings.join(oldest, ["h", "o", "string"]).where(who > F.col("first"))
+    again = again.groupBy("d", "th", "at").agg((F.col("at") - F.max("o")).alias("a"), (F.col("at") - F.min("o") + SIZE).alias("b"))
+    return later.union(again.select("d", "th", "a", "b"))
+
+
+def repeated_spans(docs: DataFrame) -> DataFrame:
+    """(d, th, a, b) for rows (d, th, text): spans [a, b) of documents, unmerged."""
+    near, hot = _parted(docs)
+    spans = near.repartition("h").sortWithinPartitions("h").mapInArrow(_spans, "d long, th long, a long, b long")
+    return spans if hot is None else spans.union(_hot_spans(hot))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

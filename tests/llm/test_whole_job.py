@@ -4,7 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from skein.llm import line_dedup, mixing, queries
+from skein.llm import line_dedup, mixing, queries, repeats
+
+from . import brute
 
 
 def edits(a, b):
@@ -67,3 +69,18 @@ def test_short_lines_repeat(spark):
     got = {r[0]: r[1] for r in line_dedup.counted(docs).select("_row.doc_id", "kept").collect()}
     assert got == {1: "Les.\n\nA\n \t", 2: "Les!\n\n \t\nb", 3: ""}
     assert {r["doc_id"] for r in line_dedup.without_repeated_lines(docs).collect()} == {1, 2}
+
+
+def test_repeats_of_hot_hashes(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", 20)
+    rnd = random.Random(5)
+    word = lambda n: "".join(rnd.choice("abcdefgh é") for _ in range(n))
+    passage = word(260)
+    texts = [word(rnd.randrange(150)) + passage + word(rnd.randrange(150)) for _ in range(60)]
+    texts += ["x" * 700, passage[:180], passage[90:] + "x" * 300, word(500), None]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.digests(docs).collect()}
+    assert got == brute.op4(rows)
+    near, hot = repeats._parted(docs.selectExpr("doc_id as d", "xxhash64(text) as th", "text"))
+    assert near.groupBy("h").count().agg(F.max("count")).first()[0] <= 20 < hot.groupBy("h").count().agg(F.max("count")).first()[0]
