@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: White space that separates words.
 GAP = r"[\x20\x09-\x0D]+"
+#: Most bits of a filter that goes to all tasks: 2**26, 8 MB.
+MOST_LOG2 = 26
 
 
 def words(text: Column) -> Column:
@@ -63,18 +65,24 @@ def slot_bits(df: DataFrame, slot: Column, log2_bits: int) -> np.ndarray:
     return table.view(np.uint64)
 
 
-def bit_table(df: DataFrame, key: str, log2_bits: int) -> DataFrame:
-    """One row ``bits array<long>``: a bit for each slot that an xxhash64 of ``key`` falls in.
+def log2_bits(n: int, most: int = MOST_LOG2) -> int:
+    """Bits of a filter for n keys, eight to a key but 2**most at most; with more keys it clears fewer rows."""
+    return min(most, max(16, (8 * n).bit_length()))
+
+
+def bit_table(df: DataFrame, key: str) -> DataFrame:
+    """One row ``_bits array<long>``: a bit for each slot that an xxhash64 of ``key`` falls in; df is a written table.
 
     Every key of df passes :func:`has_bit`; a full table only lets more rows through.
     """
-    slots = slot_bits(df, F.pmod(F.xxhash64(key), F.lit(1 << log2_bits)), log2_bits)
+    log2 = log2_bits(df.count())
+    slots = slot_bits(df, F.pmod(F.xxhash64(key), F.lit(1 << log2)), log2)
     return df.sparkSession.createDataFrame([(0, slots.view(np.int64).tolist())], "_one int, _bits array<bigint>")
 
 
-def has_bit(df: DataFrame, key: str, table: DataFrame, log2_bits: int) -> DataFrame:
-    """df with a column ``maybe``: whether key's slot is set.  The one row of the table is broadcast."""
-    slot = F.pmod(F.xxhash64(key), F.lit(1 << log2_bits))
+def has_bit(df: DataFrame, key: str, table: DataFrame) -> DataFrame:
+    """df with a column ``maybe``: whether key's slot is set.  The one row of the table, of 2**MOST_LOG2 bits at most, is broadcast."""
+    slot = F.pmod(F.xxhash64(key), F.size("_bits").cast("long") * 64)
     word = F.get(F.col("_bits"), F.shiftright(slot, 6).cast("int"))
     hit = F.getbit(word, slot.bitwiseAND(F.lit(63)).cast("int")) == 1
     return df.withColumn("_one", F.lit(0)).join(F.broadcast(table), "_one").withColumn("maybe", hit).drop("_one", "_bits")
@@ -85,13 +93,13 @@ def packed(docs: DataFrame, **more: Column) -> DataFrame:
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *(c.alias(n) for n, c in more.items()))
 
 
-def without_ids(docs: DataFrame, gone: DataFrame, log2_bits: int = 22) -> DataFrame:
+def without_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs without the rows whose doc_id is in gone (doc_id).
 
-    Rows that the filter of fixed size clears are not shuffled.
+    Rows that the filter clears are not shuffled.
     """
     gone = written(gone.select(F.col("doc_id").alias("_id")).distinct(), "gone")
-    marked = has_bit(packed(docs, _id=F.col("doc_id")), "_id", bit_table(gone, "_id", log2_bits), log2_bits)
+    marked = has_bit(packed(docs, _id=F.col("doc_id")), "_id", bit_table(gone, "_id"))
     left = marked.where("maybe").join(gone, "_id", "left_anti")
     return left.select("_row").union(marked.where("not maybe").select("_row")).select("_row.*")
 

@@ -16,9 +16,13 @@ square of t, so bands from LONG on take strings of block - step + 1 characters i
 those at its first step places, and the line has one at each step-th place, so a block that is whole
 holds one of the other line's.  Segments are keyed by band, number and hash; a line that a band's
 edits can bring in from above takes the band below as well.  Keys that only one line has fall out in
-one aggregation over hashes; the pairs of lines that share the others are made by hashes, and their
-texts are compared by letter parities (one edit changes two at most) and verified by a banded edit
-distance.
+one aggregation over hashes.
+
+A line only needs one earlier near line.  So the earliest line of each key is tried first, then a few
+others of those that share a key, and all pairs only for lines that are still without one.  Pairs are
+made where lengths and counts of characters leave room for the edits (one edit moves two counts at
+most), inside the join; the pairs of a key with many lines are dealt over many tasks.  Pairs are
+verified by a banded bit-parallel edit distance (:func:`distance_within`).
 
 Defined cases: a null text has no lines and stays null; rows that repeat a doc_id with the same text
 have their lines at equal places, so neither removes the other's; a null doc_id comes first; an empty
@@ -35,12 +39,16 @@ from .common import bit_table, has_bit, once, packed, written
 THRESHOLD, MIN_CHARS = 2, 20
 #: Characters of a band's lower end for each edit allowed, and the band from which on strings have no numbers.
 SHARE, LONG = 50, 2048
-#: Probes of a long line that are cut from one piece of it.
-PIECE = 16
-#: Bits of the filters on segment keys and on documents: fixed sizes.
-LOG2_KEYS, LOG2_DOCS = 22, 22
-#: Letters whose parities are compared before a distance is computed.
-_PARITY = "aeiounrstdhlcmpg"
+#: Probes of a long line that one row makes.
+PIECE = 64
+#: Comparisons of one key that one task makes; keys with more are dealt over several.
+TOGETHER = 2_000_000
+#: Candidates that a line is compared with before all others.
+TRIES = 4
+#: Characters whose counts are compared before a distance is computed, eight to a long.
+_COUNTED = "etaoinsrhdlumg0123456789"
+#: Edits for which a band fits in a long.
+_NARROW = 30
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -63,75 +71,202 @@ def _edits(band: Column, threshold: int) -> Column:
 
 
 def _keyed(lines: DataFrame, threshold: int) -> DataFrame:
-    """(id, t, key, own) for lines (line): own tells a line's segments from its probes for other lines' segments."""
-    n, t, band, block, step, i, off = (F.col(c) for c in ("n", "t", "band", "block", "step", "i", "off"))
+    """(id, key, own) for lines (line): own tells a line's segments from its probes for other lines' segments."""
+    n, t, band, block, step, size, i = (F.col(c) for c in ("n", "t", "band", "block", "step", "size", "i"))
     df = lines.select("line", F.xxhash64("line").alias("id"), F.length("line").alias("n"))
-    high = _band(n, threshold)
+    df = df.withColumn("high", once(_band(n, threshold)))
+    high = F.col("high")
     below = _band(F.greatest(high - 1, F.lit(1)), threshold)
     reached = (below < high) & (n - _edits(below, threshold) < high)
-    df = df.select("*", F.explode(F.when(reached, F.array(high, below)).otherwise(F.array(high))).alias("band"))
-    df = df.withColumn("t", _edits(band, threshold)).withColumn("block", F.floor(band / (t + 1)).cast("int"))
-    df = df.withColumn("step", F.when(band >= LONG, F.floor(F.sqrt("block")).cast("int")))
-    size = block - step + 1
-    # probes of long lines go in pieces of PIECE; strings are cut from pieces, not from whole lines
-    probes = F.floor((n - size) / step).cast("int") + 1
-    more = F.when(step.isNull(), 0).otherwise(F.ceil(probes / PIECE).cast("int"))
-    df = df.withColumn("probes", probes).select("*", F.explode(F.sequence(F.lit(1), t + 1 + more)).alias("i"))
+    # four bytes a character, so that a place in a line is a place in its bytes
+    df = df.select("id", "n", F.encode("line", "UTF-32").alias("wide"), F.explode(F.when(reached, F.array(high, below)).otherwise(F.array(high))).alias("band"))
+    df = df.withColumn("t", once(_edits(band, threshold))).withColumn("block", once(F.floor(band / (t + 1)).cast("int")))
+    df = df.withColumn("step", once(F.when(band >= LONG, F.floor(F.sqrt("block")).cast("int")))).withColumn("size", block - step + 1)
+    df = df.withColumn("probes", once(F.coalesce(F.floor((n - size) / step).cast("int") + 1, F.lit(0))))
+    df = df.select("*", F.explode(F.sequence(F.lit(1), t + 1 + F.ceil(F.col("probes") / PIECE).cast("int"))).alias("i"))
     before, behind, piece = i - 1, t + 1 - i, i - t - 2
-    begin = F.when(step.isNull() & (before > behind), n - block * (behind + 1)).when(i <= t + 1, block * before).otherwise(piece * step * PIECE)
-    wide = F.when(i <= t + 1, block).otherwise(step * (PIECE - 1) + size)
     shift = F.least(before, behind)
-    last = F.when(step.isNull(), shift).when(i <= t + 1, step - 1).otherwise(F.least(F.col("probes") - piece * PIECE, F.lit(PIECE)) - 1)
-    width = F.when(step.isNull(), F.greatest(block - shift, F.lit(0))).otherwise(size)
-    cut = df.select("id", "t", "band", F.substring("line", begin + 1, wide).alias("cut"), last.alias("last"), width.alias("width"),
-        F.when(i <= t + 1, 1).otherwise(step).alias("stride"), F.when(step.isNull(), i).otherwise(0).alias("number"), (step.isNotNull() & (i <= t + 1)).alias("all_own"), (i <= t + 1).alias("blocks"))
-    cut = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("off"))
-    segment = F.substring("cut", off * F.col("stride") + 1, F.col("width"))
-    own = F.col("all_own") | (F.col("blocks") & (off == 0))
-    return cut.select("id", "t", F.xxhash64("band", "number", segment).alias("key"), own.alias("own"))
+    short = step.isNull()
+    begin = F.when(short & (before > behind), n - block * (behind + 1)).when(i <= t + 1, block * before).otherwise(piece * step * PIECE)
+    last = F.when(short, shift).when(i <= t + 1, step - 1).otherwise(F.least(F.col("probes") - piece * PIECE, F.lit(PIECE)) - 1)
+    width = F.when(short, F.greatest(block - shift, F.lit(0))).otherwise(size)
+    n_own = F.when(i > t + 1, 0).when(short, 1).otherwise(step)
+    cut = df.select("id", "band", "wide", (4 * begin + 1).alias("begin"), (4 * width).alias("width"), F.when(i <= t + 1, 4).otherwise(4 * step).alias("stride"),
+        F.when(short, i).otherwise(0).alias("number"), n_own.alias("n_own"), F.explode(F.sequence(F.lit(0), last)).alias("off"))
+    segment = F.substring("wide", F.col("begin") + F.col("off") * F.col("stride"), F.col("width"))
+    return cut.select("id", F.xxhash64("band", "number", segment).alias("key"), (F.col("off") < F.col("n_own")).alias("own"))
 
 
-def _parities(line: Column) -> Column:
-    bits = F.lit(0)
-    for i, c in enumerate(_PARITY):
-        odd = (F.length(line) - F.length(F.translate(line, c, ""))) % 2
-        bits = bits + odd * (1 << i)
-    return bits
+def _let(value: Column, use) -> Column:
+    """use(value) with value made once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def edit_links(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(a, b): hashes of different lines that are near, each pair both ways."""
-    lines = _lines(docs, min_chars).select("line")
+def _shared(x: Column, y: Column) -> Column:
+    """How many characters x and y begin with in common (2**17 - 1 at most)."""
+    steps = F.array(*(F.lit(1 << k) for k in range(16, -1, -1)))
+    both = F.least(F.length(x), F.length(y))
+    same = lambda p, s: (p + s <= both) & (F.substring(x, p + 1, s) == F.substring(y, p + 1, s))
+    return F.aggregate(steps, F.lit(0), lambda p, s: F.when(same(p, s), p + s).otherwise(p))
+
+
+def _banded(t: Column) -> tuple[dict[str, Column], Column]:
+    """Columns to make first, and the edit distance of _x and _y if it is at most t, else some larger number.
+
+    t is at most _NARROW, and the lengths differ by at most t.  The rows j - t to j + t of column j are
+    the bits of two longs, which of them are one more and which one less than the row above; a third one
+    has the rows whose character of _x is that of _y.
+    """
+    m, n, width, top, rows = (F.col(c) for c in ("_m", "_n", "_width", "_top", "_rows"))
+    shift = lambda a, k: F.call_function("shiftleft", a, k)
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+    pad = lambda k: F.array_repeat(F.lit(""), k)
+    first = {
+        "_m": F.length("_x"), "_n": F.length("_y"), "_width": shift(one, 2 * t + 1) - 1, "_top": shift(one, 2 * t), "_start": 2 * t + F.length("_x"), "_size": 2 * t + 1,
+        "_limit": 2 * t + F.length("_y") - F.length("_x"),
+        # _x with its last character first, so that the first of a window is the highest bit
+        "_rows": F.concat(pad(3 * t), F.reverse(F.split("_x", "")), pad(t)),
+    }
+
+    def column(s, c):
+        window = F.slice(rows, F.col("_start") - s["j"], F.col("_size"))
+        eq = F.aggregate(window, zero, lambda bits, row: F.when(row == c, bits + bits + 1).otherwise(bits + bits))
+        made = lambda eq: (eq.bitwiseAND(s["vp"]) + s["vp"]).bitwiseXOR(s["vp"]).bitwiseOR(eq).bitwiseOR(s["vn"]).bitwiseAND(width)
+
+        def deltas(d0):
+            hp = s["vn"].bitwiseOR(F.bitwise_not(d0.bitwiseOR(s["vp"]))).bitwiseAND(width)
+            lower = F.shiftright(d0, 1)
+            score = F.when(d0 < top, s["score"] + 1).otherwise(s["score"])
+            vp = lambda hp: d0.bitwiseAND(s["vp"]).bitwiseOR(F.bitwise_not(lower.bitwiseOR(hp))).bitwiseAND(width)
+            return _let(hp, lambda hp: F.struct(vp(hp).alias("vp"), lower.bitwiseAND(hp).alias("vn"), score.alias("score"), (s["j"] + 1).alias("j")))
+
+        return _let(eq, lambda eq: _let(made(eq), deltas))
+
+    start = F.struct((width - (shift(one, t) - 1)).alias("vp"), zero.alias("vn"), t.cast("int").alias("score"), F.lit(0).alias("j"))
+    # the lowest row's score only grows, and at most one goes for each row that lies below the result
+    step = lambda s, c: F.when(s["score"] > F.col("_limit"), s).otherwise(column(s, c))
+    below = (top - 1).bitwiseAND(F.bitwise_not(shift(one, m - n + t) - 1))
+    end = lambda s: s["score"] - F.bit_count(s["vp"].bitwiseAND(below)) + F.bit_count(s["vn"].bitwiseAND(below))
+    return first, F.when((m == 0) | (n == 0), F.greatest(m, n)).otherwise(F.aggregate(F.split("_y", ""), start, step, end))
+
+
+def distance_within(pairs: DataFrame) -> DataFrame:
+    """The rows of pairs (x, y, t, ...) whose edit distance is at most t.
+
+    What both begin or end with in common is cut off first.  Bands of more than _NARROW edits do not fit in
+    a long and go to the built-in banded distance.
+    """
+    x, y, t = F.col("x"), F.col("y"), F.col("t")
+    df = pairs.withColumn("_p", once(_shared(x, y)))
+    df = df.withColumn("_x", once(F.substring(x, F.col("_p") + 1, F.length(x)))).withColumn("_y", once(F.substring(y, F.col("_p") + 1, F.length(y))))
+    df = df.withColumn("_s", once(_shared(F.reverse("_x"), F.reverse("_y"))))
+    cut = lambda c: F.substring(c, F.lit(1), F.length(c) - F.col("_s"))
+    df = df.withColumn("_x", once(cut("_x"))).withColumn("_y", once(cut("_y"))).where(F.abs(F.length("_x") - F.length("_y")) <= t)
+    narrow = F.least(t, F.lit(_NARROW))
+    first, distance = _banded(narrow)
+    df = df.withColumns({c: once(v) for c, v in first.items()})
+    near = F.when(t > _NARROW, F.call_function("levenshtein", F.col("_x"), F.col("_y"), t) >= 0).otherwise(distance <= t)
+    return df.where(once(near)).select(*pairs.columns)
+
+
+def _counts(line: Column) -> list[Column]:
+    """How often a line has each of _COUNTED, modulo 256, eight to a long."""
+    seen = lambda c: F.pmod(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit(""))), F.lit(256)).cast("long")
+    out = []
+    for at in range(0, len(_COUNTED), 8):
+        word = F.lit(0).cast("long")
+        for k, c in enumerate(_COUNTED[at : at + 8]):
+            word = word.bitwiseOR(F.shiftleft(seen(c), 8 * k))
+        out.append(word.alias(f"c{at // 8}"))
+    return out
+
+
+_COLS = ("n", "most", *(f"c{k}" for k in range(len(_COUNTED) // 8)))
+
+
+def _may(a: str, b: str) -> Column:
+    """Whether lengths and counts of two lines leave room for the edits allowed."""
+    t = F.least(F.col(f"{a}.most"), F.col(f"{b}.most"))
+    apart = F.lit(0)
+    for k in range(len(_COUNTED)):
+        byte = lambda s: F.shiftrightunsigned(F.col(f"{s}.c{k // 8}"), 8 * (k % 8)).bitwiseAND(F.lit(255)).cast("int")
+        d = F.abs(byte(a) - byte(b))
+        apart = apart + F.least(d, 256 - d)
+    return (F.abs(F.col(f"{a}.n") - F.col(f"{b}.n")) <= t) & (apart <= 2 * t)
+
+
+def _sharing(lines: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """((key, own, id), (id, line, n, most, counts)): the keys that several lines share, and their lines."""
     keyed = _keyed(lines, threshold)
     shared = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low != high").select("key")
     shared = written(shared, "shared-keys")
-    near = has_bit(keyed, "key", bit_table(shared, "key", LOG2_KEYS), LOG2_KEYS).where("maybe").groupBy("key", "own", "id").agg(F.max("t").alias("t"))
-    near = written(near.join(shared, "key", "left_semi"), "near-lines")
-    left, right = near.where("own").alias("l"), near.alias("r")
-    pairs = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.id") != F.col("r.id")))
-    pairs = pairs.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b"), "l.t").groupBy("a", "b").agg(F.max("t").alias("t"))
-    pairs = written(pairs, "line-pairs")
-    ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "paired-lines")
-    texts = has_bit(lines.select(F.xxhash64("line").alias("id"), "line"), "id", bit_table(ids, "id", LOG2_KEYS), LOG2_KEYS).where("maybe")
+    near = has_bit(keyed, "key", bit_table(shared, "key")).where("maybe").groupBy("key", "id").agg(F.max("own").alias("own"))
+    near = written(near.join(shared, "key", "left_semi").select("key", "own", "id"), "near-keys")
+    ids = written(near.select("id").distinct(), "near-ids")
+    texts = has_bit(lines.select(F.xxhash64("line").alias("id"), "line"), "id", bit_table(ids, "id")).where("maybe")
     texts = texts.groupBy("id", "line").agg(F.lit(1).alias("one")).join(ids, "id", "left_semi")
-    texts = written(texts.select("id", "line", _parities(F.col("line")).alias("odd")), "near-texts")
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x"), F.col("odd").alias("x_odd")), "a")
-    both = both.join(texts.select(F.col("id").alias("b"), F.col("line").alias("y"), F.col("odd").alias("y_odd")), "b")
-    close = (F.bit_count(F.col("x_odd").bitwiseXOR(F.col("y_odd"))) <= 2 * F.col("t")) & F.expr("levenshtein(x, y, t) >= 0")
-    links = both.where(close).select("a", "b")
-    return links.union(links.select("b", "a")).distinct()
+    n = F.length("line")
+    return near, written(texts.select("id", "line", n.alias("n"), _edits(_band(n, threshold), threshold).alias("most"), *_counts(F.col("line"))), "near-texts")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of line hashes that are near."""
+    side = lambda i, s: texts.select(F.col("id").alias(i), F.col("line").alias(s), F.col("most").alias(f"{s}_most"))
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    return distance_within(both.select("a", "b", "x", "y", F.least("x_most", "y_most").alias("t"))).select("a", "b")
+
+
+def _meeting(left: DataFrame, right: DataFrame, fits: Column) -> DataFrame:
+    """(a, b) for rows l of left and r of right with one key and fits; keys with many pairs are dealt over several tasks."""
+    work = left.groupBy("key").agg(F.count("*").alias("nl")).join(right.groupBy("key").agg(F.count("*").alias("nr")), "key")
+    hot = work.where(F.col("nl") * F.col("nr") > TOGETHER).select("key", F.ceil(F.sqrt(F.col("nl") * F.col("nr") / TOGETHER)).cast("int").alias("parts"))
+    hot = written(hot, "hot-keys")
+    found = lambda l, r, on: l.alias("l").join(r.alias("r"), [F.col(f"l.{c}") == F.col(f"r.{c}") for c in on] + [fits]).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))  # noqa: E731,E741
+    if hot.isEmpty():
+        return found(left, right, ["key"]).distinct()
+    part, every = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    rows, columns = left.join(hot, "key").select("*", part.alias("pl"), every.alias("pr")), right.join(hot, "key").select("*", part.alias("pr"), every.alias("pl"))
+    cold = found(left.join(hot, "key", "left_anti"), right.join(hot, "key", "left_anti"), ["key"])
+    return cold.union(found(rows, columns, ["key", "pl", "pr"])).distinct()
+
+
+def edit_links(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(a, b): hashes of different lines that are near, each pair both ways."""
+    near, texts = _sharing(_lines(docs, min_chars).select("line"), threshold)
+    rows = near.join(texts.select("id", *_COLS), "id")
+    fits = (F.col("l.id") < F.col("r.id")) & (F.col("l.own") | F.col("r.own")) & _may("l", "r")
+    links = written(_verified(written(_meeting(rows, rows, fits), "line-pairs"), texts), "line-links")
+    return links.union(links.select("b", "a"))
+
+
+def late_lines(docs: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(id): hashes of lines that have a near line with an earlier first place, for firsts (id, first) with one place or more of a hash."""
+    near, texts = _sharing(_lines(docs, min_chars).select("line"), threshold)
+    begin = firsts.join(texts.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("first").alias("first"))
+    rows = written(near.join(texts.select("id", *_COLS).join(begin, "id"), "id"), "near-lines")
+    earlier = F.col("r.first") < F.col("l.first")
+    leader = rows.where("own").groupBy("key").agg(F.min(F.struct("first", "id", *_COLS)).alias("lead")).select("key", "lead.*")
+    led = rows.alias("l").join(leader.alias("r"), [F.col("l.key") == F.col("r.key"), earlier, _may("l", "r")])
+    tried = written(led.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct(), "line-pairs")
+    late = written(_verified(tried, texts).select(F.col("a").alias("id")).distinct(), "late-lines")
+    left = rows.join(late, "id", "left_anti")
+    pairs = _meeting(left, rows, earlier & (F.col("l.own") | F.col("r.own")) & _may("l", "r"))
+    pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "line-pairs")
+    some = F.array(*(F.min_by("b", F.xxhash64("b", F.lit(k))) for k in range(TRIES)))
+    some = written(pairs.groupBy("a").agg(some.alias("b")).select("a", F.explode(F.array_distinct("b")).alias("b")), "line-pairs")
+    more = written(_verified(some, texts).select(F.col("a").alias("id")).distinct(), "late-lines")
+    rest = pairs.join(more, F.col("a") == F.col("id"), "left_anti").join(some, ["a", "b"], "left_anti")
+    last = _verified(rest, texts).select(F.col("a").alias("id")).distinct()
+    return late.union(more).union(last)
 
 
 def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """(d, th, gone array<int>): for each document the places, from 0, of the lines to remove."""
     places = _lines(docs, 1).select("d", "th", "pos", F.xxhash64("line").alias("id"), F.xxhash64("line", F.lit(1)).alias("check"))
+    # of lines that share a 64-bit hash the check tells which is which; links need the earliest of a hash only
     firsts = places.groupBy("id", "check").agg(F.min(F.struct("d", "pos")).alias("first"), F.count("*").alias("n"))
     firsts = written(firsts.select("id", "check", "first", "n"), "first-lines")
-    links = written(edit_links(docs, threshold, min_chars), "line-links")
-    # of lines that share a 64-bit hash the check tells which is which; links need the earliest of a hash only
-    begin = firsts.join(links.select(F.col("a").alias("id")).distinct(), "id", "left_semi").groupBy("id").agg(F.min("first").alias("first"))
-    late = links.join(begin.select(F.col("id").alias("a"), F.col("first").alias("a_first")), "a").join(begin.select(F.col("id").alias("b"), F.col("first").alias("b_first")), "b")
-    late = late.where("b_first < a_first").select(F.col("a").alias("id")).distinct().withColumn("late", F.lit(True))
+    late = written(late_lines(docs, firsts.select("id", "first"), threshold, min_chars), "late-lines").withColumn("late", F.lit(True))
     suspects = firsts.join(late, "id", "left").where("late or n > 1")
     gone = places.join(suspects, ["id", "check"]).where(F.col("late") | (F.struct("d", "pos") > F.col("first")))
     return gone.groupBy("d", "th").agg(F.collect_set("pos").alias("gone"))
@@ -141,7 +276,7 @@ def counted(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CH
     """Rows (_row, kept, n_lines, n_removed): the rows of docs, their texts without repeated lines, and counts."""
     gone = written(repeated_lines(docs, threshold, min_chars), "gone-lines")
     keyed = packed(docs, text=F.col("text"), d=F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), th=F.xxhash64("text"))
-    marked = has_bit(keyed, "d", bit_table(gone, "d", LOG2_DOCS), LOG2_DOCS)
+    marked = has_bit(keyed, "d", bit_table(gone, "d"))
     hit = marked.where("maybe").join(gone, ["d", "th"], "left").withColumn("lines", once(F.split("text", "\n")))
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     hit = hit.withColumn("stay", F.when(F.col("gone").isNotNull(), stay))

@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from .common import bit_table, components, has_bit, without_ids, written
 from .textbytes import BYTE_HASH, byte_chunks, mix
 
-#: Cells of the frequency sketch and bits of the filters on documents: fixed sizes.
-LOG2_CELLS, LOG2_FILTER = 18, 22
+#: Cells of the frequency sketch: a fixed size.
+LOG2_CELLS = 18
 #: Nodes that are compared with one node in a group; larger groups are split.
 GROUP = 64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -183,8 +183,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, n: int, perce
     pairs = pairs.join(pairs.groupBy("b").count(), "b").select("b", "a", F.pmod(F.xxhash64("a"), parts).alias("part"))
     roles = pairs.select("b", "part", F.col("a").alias("node")).union(pairs.select("b", "part", F.col("b").alias("node"))).distinct()
     roles = written(roles.join(nodes.select("node", "rep"), "node").select("b", "part", "node", F.col("rep").alias("doc_id")), "roles")
-    table = bit_table(roles.select("doc_id").distinct(), "doc_id", LOG2_FILTER)
-    texts = has_bit(docs.select("doc_id", "text"), "doc_id", table, LOG2_FILTER).where("maybe").select("doc_id", "text")
+    table = bit_table(roles.select("doc_id").distinct(), "doc_id")
+    texts = has_bit(docs.select("doc_id", "text"), "doc_id", table).where("maybe").select("doc_id", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,8 +250,8 @@ def linked(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[DataFrame, D
     features = written(_features(docs, n, percent), "features")
     # prefixes and bitmaps move only for sets that several documents may have
     sets = features.where("node is not null")
-    copied = sets.groupBy("node").count().where("count > 1").select("node")
-    sets = has_bit(sets, "node", bit_table(copied, "node", LOG2_FILTER), LOG2_FILTER)
+    copied = written(sets.groupBy("node").count().where("count > 1").select("node"), "copied")
+    sets = has_bit(sets, "node", bit_table(copied, "node"))
     nodes = sets.where("maybe").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
     nodes = written(nodes.union(sets.where("not maybe").select("node", "doc_id", "n_shingles", "prefix", "bits")), "nodes")
     rows = nodes.select("node", "rep", "n", F.posexplode("prefix").alias("pos", "gram"))

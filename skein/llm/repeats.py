@@ -298,8 +298,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     spans = repeated_spans(keyed.select("d", "th", "text"))
     spans = spans.groupBy("d", "th").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans"))
     spans = written(spans, "spans")
-    table = bit_table(spans.select("d"), "d", LOG2_DOCS)
-    marked = has_bit(keyed, "d", table, LOG2_DOCS)
+    table = bit_table(spans.select("d"), "d")
+    marked = has_bit(keyed, "d", table)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, n_bytes long, spans array<struct<a:long,b:long>>, kept binary"
     hit = marked.where("maybe").join(spans, ["d", "th"], "left").select("doc_id", "text", "spans").mapInArrow(_remove, schema)
