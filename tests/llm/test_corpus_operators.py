@@ -93,7 +93,7 @@ def test_maximal_repeats():
     assert found == {b"abcd": [1, 6, 11]}
 
 
-def distance(a, b, most=2):
+def distance(a, b, most):
     if abs(len(a) - len(b)) > most or sum(((Counter(a) - Counter(b)) + Counter()).values()) > most:
         return most + 1
     row = list(range(len(b) + 1))
@@ -106,18 +106,26 @@ def distance(a, b, most=2):
     return row[-1]
 
 
+def allowed(n):
+    """The edits allowed to a shorter line of n characters: two, or one for each 50 of the band's lower end."""
+    step = max(4, 1 << (n.bit_length() - 3))
+    return max(2, (n - n % step) // 50)
+
+
 def brute_lines(docs):
-    """doc_id → its text without lines that repeat, or nearly repeat, earlier ones."""
+    """doc_id → its text without lines that repeat earlier ones, or, from 20 characters on, nearly do."""
     seen, by_len, out = set(), {}, {}
     for d, text in sorted(docs, key=lambda x: x[0]):
         keep = []
         for line in (text or "").split("\n"):
             n = len(line)
-            if n >= 20:
-                gone = line in seen or any(distance(line, o) <= 2 for k in range(n - 2, n + 3) for o in by_len.get(k, ()))
-                if line not in seen:
-                    seen.add(line)
+            if line.strip(" \t\r"):
+                gone = line in seen
+                if n >= 20 and not gone:
+                    most = allowed(n)
+                    gone = any(distance(line, o, allowed(min(n, k))) <= allowed(min(n, k)) for k in range(n - most, n + most + 1) for o in by_len.get(k, ()))
                     by_len.setdefault(n, []).append(line)
+                seen.add(line)
                 if gone:
                     continue
             keep.append(line)
@@ -183,10 +191,11 @@ def brute_mixing(rows, temper=0.7, keep=0.8, seed=17):
         if i % 4 == 3 and off <= 1e-4:
             break
     out = set()
+    share = {c: round(w[c] / n, 6) if n else 1.0 for c, n in cells.items()}
+    rate = min(keep, 1 / max(share.values()))
     for i, *cell, _ in rows:
         h = xxhash.xxh64(seed.to_bytes(4, "little"), seed=xxhash.xxh64(i.to_bytes(8, "little", signed=True), seed=42).intdigest()).intdigest()
-        ratio = round(w[tuple(cell)] / cells[tuple(cell)], 6) if cells[tuple(cell)] else 1.0
-        if (h % (1 << 53)) / (1 << 53) < min(1.0, ratio * keep):
+        if (h % (1 << 53)) / (1 << 53) < min(1.0, share[tuple(cell)] * rate):
             out.add(i)
     return out
 
