@@ -1,4 +1,4 @@
-"""Line dedup by a segment-partition edit join, in DataFrame functions only.
+"""Line dedup by a segment-partition edit join, in DataFrame functions but for the last comparison.
 
 A line goes if an equal line stands earlier in the corpus (smaller doc_id, or the same document and a
 smaller line number), and one of at least MIN_CHARS characters if a near line does.  Lines of white
@@ -15,14 +15,15 @@ block whole, one of the lines has the other's segment among its probes.  Their n
 square of t, so bands from LONG on take strings of block - step + 1 characters instead: a block has
 those at its first step places, and the line has one at each step-th place, so a block that is whole
 holds one of the other line's.  Segments are keyed by band, number and hash; a line that a band's
-edits can bring in from above takes the band below as well.  Keys that only one line has fall out in
-one aggregation over hashes.
+edits can bring in from above takes the band below as well.  Keys that only one line has fall out
+where hashes meet, before any text moves.
 
 A line only needs one earlier near line.  So the earliest line of each key is tried first, then a few
 others of those that share a key, and all pairs only for lines that are still without one.  Pairs are
 made where lengths and counts of characters leave room for the edits (one edit moves two counts at
 most), inside the join; the pairs of a key with many lines are dealt over many tasks.  Pairs are
-verified by a banded bit-parallel edit distance (:func:`distance_within`).
+verified by a banded bit-parallel edit distance, many at once in numpy: that step alone is not made of
+DataFrame functions, for which README gives the figures.
 
 Defined cases: a null text has no lines and stays null; rows that repeat a doc_id with the same text
 have their lines at equal places, so neither removes the other's; a null doc_id comes first; an empty
@@ -31,10 +32,15 @@ table gives an empty table; all columns of the input are kept.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import bit_table, has_bit, once, packed, written
+from .edits import within
 
 THRESHOLD, MIN_CHARS = 2, 20
 #: Characters of a band's lower end for each edit allowed, and the band from which on strings have no numbers.
@@ -47,8 +53,8 @@ TOGETHER = 2_000_000
 TRIES = 4
 #: Characters whose counts are compared before a distance is computed, eight to a long.
 _COUNTED = "etaoinsrhdlumg0123456789"
-#: Edits for which a band fits in a long.
-_NARROW = 30
+#: Pairs that a task verifies.
+PAIRS = 20_000
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -97,81 +103,13 @@ def _keyed(lines: DataFrame, threshold: int) -> DataFrame:
     return cut.select("id", F.xxhash64("band", "number", segment).alias("key"), (F.col("off") < F.col("n_own")).alias("own"))
 
 
-def _let(value: Column, use) -> Column:
-    """use(value) with value made once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def _shared(x: Column, y: Column) -> Column:
-    """How many characters x and y begin with in common (2**17 - 1 at most)."""
-    steps = F.array(*(F.lit(1 << k) for k in range(16, -1, -1)))
-    both = F.least(F.length(x), F.length(y))
-    same = lambda p, s: (p + s <= both) & (F.substring(x, p + 1, s) == F.substring(y, p + 1, s))
-    return F.aggregate(steps, F.lit(0), lambda p, s: F.when(same(p, s), p + s).otherwise(p))
-
-
-def _banded(t: Column) -> tuple[dict[str, Column], Column]:
-    """Columns to make first, and the edit distance of _x and _y if it is at most t, else some larger number.
+def _counts(line: Column) -> list[Column]:
+    """How often a line has each of _COUNTED, modulo 16, eight to a long.
 
-    t is at most _NARROW, and the lengths differ by at most t.  The rows j - t to j + t of column j are
-    the bits of two longs, which of them are one more and which one less than the row above; a third one
-    has the rows whose character of _x is that of _y.
+    Eight bits stand for a count so that two counts differ in as many bits as they are apart, going round.
     """
-    m, n, width, top, rows = (F.col(c) for c in ("_m", "_n", "_width", "_top", "_rows"))
-    shift = lambda a, k: F.call_function("shiftleft", a, k)
-    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
-    pad = lambda k: F.array_repeat(F.lit(""), k)
-    first = {
-        "_m": F.length("_x"), "_n": F.length("_y"), "_width": shift(one, 2 * t + 1) - 1, "_top": shift(one, 2 * t), "_start": 2 * t + F.length("_x"), "_size": 2 * t + 1,
-        "_limit": 2 * t + F.length("_y") - F.length("_x"),
-        # _x with its last character first, so that the first of a window is the highest bit
-        "_rows": F.concat(pad(3 * t), F.reverse(F.split("_x", "")), pad(t)),
-    }
-
-    def column(s, c):
-        window = F.slice(rows, F.col("_start") - s["j"], F.col("_size"))
-        eq = F.aggregate(window, zero, lambda bits, row: F.when(row == c, bits + bits + 1).otherwise(bits + bits))
-        made = lambda eq: (eq.bitwiseAND(s["vp"]) + s["vp"]).bitwiseXOR(s["vp"]).bitwiseOR(eq).bitwiseOR(s["vn"]).bitwiseAND(width)
-
-        def deltas(d0):
-            hp = s["vn"].bitwiseOR(F.bitwise_not(d0.bitwiseOR(s["vp"]))).bitwiseAND(width)
-            lower = F.shiftright(d0, 1)
-            score = F.when(d0 < top, s["score"] + 1).otherwise(s["score"])
-            vp = lambda hp: d0.bitwiseAND(s["vp"]).bitwiseOR(F.bitwise_not(lower.bitwiseOR(hp))).bitwiseAND(width)
-            return _let(hp, lambda hp: F.struct(vp(hp).alias("vp"), lower.bitwiseAND(hp).alias("vn"), score.alias("score"), (s["j"] + 1).alias("j")))
-
-        return _let(eq, lambda eq: _let(made(eq), deltas))
-
-    start = F.struct((width - (shift(one, t) - 1)).alias("vp"), zero.alias("vn"), t.cast("int").alias("score"), F.lit(0).alias("j"))
-    # the lowest row's score only grows, and at most one goes for each row that lies below the result
-    step = lambda s, c: F.when(s["score"] > F.col("_limit"), s).otherwise(column(s, c))
-    below = (top - 1).bitwiseAND(F.bitwise_not(shift(one, m - n + t) - 1))
-    end = lambda s: s["score"] - F.bit_count(s["vp"].bitwiseAND(below)) + F.bit_count(s["vn"].bitwiseAND(below))
-    return first, F.when((m == 0) | (n == 0), F.greatest(m, n)).otherwise(F.aggregate(F.split("_y", ""), start, step, end))
-
-
-def distance_within(pairs: DataFrame) -> DataFrame:
-    """The rows of pairs (x, y, t, ...) whose edit distance is at most t.
-
-    What both begin or end with in common is cut off first.  Bands of more than _NARROW edits do not fit in
-    a long and go to the built-in banded distance.
-    """
-    x, y, t = F.col("x"), F.col("y"), F.col("t")
-    df = pairs.withColumn("_p", once(_shared(x, y)))
-    df = df.withColumn("_x", once(F.substring(x, F.col("_p") + 1, F.length(x)))).withColumn("_y", once(F.substring(y, F.col("_p") + 1, F.length(y))))
-    df = df.withColumn("_s", once(_shared(F.reverse("_x"), F.reverse("_y"))))
-    cut = lambda c: F.substring(c, F.lit(1), F.length(c) - F.col("_s"))
-    df = df.withColumn("_x", once(cut("_x"))).withColumn("_y", once(cut("_y"))).where(F.abs(F.length("_x") - F.length("_y")) <= t)
-    narrow = F.least(t, F.lit(_NARROW))
-    first, distance = _banded(narrow)
-    df = df.withColumns({c: once(v) for c, v in first.items()})
-    near = F.when(t > _NARROW, F.call_function("levenshtein", F.col("_x"), F.col("_y"), t) >= 0).otherwise(distance <= t)
-    return df.where(once(near)).select(*pairs.columns)
-
-
-def _counts(line: Column) -> list[Column]:
-    """How often a line has each of _COUNTED, modulo 256, eight to a long."""
-    seen = lambda c: F.pmod(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit(""))), F.lit(256)).cast("long")
+    ring = F.array(*(F.lit((1 << r) - 1 if r <= 8 else 255 - ((1 << (r - 8)) - 1)).cast("long") for r in range(16)))
+    seen = lambda c: F.get(ring, F.pmod(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit(""))), F.lit(16)))
     out = []
     for at in range(0, len(_COUNTED), 8):
         word = F.lit(0).cast("long")
@@ -188,20 +126,16 @@ def _may(a: str, b: str) -> Column:
     """Whether lengths and counts of two lines leave room for the edits allowed."""
     t = F.least(F.col(f"{a}.most"), F.col(f"{b}.most"))
     apart = F.lit(0)
-    for k in range(len(_COUNTED)):
-        byte = lambda s: F.shiftrightunsigned(F.col(f"{s}.c{k // 8}"), 8 * (k % 8)).bitwiseAND(F.lit(255)).cast("int")
-        d = F.abs(byte(a) - byte(b))
-        apart = apart + F.least(d, 256 - d)
+    for k in range(len(_COUNTED) // 8):
+        apart = apart + F.bit_count(F.col(f"{a}.c{k}").bitwiseXOR(F.col(f"{b}.c{k}")))
     return (F.abs(F.col(f"{a}.n") - F.col(f"{b}.n")) <= t) & (apart <= 2 * t)
 
 
 def _sharing(lines: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
     """((key, own, id), (id, line, n, most, counts)): the keys that several lines share, and their lines."""
-    keyed = _keyed(lines, threshold)
-    shared = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low != high").select("key")
-    shared = written(shared, "shared-keys")
-    near = has_bit(keyed, "key", bit_table(shared, "key")).where("maybe").groupBy("key", "id").agg(F.max("own").alias("own"))
-    near = written(near.join(shared, "key", "left_semi").select("key", "own", "id"), "near-keys")
+    group = W.partitionBy("key")
+    several = _keyed(lines, threshold).withColumn("low", F.min("id").over(group)).withColumn("high", F.max("id").over(group)).where("low != high")
+    near = written(several.groupBy("key", "id").agg(F.max("own").alias("own")), "near-keys")
     ids = written(near.select("id").distinct(), "near-ids")
     texts = has_bit(lines.select(F.xxhash64("line").alias("id"), "line"), "id", bit_table(ids, "id")).where("maybe")
     texts = texts.groupBy("id", "line").agg(F.lit(1).alias("one")).join(ids, "id", "left_semi")
@@ -209,11 +143,20 @@ def _sharing(lines: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
     return near, written(texts.select("id", "line", n.alias("n"), _edits(_band(n, threshold), threshold).alias("most"), *_counts(F.col("line"))), "near-texts")
 
 
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        near = within(batch.column("x").to_pylist(), batch.column("y").to_pylist(), batch.column("t").to_numpy())
+        keep = pa.array(near, pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of line hashes that are near."""
+    """The pairs (a, b) of line hashes that are near; pairs is a written table."""
     side = lambda i, s: texts.select(F.col("id").alias(i), F.col("line").alias(s), F.col("most").alias(f"{s}_most"))
     both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
-    return distance_within(both.select("a", "b", "x", "y", F.least("x_most", "y_most").alias("t"))).select("a", "b")
+    # a pair is little to read and much to compute, so the number of tasks follows that of the pairs
+    dealt = both.select("a", "b", "x", "y", F.least("x_most", "y_most").alias("t")).repartition(1 + pairs.count() // PAIRS, "a", "b")
+    return dealt.mapInArrow(_near, "a long, b long")
 
 
 def _meeting(left: DataFrame, right: DataFrame, fits: Column) -> DataFrame:
@@ -255,7 +198,7 @@ def late_lines(docs: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD, m
     some = F.array(*(F.min_by("b", F.xxhash64("b", F.lit(k))) for k in range(TRIES)))
     some = written(pairs.groupBy("a").agg(some.alias("b")).select("a", F.explode(F.array_distinct("b")).alias("b")), "line-pairs")
     more = written(_verified(some, texts).select(F.col("a").alias("id")).distinct(), "late-lines")
-    rest = pairs.join(more, F.col("a") == F.col("id"), "left_anti").join(some, ["a", "b"], "left_anti")
+    rest = written(pairs.join(more, F.col("a") == F.col("id"), "left_anti").join(some, ["a", "b"], "left_anti"), "line-pairs")
     last = _verified(rest, texts).select(F.col("a").alias("id")).distinct()
     return late.union(more).union(last)
 
