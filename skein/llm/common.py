@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from functools import reduce
 
@@ -34,10 +32,10 @@ def once(expr: Column) -> Column:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a temporary one only where none is set (tests)."""
+    """A folder in the one that the cluster shares; a machine's own would split tables over machines, so one has to be set."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        shared = os.path.join(tempfile.gettempdir(), "checkpoints")
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{shared.rstrip('/')}/skein"
 
 
@@ -104,11 +102,12 @@ def without_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return left.select("_row").union(marked.where("not maybe").select("_row")).select("_row.*")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """(id, root): for each id in an edge (a, b), the smallest id of its component.
 
     Labels flow along edges and then jump to their label's label, so that the number of rounds
-    grows with the logarithm of a component's width.  Each round ends in a written table.
+    grows with the logarithm of a component's width.  Each round ends in a written table, and the job
+    fails if labels still change after so many rounds (enough for any component that fits in a table).
     """
     both = written(
         edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct(),
@@ -127,8 +126,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         new = written(jumped.select("id", "old", F.least("mid", F.coalesce("jump", "mid")).alias("root")), "labels")
         labels = new.select("id", "root")
         if new.where("old != root").isEmpty():
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"labels of components still change after {rounds} rounds")
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -114,40 +114,46 @@ def order_by_sample(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str
     if not rows:
         return list(rules)
     sample = spark.createDataFrame(rows, "text string").coalesce(1)
-    rated = []
-    for rule in rules:
+    def seconds(df: DataFrame) -> float:
         began = time.perf_counter()
-        rejected = _with(_texts(sample, "text"), rule.needs, set()).where(rule.rejects).count()
-        rated.append(((rejected + 0.5) / (time.perf_counter() - began), rule))
+        df.write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - began
+
+    # a run first to compile, and what a job takes by itself is no cost of a rule
+    plain = _texts(sample, "text")
+    seconds(plain)
+    empty, rated = seconds(plain), []
+    for rule in rules:
+        asked = _with(plain, rule.needs, set()).select(F.expr(rule.rejects).alias("no"))
+        rejected = asked.where("no").count()
+        cost = max(seconds(asked) - empty, 1e-3)
+        rated.append(((rejected + 0.5) / cost, rule))
     return [rule for _, rule in sorted(rated, key=lambda x: -x[0])]
 
 
-def _cascade(docs: DataFrame, rules, text: str, report_all: bool) -> DataFrame:
+def _cascade(docs: DataFrame, rules, text: str, report: tuple[str, ...]) -> DataFrame:
     rules = order_by_sample(docs, text=text) if rules is None else list(rules)
-    df, made = _texts(docs, text), set()
-    if report_all:
-        df = _with(df, FEATURES, made)
-    df = df.withColumn("rejected_by", F.lit(None).cast("string"))
+    made: set[str] = set()
+    df = _with(_texts(docs, text), report, made).withColumn("rejected_by", F.lit(None).cast("string"))
     for rule in rules:
         going = F.col("rejected_by").isNull()
-        if not report_all:
-            df = _with(df, rule.needs, made, going)
+        df = _with(df, rule.needs, made, going)
         df = df.withColumn("rejected_by", F.when(going & F.expr(rule.rejects), rule.name).otherwise(F.col("rejected_by")))
     return df
 
 
-def judge(docs: DataFrame, rules: list[Rule] | tuple[Rule, ...] | None = None, text: str = "text", report_all: bool = False) -> DataFrame:
+def judge(docs: DataFrame, rules: list[Rule] | tuple[Rule, ...] | None = None, text: str = "text", report: tuple[str, ...] = (), report_all: bool = False) -> DataFrame:
     """docs with ``rejected_by``: the first rule of the cascade that rejects the text, null if none does.
 
-    rules: in the order to ask them; by default RULES in the order that a sample suggests.  With
-    report_all every feature is made for every row and stays in the result; else a row's features
-    are made only until a rule rejects it, and none stays.
+    rules: in the order to ask them; by default RULES in the order that a sample suggests.  The features
+    in report are made for every row and stay in the result (all of FEATURES with report_all); the others
+    are made only until a rule rejects the row, and do not stay.
     """
-    more = (*(FEATURES if report_all else ()), "rejected_by")
-    old = [F.col("_row").getField(c).alias(c) for c in docs.columns if c not in more]
-    return _cascade(docs, rules, text, report_all).select(*old, *more)
+    report = FEATURES if report_all else tuple(report)
+    old = [F.col("_row").getField(c).alias(c) for c in docs.columns if c not in (*report, "rejected_by")]
+    return _cascade(docs, rules, text, report).select(*old, *report, "rejected_by")
 
 
 def kept(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs that no rule rejects, with docs' columns."""
-    return _cascade(docs, None, text, False).where("rejected_by is null").select("_row.*")
+    return _cascade(docs, None, text, ()).where("rejected_by is null").select("_row.*")

@@ -22,9 +22,9 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"), report_all=True)
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    judged = quality.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"), report=counts)
     base_failed = F.expr(" or ".join(f"({r.rejects})" for r in quality.BASE_RULES))
-    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return judged.select("doc_id", *counts, base_failed.alias("base_failed"), F.col("rejected_by").isNull().alias("kept"))
 
 
@@ -98,7 +98,7 @@ def _op9_sql() -> str:
     return (
         f"with p as (select page_id, url, case when contains(url, '://') then substr(url, instr(url, '://') + 3) else '' end as rest from pages), "
         f"q as (select page_id, {low.format('regexp_extract(rest, ' + chr(39) + '^([^/?#]*)' + chr(39) + ', 1)')} as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path, "
-        f"case when contains(url, '://') then {low.format('url')} else '' end as u from p) select page_id, host, path, {rule} as rule, {said} as verdict from q"
+        f"coalesce({low.format('url')}, '') as u from p) select page_id, host, path, {rule} as rule, {said} as verdict from q"
     )
 
 

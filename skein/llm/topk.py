@@ -9,7 +9,8 @@ Candidates are evaluated in the order of their bounds until no bound reaches the
 Vectors and queries travel in blocks of bounded size: every query block meets every vector block,
 spread over cells.  The pivots (N_PIVOTS vectors) and three totals are all that the driver sees.
 
-Defined cases: a null vector and one with a null or non-finite component take no part; shorter
+Defined cases: components so large that a product could leave 64 bits raise a ValueError before the
+search; a null vector and one with a null or non-finite component take no part; shorter
 vectors count as padded with zeros; a row with the query's own vec_id is no candidate of it; other repeated rows
 all count; a repeated query id with several vectors keeps the smallest; ties go to the smaller
 vec_id; an empty table gives an empty table; other columns are ignored.
@@ -133,12 +134,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
     data = quantised(vectors, scale)
     asked = quantised(queries, scale).groupBy("vec_id").agg(F.min("v").alias("v"))
     norm = F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double"))
-    largest = F.aggregate("v", F.lit(0).cast("long"), lambda s, c: F.greatest(s, F.abs(c)))
+    largest = F.aggregate("v", F.lit(0.0), lambda s, c: F.greatest(s, F.abs(c.cast("double"))))
     n, top_sq, dim, most = data.agg(F.count("*"), F.max(norm), F.max(F.size("v")), F.max(largest)).first()
     q_n, q_dim, q_most = asked.agg(F.count("*"), F.max(F.size("v")), F.max(largest)).first()
     if not n or not q_n or not max(dim, q_dim):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    dim, most = max(dim, q_dim), max(most, q_most)
+    dim = max(dim, q_dim)
+    if dim * most * q_most >= 2.0**62:
+        raise ValueError(f"components up to {most:g} and {q_most:g} in {dim} dimensions: products would not fit in 64 bits")
+    most = max(most, q_most)
     kind = next(t for t, m in (("int16", 2**15), ("int32", 2**31), ("int64", 2**63)) if most < m)
     picked = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n_pivots).select("v").collect()
     pivots = np.zeros((len(picked), dim), np.int64)

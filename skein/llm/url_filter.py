@@ -5,8 +5,8 @@ characters that are no ASCII letters or digits.  One strict term rejects; soft t
 weights of the distinct ones reach SOFT_LIMIT.  Host rules come first: a rule fits its host and all
 subdomains if the path starts with the rule's, and the longest wins.
 
-Defined cases: a null url or one without ``://`` has an empty host and path, no hits, and is
-allowed; each row is judged alone, so repeated rows and long urls need nothing special; an empty
+Defined cases: a null url has an empty host and path, no hits, and is allowed; one without ``://`` has
+an empty host and path, but the vocabulary reads it whole; each row is judged alone, so repeated rows and long urls need nothing special; an empty
 table gives an empty table; other columns are ignored.
 """
 
@@ -22,11 +22,14 @@ from .common import lower_ascii
 
 #: Verdict and rule, host before the first slash and path from it.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: Terms of which one is enough.
-STRICT = ("casino", "porn", "spam", "warez", "xxx", "viagra", "malware", "phishing")
-#: Terms and weights; several distinct ones are needed.
-SOFT = {"cheap": 1, "pills": 1, "free": 1, "bets": 1, "win": 1, "ads": 1, "track": 1, "farm": 1, "bonus": 1, "adult": 1, "download": 1, "click": 1}
-SOFT_LIMIT = 2
+#: Terms of which one is enough.
+STRICT = ("casino", "porn", "spam", "warez", "xxx", "viagra", "malware", "phishing", "escort", "webcamsex", "jackpot", "keygen", "cialis", "botnet")
+#: Terms and weights; only several distinct ones reach SOFT_LIMIT.
+SOFT = {
+    "pills": 3, "bets": 3, "adult": 3, "torrent": 3, "slots": 3, "crack": 3, "bonus": 2, "cheap": 2, "loan": 2, "dating": 2, "win": 2, "ads": 2, "track": 2,
+    "farm": 2, "clickbait": 2, "free": 1, "download": 1, "click": 1, "deal": 1, "promo": 1, "offer": 1, "prize": 1,
+}
+SOFT_LIMIT = 4
 
 
 def split_url(pages: DataFrame) -> DataFrame:
@@ -80,7 +83,7 @@ def vocabulary_counter(strict=STRICT, soft=SOFT):
 
 def filter_urls(pages: DataFrame, rules=RULES, strict=STRICT, soft=SOFT, soft_limit: int = SOFT_LIMIT) -> DataFrame:
     """(page_id, host, path, rule, verdict, n_strict, soft_weight) for every row of pages."""
-    df = with_rule(split_url(pages), rules).select("page_id", "host", "path", "rule", "rule_verdict", lower_ascii(F.when(F.col("url").contains("://"), F.col("url"))).alias("lowered"))
+    df = with_rule(split_url(pages), rules).select("page_id", "host", "path", "rule", "rule_verdict", lower_ascii(F.col("url")).alias("lowered"))
     page_id = df.schema["page_id"].dataType.simpleString()
     df = df.mapInArrow(vocabulary_counter(strict, soft), f"page_id {page_id}, host string, path string, rule string, rule_verdict string, n_strict long, soft_weight long")
     bad = (F.col("n_strict") > 0) | (F.col("soft_weight") >= soft_limit)

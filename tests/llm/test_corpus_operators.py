@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from skein.llm import bpe, line_dedup, mixing, ngram_join, quality, queries, repeats
+from skein.llm import bpe, edits, line_dedup, mixing, ngram_join, quality, queries, repeats
 from skein.llm.common import components
 
 from . import brute
@@ -85,6 +85,31 @@ def test_repeats_rows(spark):
     assert repeats.digests(docs.limit(0)).count() == 0
 
 
+def test_repeats_in_runs_and_variants(spark):
+    """Runs of one byte, bytes of zero and many variants of one passage."""
+    rnd = random.Random(11)
+    long = "".join(rnd.choice("abcdefgh é\n\0") for _ in range(700))
+    texts = [" " * 300 + "\0" * 150, "\0" * 260 + "a", "x" * 3000, long]
+    for _ in range(60):
+        t = list(long[rnd.randrange(300) :])
+        for _ in range(rnd.randrange(4)):
+            t[rnd.randrange(len(t))] = rnd.choice("abx")
+        texts.append("".join(t))
+    docs = make(spark, list(enumerate(texts))).repartition(3)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.digests(docs).collect()}
+    assert got == brute.op4(list(enumerate(texts)))
+    groups = repeats.repeat_groups(docs.selectExpr("doc_id as d", "xxhash64(text) as th", "text")).collect()
+    raw = {i: t.encode() for i, t in enumerate(texts)}
+    assert any(len(g["occurrences"]) > 30 for g in groups)
+    for g in groups:
+        assert len({raw[o["d"]][o["start"] : o["start"] + g["length"]] for o in g["occurrences"]}) == 1 and g["length"] >= 100
+
+
+def test_repeats_of_a_long_run(spark):
+    got = repeats.digests(make(spark, [(1, "a" * 1_000_000), (2, "b" + "a" * 50_000)])).collect()
+    assert {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in got} == {1: (999_999, 1), 2: (50_000, 1)}
+
+
 def test_maximal_repeats():
     text = b"xabcdyabcdzabcdx"
     keys = np.array([np.frombuffer(text[i:].ljust(len(text) + 1, b"\0"), np.uint8) for i in range(len(text))])
@@ -94,16 +119,18 @@ def test_maximal_repeats():
 
 
 def distance(a, b, most):
+    """The edit distance if it is at most most, else most + 1."""
     if abs(len(a) - len(b)) > most or sum(((Counter(a) - Counter(b)) + Counter()).values()) > most:
         return most + 1
-    row = list(range(len(b) + 1))
+    row = {j: j for j in range(min(len(b), most) + 1)}
     for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        if min(row) > most:
+        new = {}
+        for j in range(max(0, i - most), min(len(b), i + most) + 1):
+            new[j] = min(row.get(j, most) + 1, new.get(j - 1, most) + 1, row.get(j - 1, most) + (x != b[j - 1]) if j else most + 1)
+        row = new
+        if min(row.values()) > most:
             return most + 1
-    return row[-1]
+    return min(row.get(len(b), most + 1), most + 1)
 
 
 def allowed(n):
@@ -133,6 +160,37 @@ def brute_lines(docs):
     return out
 
 
+def test_lines_of_one_template(spark):
+    """Thousands of lines share most of their segments, and dealing hot keys over tasks changes nothing."""
+    lines = [f"Posted by the editors on page two, item number {(i * 7919) % 10**7:07d}" for i in range(3000)]
+    docs = make(spark, list(enumerate(lines)))
+    got = {r[0] for r in line_dedup.counted(docs).where("n_removed = 1").select("_row.doc_id").collect()}
+    digits, want, seen = {}, set(), set()
+    for i, line in enumerate(lines):
+        d = line[-7:]
+        keys = {d[:a] + "*" + d[a + 1 : b] + "*" + d[b + 1 :] for a in range(7) for b in range(a + 1, 7)}
+        shifted = {d[:a] + d[a + 1 :] for a in range(7)}
+        near = any(k in seen for k in keys) or any(("-", s) in seen for s in shifted)
+        if near:
+            want.add(i)
+        seen |= keys | {("-", s) for s in shifted}
+    assert got == want
+
+
+def test_edits_at_once():
+    rnd = random.Random(2)
+    pairs = []
+    for _ in range(400):
+        letters = rnd.choice(["ab", "abcdefgh", "aé日\U0001f600 .*"])
+        x = y = "".join(rnd.choice(letters) for _ in range(rnd.randrange(90)))
+        for _ in range(rnd.randrange(14)):
+            i, c = rnd.randrange(len(y) + 1), rnd.choice(letters)
+            y = rnd.choice([y[:i] + y[i + 1 :], y[:i] + c + y[i:], y[:i] + c + y[i + 1 :]])
+        pairs.append((x, y, rnd.randrange(45)))
+    got = edits.within([p[0] for p in pairs], [p[1] for p in pairs], np.array([p[2] for p in pairs]))
+    assert got.tolist() == [distance(x, y, t) <= t for x, y, t in pairs]
+
+
 @pytest.mark.parametrize("which", ["table", "odd"])
 def test_lines(spark, which):
     if which == "table":

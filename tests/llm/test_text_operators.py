@@ -129,3 +129,6 @@ def test_urls(spark):
         assert verdict in (None, got[i]["verdict"])
     assert [got[i]["verdict"] for i in (12, 13, 14, 15)] == ["block", "allow", "block", "allow"]
     assert url_filter.filter_urls(pages.limit(0)).count() == 0
+    bare = spark.createDataFrame([(1, "www.casino.example/x"), (2, "//a.example/free-download"), (3, "//a.example/free-deal-promo-offer"), (4, "//a.example/slots?free")], "page_id long, url string")
+    got = {r["page_id"]: (r["host"], r["verdict"]) for r in url_filter.filter_urls(bare).collect()}
+    assert got == {1: ("", "block"), 2: ("", "allow"), 3: ("", "block"), 4: ("", "block")}

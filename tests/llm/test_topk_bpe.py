@@ -41,6 +41,14 @@ def test_top_k_odd_vectors(spark):
     assert sorted(tuple(r) for r in topk.top_k(df.where("vec_id < 3"), df.where("vec_id = 0"), k=5).collect()) == [(0, 1, 1, 0), (0, 2, 2, 0)]
 
 
+def test_top_k_large_components(spark):
+    df = spark.createDataFrame([(0, [1e20, 1.0]), (1, [-1e20, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="64 bits"):
+        topk.top_k(df, df)
+    near = spark.createDataFrame([(0, [1e6, 1.0]), (1, [-1e6, 2.0])], "vec_id long, embedding array<double>")
+    assert sorted(tuple(r)[:3] for r in topk.top_k(near, near).collect()) == [(0, 1, 1), (1, 1, 0)]
+
+
 def test_bpe_query(spark, library):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     got = {r["doc_id"]: r for r in queries.op10_bpe(spark, SF).collect()}
