@@ -13,6 +13,7 @@ from ..functions.chunk import source_chunks
 #: Kinds and levels of concepts.
 CONCEPT_TYPES = ("mechanism", "pattern", "mental-model", "heuristic", "observation", "gotcha")
 LEVELS = ("concrete-example", "specific-technique", "general-principle", "meta-concept")
+#: Outcomes of a source.
 OUTCOMES = ("already_processed", "too_short", "provider_error", "invalid_output", "no_valid_concepts", "non_extractable", "created")
 
 

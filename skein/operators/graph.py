@@ -60,3 +60,27 @@ def bundle(rows: DataFrame, title: str, source: str, at: str, counts: dict[str,
     head = f"# Bundle: {title}\nGenerated: {at}\n\n" + (f"## Source Content\n\n{source_text}\n\n" if source_text is not None else "") + "## Connected Knowledge\n\n"
     tail = f"## Metadata\n\nSource: [[{source}]]\n" + "".join(f"{k}: {v}\n" for k, v in counts.items()) + "Max depth: "
     return body.select(F.concat(F.lit(head), F.array_join(F.col("d.text"), ""), F.lit(tail), F.coalesce("deepest", F.lit(0)).cast("string"), F.lit("\n")).alias("content"))
+
+
+def source_seeds(notes: DataFrame, source: str, similar: DataFrame) -> DataFrame:
+    """(note_id, ord): the notes that refer to the source, in file order, then the ids of similar (rank, note_id) not among them."""
+    own = N.notes_of_source(notes, source).groupBy("note_id").agg(F.min("stem").alias("stem")).select("note_id", F.struct(F.lit(0).alias("part"), "stem", F.lit(0).alias("rank")).alias("at"))
+    more = similar.join(own, "note_id", "left_anti").select("note_id", F.struct(F.lit(1).alias("part"), F.lit("").alias("stem"), F.col("rank").cast("int").alias("rank")).alias("at"))
+    # the notes of one source and its similar ones, a handful that one bundle holds
+    return own.union(more).select("note_id", F.row_number().over(W.orderBy("at")).cast("long").alias("ord"))
+
+
+def source_counts(notes: DataFrame, source: str, similar: DataFrame, depth: int) -> dict[str, int]:
+    """The metadata of a source's bundle."""
+    own = N.notes_of_source(notes, source).select("note_id").distinct()
+    direct = similar.join(own, "note_id", "left_anti").count()
+    return {"Source notes": own.count(), "Direct tags": 0, "Direct similar notes": direct, "Traversed notes": reach(notes, source_seeds(notes, source, similar), depth).count()}
+
+
+def note_counts(notes: DataFrame, note_id: str, depth: int) -> dict[str, int]:
+    """The metadata of a note's bundle; links that repeat count each time."""
+    own = N.last_files(notes).where(F.col("note_id") == note_id)
+    row = own.select(F.size(T.tag_links(F.col("content"))).alias("tags"), F.size(T.see_also_links(F.col("content"))).alias("see")).first()
+    if row is None:
+        raise FileNotFoundError(note_id)
+    return {"Source notes": 1, "Direct tags": row["tags"], "Direct similar notes": row["see"], "Traversed notes": reach(notes, note_seeds(notes, note_id), depth).count()}

@@ -95,3 +95,25 @@ def notes_of_source(notes: DataFrame, source: str) -> DataFrame:
     """Notes with a reference to the source."""
     hit = F.exists(T.ids_of(T.reference_links(F.col("content"))), lambda x: x == T.normalize_id(F.lit(source)))
     return with_ids(notes).where(hit)
+
+
+def sync_backlinks(notes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(notes after see-also links moved to tags and backlinks were added, one row of counts)."""
+    moved = migrate_see_also(notes)
+    after = add_backlinks(moved)
+    see = F.size(T.see_also_links(F.col("content")))
+    first = notes.agg(F.count_if(see > 0).alias("n_sections_removed"), F.coalesce(F.sum(see), F.lit(0)).cast("long").alias("n_tags_added"))
+    links_ = missing_backlinks(moved).agg(F.count("*").alias("n_backlinks_added"))
+    changed = after.select("stem", F.col("content").alias("new")).join(notes.select("stem", "content"), "stem").agg(F.count_if(F.col("new") != F.col("content")).alias("n_files_modified"))
+    return after, first.join(links_).join(changed)
+
+
+def rename_counts(notes: DataFrame) -> DataFrame:
+    """One row: files renamed, groups merged, files that merges delete (all but one that has the id as its name)."""
+    plan = rename_plan(notes)
+    merge = F.col("action") == "merge"
+    return plan.agg(
+        F.count_if(F.col("action") == "rename").alias("n_renamed"),
+        F.count_if(merge).alias("n_merged"),
+        F.coalesce(F.sum(F.when(merge, F.size("files") - F.array_contains("files", F.col("note_id")).cast("int"))), F.lit(0)).cast("long").alias("n_deleted"),
+    )

@@ -9,11 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
 
-#: So many queries at most are sent to all tasks at once; more take more passes.
-QUERY_BLOCK = 4096
+#: Vectors in a block.
+BLOCK = 1024
+#: Embedding providers and their default models; only the first one works without a network.
+DEFAULT_MODELS = {"keywords": "counts-1"}
 #: Terms that the offline embedding counts.
 TERMS = ("the", "and", "er", "on", "que", "de")
 
@@ -25,62 +28,110 @@ def keyword_embedding(text: Column) -> Column:
     return F.array(*(count(t) for t in TERMS), F.length(text) / 1000.0)
 
 
-def cosine_distance(a: Column, b: Column) -> Column:
-    """1 - cosine, 1 if either has no length; computed in double."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, c: s + F.coalesce(c, F.lit(0.0)))
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norm == 0, 1.0).otherwise(1.0 - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / norm)))
+def _packed(dim: int, size: int, id_type: pa.DataType):
+    """For mapInArrow: rows (id, v) to blocks (ids, m); m holds doubles, shorter vectors padded with zeros."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                v = part.column("v")
+                flat, offsets = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.asarray(v.offsets) - v.offsets[0].as_py()
+                m = np.zeros((part.num_rows, dim))
+                width = np.diff(offsets)
+                row = np.repeat(np.arange(part.num_rows), width)
+                m[row, np.arange(len(flat)) - np.repeat(offsets[:-1], width)] = np.nan_to_num(flat)
+                ids = pa.array([part.column("id").to_pylist()], pa.list_(id_type))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([m.tobytes()], pa.binary())], names=["ids", "m"])
+
+    return run
 
 
-def _nearest(ids: np.ndarray, matrix: np.ndarray, k: int, metric: str):
+def _compared(dim: int, metric: str, k: int | None, max_distance: float | None, q_type: pa.DataType, id_type: pa.DataType):
+    """For mapInArrow: pairs of blocks to (query_id, id, distance), the k nearest of each query in the block."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_i, best_d = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
         unit = lambda m: m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-300)
-        q = unit(matrix) if metric == "cosine" else matrix
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                x = np.array(part.column("v").to_pylist(), np.float64).reshape(part.num_rows, -1)
+            for r in range(batch.num_rows):
+                q, x = (np.frombuffer(batch.column(c)[r].as_py(), np.float64).reshape(-1, dim) for c in ("q_m", "m"))
                 if metric == "cosine":
-                    d = 1 - np.clip(q @ unit(x).T, -1, 1)
+                    d = 1 - np.clip(unit(q) @ unit(x).T, -1, 1)
                 else:
                     d = np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * q @ x.T, 0)
-                own = part.column("id").to_numpy()
-                best_i = np.hstack([best_i, np.broadcast_to(own, d.shape)])
-                best_d = np.hstack([best_d, np.round(d, 6)])
-                order = np.lexsort((best_i, best_d), axis=1)[:, :k]
-                best_i, best_d = np.take_along_axis(best_i, order, 1), np.take_along_axis(best_d, order, 1)
-        n = best_i.shape[1]
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(best_i.ravel()), pa.array(best_d.ravel())], names=["query_id", "id", "distance"])
+                d = np.round(d, 6)
+                keep = np.ones(d.shape, bool) if max_distance is None else d <= max_distance
+                if k is not None and k < d.shape[1]:
+                    # ties at the k-th distance all stay; the last ranking settles them by id
+                    keep &= d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+                i, j = np.nonzero(keep)
+                q_ids, ids = (batch.column(c)[r].values for c in ("q_ids", "ids"))
+                yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(i)), ids.take(pa.array(j)), pa.array(d[i, j])], names=["query_id", "id", "distance"])
 
     return run
 
 
+def near_pairs(index: DataFrame, queries: DataFrame, k: int | None = None, max_distance: float | None = None, metric: str = "l2sq") -> DataFrame:
+    """(query_id, id, distance) of rows of queries (id, v) and index (id, v): exact, rounded to six places.
+
+    Every block of queries meets every block of vectors, spread over cells; of each meeting the k nearest
+    of a query stay, those with equal distances too.  Null vectors take no part.
+    """
+    index, queries = (df.select("id", "v").where("id is not null and v is not null") for df in (index, queries))
+    n, dim = index.agg(F.count("*"), F.max(F.size("v"))).first()
+    q_dim = queries.agg(F.max(F.size("v"))).first()[0]
+    dim = max(dim or 0, q_dim or 0, 1)
+    types = [df.schema["id"].dataType for df in (queries, index)]
+    arrow = [to_arrow_type(t) for t in types]
+    cells = max(1, -(-n // (4 * BLOCK)))
+    blocks = index.mapInArrow(_packed(dim, BLOCK, arrow[1]), f"ids array<{types[1].simpleString()}>, m binary")
+    blocks = blocks.withColumn("cell", F.pmod(F.monotonically_increasing_id() + F.spark_partition_id(), F.lit(cells)).cast("int"))
+    asked = queries.mapInArrow(_packed(dim, BLOCK, arrow[0]), f"ids array<{types[0].simpleString()}>, m binary")
+    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"), F.col("ids").alias("q_ids"), F.col("m").alias("q_m"))
+    met = asked.join(blocks, "cell").select("q_ids", "q_m", "ids", "m")
+    return met.mapInArrow(_compared(dim, metric, k, max_distance, *arrow), f"query_id {types[0].simpleString()}, id {types[1].simpleString()}, distance double")
+
+
+def near_pairs_within(rows: DataFrame, group: str, threshold: float) -> DataFrame:
+    """(earlier, later): rows (group, id, v) of one group whose cosine distance is at most threshold; for groups as small as a source's concepts."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, c: s + F.coalesce(c, F.lit(0.0)))
+    a, b = rows.alias("a"), rows.alias("b")
+    pairs = a.join(b, (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col("a.id") < F.col("b.id")))
+    norm = F.sqrt(dot("a.v", "a.v")) * F.sqrt(dot("b.v", "b.v"))
+    distance = F.when(norm == 0, 1.0).otherwise(1.0 - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot("a.v", "b.v") / norm)))
+    return pairs.where(distance <= threshold).select(F.col("a.id").alias("earlier"), F.col("b.id").alias("later"))
+
+
 def find_similar(index: DataFrame, queries: DataFrame, k: int = 5, max_distance: float | None = None, metric: str = "l2sq") -> DataFrame:
     """(query_id, rank, id, distance): the k nearest rows of index (id, v) to each row of queries (id, v).
 
-    Exact; distances are rounded to six places and ties go to the smaller id.  The queries are read in
-    blocks of QUERY_BLOCK, each of which goes to all tasks and keeps k candidates a task.
+    Exact; distances are rounded to six places and ties go to the smaller id.
     """
-    spark = index.sparkSession
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    found = None
-    for b in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect()
-        if not rows:
-            continue
-        part = index.select("id", "v").mapInArrow(_nearest(np.array([r["id"] for r in rows], np.int64), np.array([r["v"] for r in rows], np.float64), k, metric), "query_id long, id long, distance double")
-        found = part if found is None else found.union(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, id long, distance double")
-    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))).where(F.col("rank") <= k)
-    if max_distance is not None:
-        ranked = ranked.where(F.col("distance") <= max_distance)
+    near = near_pairs(index, queries, k, max_distance, metric)
+    ranked = near.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "id", "distance")
 
 
+def first_come(items: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """(id, kept) for items (id): in turn each is kept unless it conflicts (earlier, later) with an earlier kept one.
+
+    Each round keeps the rows without an undecided or kept earlier neighbour and drops those with a kept one,
+    until all are decided: the result of going through them one by one, in as many rounds as chains are long.
+    """
+    open_, done = items.select("id").distinct().checkpoint(), None
+    edges = conflicts.select("earlier", "later").distinct().checkpoint()
+    while not open_.isEmpty():
+        blocked = edges.select(F.col("later").alias("id")).distinct()
+        kept = open_.join(blocked, "id", "left_anti")
+        dropped = edges.join(kept.select(F.col("id").alias("earlier")), "earlier", "left_semi").select(F.col("later").alias("id")).distinct()
+        now = kept.withColumn("kept", F.lit(True)).union(dropped.withColumn("kept", F.lit(False))).checkpoint()
+        done = now if done is None else done.union(now)
+        open_ = open_.join(now, "id", "left_anti").checkpoint()
+        gone = now.select(F.col("id").alias("gone"))
+        edges = edges.join(gone, F.col("later") == F.col("gone"), "left_anti").join(gone, F.col("earlier") == F.col("gone"), "left_anti").checkpoint()
+    return done if done is not None else items.select("id").withColumn("kept", F.lit(True))
+
+
 def title_dedupe(concepts: DataFrame, group: str, title: str, *order: str) -> DataFrame:
     """The first row of each normalized title in a group."""
     df = concepts.withColumn("_t", T.normalize_id(F.col(title)))
@@ -130,3 +181,32 @@ def require_fresh(entries: DataFrame, index: DataFrame) -> None:
     n = {r["status"]: r["count"] for r in drift(entries, index).groupBy("status").count().collect()}
     if n:
         raise RuntimeError(f"active index is stale: {n.get('missing_or_stale', 0)} missing/stale, {n.get('extra', 0)} extra")
+
+
+def collection_name_of(provider: str, model: str | None) -> tuple[str, str]:
+    """(provider, model) of a collection, with the provider's default model where none is given."""
+    if provider not in DEFAULT_MODELS:
+        raise ValueError(f"unknown embedding provider: {provider}")
+    return provider, model or DEFAULT_MODELS[provider]
+
+
+def collection(index: DataFrame, provider: str, model: str | None = None) -> DataFrame:
+    """The rows of index (collection, provider, model, ...) in one collection; a name that stands for another provider or model is an error."""
+    provider, model = collection_name_of(provider, model)
+    rows = index.where(F.col("collection") == T.collection_name(F.lit(provider), F.lit(model)))
+    other = rows.where((F.col("provider") != provider) | (F.col("model") != model)).select("provider", "model").first()
+    if other:
+        raise ValueError(f"collection holds {other['provider']}/{other['model']}, not {provider}/{model}")
+    return rows
+
+
+def needs_indexing(entries: DataFrame, index: DataFrame) -> DataFrame:
+    """(note_id, needed): whether an entry is missing in the index or stored otherwise."""
+    off = drift(entries, index).where("status = 'missing_or_stale'").select("note_id", F.lit(True).alias("needed"))
+    return entries.select("note_id").join(off, "note_id", "left").select("note_id", F.coalesce("needed", F.lit(False)).alias("needed"))
+
+
+def rebuilt(entries: DataFrame, embed=keyword_embedding) -> DataFrame:
+    """The index made anew: every entry is embedded, whatever was stored."""
+    c = F.col("document")
+    return entries.select("note_id", "document", T.content_hash(c).alias("content_hash"), embed(c).alias("embedding"))

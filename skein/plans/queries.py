@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.chunk import source_chunks
-from ..operators import extract, graph, notes, vectors
+from ..operators import extract, graph, notes, process, vectors
 from ..sources.vault import VAULT_SQL, vault
 
-TEMPLATE = "Created: {{date}} {{time}}\n\nTags:\n\n# {{Title}}\n\n# See Also\n\n# References\n"
+TEMPLATE = "# {{Title}}\n\nTags:\nWritten on {{date}} at {{time}}\n\n# See Also\n\n# References\n"
 #: A reply for each (doc_id + chunk_pos) % 6.
 REPLIES = (
     '{"concepts": [{"title": " A b ", "content": "c", "suggested_tags": ["x", "y"], "concept_type": "pattern", "abstraction_level": "meta-concept"}]}',
@@ -60,6 +60,27 @@ def tag_line_rewrite(spark, sf_dir):
     return vault(spark, sf_dir).select("doc_id", T.content_hash(T.with_tags(c, T.unique_ids(T.tag_links(c)))).alias("content_hash"))
 
 
+def section_replaced(spark, sf_dir):
+    return vault(spark, sf_dir).select("doc_id", T.content_hash(T.with_section(F.col("content"), "See Also", F.lit("- [[x]]"))).alias("content_hash"))
+
+
+def source_totals(spark, sf_dir):
+    return process.totals(vault(spark, sf_dir))
+
+
+def index_refresh_plan(spark, sf_dir):
+    return index_drift(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"))
+
+
+def rename_counts(spark, sf_dir):
+    return notes.rename_counts(vault(spark, sf_dir))
+
+
+def invalid_counts(spark, sf_dir):
+    sources = vault(spark, sf_dir).select(F.col("doc_id").alias("source_id"), "content")
+    return extract.outcomes(sources, _replies(spark, sf_dir), 300).select("source_id", "n_chunks", "n_invalid_chunks", "n_invalid_items", "n_concepts")
+
+
 def non_extractable(spark, sf_dir):
     return vault(spark, sf_dir).select("doc_id", T.is_non_extractable(F.col("content")).alias("non_extractable"))
 
@@ -251,6 +272,11 @@ def _queries() -> dict[str, tuple[Callable, str | None]]:
         "content_hashes": (content_hashes, "select doc_id, sha256(text) as content_hash from documents"),
         "see_also_removed": (see_also_removed, _v(f"select doc_id, sha256({removed}) as content_hash from v")),
         "tag_line_rewrite": (tag_line_rewrite, _v(f"select doc_id, sha256(regexp_replace(content, '(?m)^Tags:[^\\n]*$', {tags_text(_distinct(_TAGS))}, 'g')) as content_hash from v")),
+        "section_replaced": (section_replaced, _v("select doc_id, sha256(rtrim(case when instr(content, chr(10) || '# See Also' || chr(10)) > 0 then string_split(content, chr(10) || '# See Also' || chr(10))[1] || chr(10) else substr(content, 1, instr(content, chr(10) || '# References' || chr(10))) end || '# See Also' || chr(10) || chr(10) || '- [[x]]' || chr(10) || chr(10) || substr(content, instr(content, chr(10) || '# References' || chr(10)) + 1), ' ' || chr(9) || chr(10)) || chr(10)) as content_hash from v")),
+        "source_totals": (source_totals, _v(f"select count(*) as n_sources, count(*) filter (where {_STATUS}) as n_processed, count(*) filter (where not {_STATUS}) as n_unprocessed from v")),
+        "index_refresh_plan": (index_refresh_plan, f"with v as ({VAULT_SQL}), {_ENTRIES}, {_STORED} select case when e.note_id is null then 'extra' else 'missing_or_stale' end as status, count(*) as n from e full join stored s on e.note_id = s.note_id where e.document is distinct from s.document group by 1"),
+        "rename_counts": (rename_counts, _v(f"select count(*) filter (where n = 1 and stem != note_id) as n_renamed, count(*) filter (where n > 1) as n_merged, cast(coalesce(sum(n - own) filter (where n > 1), 0) as bigint) as n_deleted from (select {_id('stem')} as note_id, count(*) as n, min(stem) as stem, max(cast(stem = {_id('stem')} as int)) as own from v group by 1)")),
+        "invalid_counts": (invalid_counts, "select doc_id as source_id, cast(1 as bigint) as n_chunks, cast(doc_id % 6 in (2, 3) as bigint) as n_invalid_chunks, cast(doc_id % 6 in (4, 5) as bigint) as n_invalid_items, cast(doc_id % 6 < 2 as bigint) as n_concepts from documents where text is not null"),
         "non_extractable": (non_extractable, _v(f"select doc_id, {_NONE} as non_extractable from v")),
         "chunk_sizes": (chunk_sizes, None),
         "title_dedupe": (title_dedupe, f"select min(doc_id) as doc_id, source from (select doc_id, source, {_id('string_split(text, chr(10))[1]')} as t from documents) group by source, t"),
@@ -264,14 +290,14 @@ def _queries() -> dict[str, tuple[Callable, str | None]]:
         "index_after_refresh": (index_after_refresh, f"with v as ({VAULT_SQL}), {_ENTRIES} select note_id, sha256(document) as content_hash, round({_EMB}, 6) as total from e"),
         "collection_names": (collection_names, "select distinct source, lang, 'zettels__' || source || '__' || lang || '_model_v1' as collection from documents"),
         "missing_backlinks": (missing_backlinks, f"with v as ({VAULT_SQL}), {_LAST}, {_EDGES}, a as (select distinct {_id('stem')} as backlink, {_id('unnest(l)')} as target from (select stem, {_TAGS} as l from v)) select target, backlink from a where target in (select note_id from last) and not exists (select 1 from edges where edges.note_id = a.target and edges.target = a.backlink)"),
-        "see_also_migration": (see_also_migration, None),
+        "see_also_migration": (see_also_migration, _v(f"select stem, pos - 1 as pos, l[pos] as target from (select stem, l, unnest(range(1, len(l) + 1)) as pos from (select stem, t || list_filter(list_filter(s, lambda x, i: list_position(s, x) = i), lambda x: not list_contains(t, x)) as l from (select stem, list_transform({_TAGS}, lambda x: {_id('x')}) as t, list_transform(regexp_extract_all({_section('See Also')}, {_LINK}, 1), lambda x: {_id('x')}) as s from v)))")),
         "normalize_plan": (normalize_plan, _v(f"select stem, cast(len(list_filter(list_zip(l, i), lambda z: z[1] != z[2])) as bigint) as n_changed, cast(len(i) - len(d) as bigint) as n_duplicates, list_aggregate(d, 'string_agg', ',') as tags from (select *, list_filter(i, lambda x, k: list_position(i, x) = k) as d from (select stem, l, list_transform(l, lambda x: {_id('x')}) as i from (select stem, {_TAGS} as l from v) where len(l) > 0)) where l != d")),
         "rename_plan": (rename_plan, _v(f"select * from (select {_id('stem')} as note_id, case when count(*) > 1 then 'merge' when min(stem) != {_id('stem')} then 'rename' end as action, string_agg(stem, ',' order by stem) as files from v group by 1) where action is not null")),
         "source_notes": (source_notes, _v(f"select doc_id, {_id('stem')} as note_id from v where source = 'src3'")),
         "reach_by_degree": (reach_by_degree, f"with recursive v as ({VAULT_SQL}), {_LAST}, {_EDGES}, seeds as (select {_id('stem')} as note_id from v where doc_id in (2, 7)), walk as (select note_id, 0 as degree from seeds union select e.target, w.degree + 1 from walk w join edges e on e.note_id = w.note_id where w.degree < 3 and e.target in (select note_id from last)) select note_id, cast(min(degree) as bigint) as degree from walk where note_id not in (select note_id from seeds) group by 1"),
         "bundle_rows": (bundle_rows, None),
         "bundle_text": (bundle_text, None),
-        "note_render": (note_render, _v(f"select doc_id, sha256('Created: 02-01-2025 03:04' || chr(10) || chr(10) || {tags_text(_distinct(_TAGS))} || chr(10) || chr(10) || '# Note ' || doc_id || chr(10) || chr(10) || trim(text, ' ' || chr(9) || chr(10)) || chr(10) || chr(10) || '# See Also' || coalesce(chr(10) || chr(10) || list_aggregate(list_transform({_distinct(f'regexp_extract_all({_section("See Also")}, {_LINK}, 1)')}, lambda y: '- [[' || y || ']]'), 'string_agg', chr(10)), '') || chr(10) || chr(10) || '# References' || chr(10) || chr(10) || '1. [[' || source || ']]' || chr(10)) as content_hash from v")),
+        "note_render": (note_render, _v(f"select doc_id, sha256('# Note ' || doc_id || chr(10) || chr(10) || trim(text, ' ' || chr(9) || chr(10)) || chr(10) || chr(10) || {tags_text(_distinct(_TAGS))} || chr(10) || 'Written on 02-01-2025 at 03:04' || chr(10) || chr(10) || '# See Also' || coalesce(chr(10) || chr(10) || list_aggregate(list_transform({_distinct(f'regexp_extract_all({_section("See Also")}, {_LINK}, 1)')}, lambda y: '- [[' || y || ']]'), 'string_agg', chr(10)), '') || chr(10) || chr(10) || '# References' || chr(10) || chr(10) || '1. [[' || source || ']]' || chr(10)) as content_hash from v")),
         "concept_validation": (concept_validation, "select doc_id as source_id, case doc_id % 6 when 0 then 'A b' when 1 then 'D' when 4 then 'F' else '1' end as title, doc_id % 6 < 2 as ok, case doc_id % 6 when 1 then 'x,y,z' when 4 then 'x' else 'x,y' end as tags from documents where text is not null and doc_id % 6 in (0, 1, 4, 5)"),
         "outcome_summary": (outcome_summary, _v(f"select o.outcome, count(f.outcome) as n from (select unnest({list(extract.OUTCOMES)!r}) as outcome) o left join (select case when {_STATUS} then 'already_processed' when length(trim(content, ' ' || chr(9) || chr(10))) < 300 then 'too_short' when doc_id % 6 < 2 then 'created' else 'invalid_output' end as outcome from v) f on o.outcome = f.outcome group by 1")),
     }
