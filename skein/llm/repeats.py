@@ -43,6 +43,8 @@ REACH = SIZE - GRAM
 TOGETHER, HOT = 8_000, 20_000
 #: Suffixes that are sorted together (more only if one hash has more).
 SUFFIXES = 60_000
+#: Hashes with more than HOT anchors that are sent to all tasks as a list; more are told apart by joins.
+LISTED = 100_000
 #: In place of a hash: the row is a removed span.
 _SPAN = -(2**63)
 _STEP = 0x5851F42D4C957F2D
@@ -115,7 +117,9 @@ def _again(raw: bytes, doc: np.ndarray, key: np.ndarray, first: np.ndarray, end:
     return out
 
 
-def _contexts(bits):
+def _contexts(bits, listed: np.ndarray | None = None, inside: bool = False):
+    """For mapInArrow: contexts of anchors that pass the filter; of listed hashes only these (inside), or all others."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = bits.value
         for batch in batches:
@@ -126,6 +130,8 @@ def _contexts(bits):
                     continue
                 slot = h & np.uint64(64 * len(table) - 1)  # an anchor's hash is a minimum, so its upper bits are low
                 hit = (table[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+                if listed is not None:
+                    hit &= np.isin(h.view(np.int64), listed, invert=not inside)
                 h, at, first, end, whole = h[hit], at[hit], first[hit], last[hit] + SIZE, whole[hit]
                 doc = np.searchsorted(offsets, at, "right") - 1
                 raw = data.tobytes()
@@ -343,22 +349,23 @@ def _parted(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     often = docs.select("text").mapInArrow(_anchor_hashes, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
     often = written(often.select("h", (F.col("n") > HOT).alias("hot")), "anchor-hashes")
     hot = often.where("hot").select("h")
+    few = hot.limit(LISTED + 1).toArrow().column("h").to_numpy()
 
-    def contexts(hashes: DataFrame) -> DataFrame:
+    def contexts(hashes: DataFrame, *which) -> DataFrame:
         log2 = log2_bits(hashes.count())
         bits = spark.sparkContext.broadcast(slot_bits(hashes, F.col("h").bitwiseAND(F.lit((1 << log2) - 1)), log2))
-        return docs.mapInArrow(_contexts(bits), "h long, d long, th long, at long, o_min int, o_max int, around binary")
+        return docs.mapInArrow(_contexts(bits, *which), "h long, d long, th long, at long, o_min int, o_max int, around binary")
 
-    near = contexts(often)
-    if hot.isEmpty():
-        return near, None
-    return near.join(hot, "h", "left_anti"), contexts(hot).join(hot, "h", "left_semi")
+    if not len(few):
+        return contexts(often), None
+    if len(few) <= LISTED:
+        return contexts(often, few), contexts(hot, few, True)
+    return contexts(often).join(hot, "h", "left_anti"), contexts(hot).join(hot, "h", "left_semi")
 
 
 def _hot_spans(near: DataFrame) -> DataFrame:
     """(d, th, a, b) for contexts of which one hash may have any number."""
     who, context = F.struct("d", "th", "at"), ["h", "o_min", "o_max", "around"]
-    near = written(near, "hot-contexts")
     firsts = written(near.groupBy(*context).agg(F.min(who).alias("first"), F.count("*").alias("n")), "hot-firsts")
     # all strings of a context stand where it stood first
     later = near.join(firsts.where("n > 1").drop("n"), context).where(who > F.col("first"))
@@ -376,7 +383,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     near, hot = _parted(docs)
     spread = F.when(F.col("h") == _SPAN, F.col("d")).otherwise(F.col("h"))
     spans = near.repartition(spread).sortWithinPartitions("h").mapInArrow(_spans, "d long, th long, a long, b long")
-    return spans if hot is None else spans.union(_hot_spans(hot))
+    if hot is None:
+        return spans
+    hot = written(hot, "hot-contexts")
+    own = hot.where(F.col("h") == _SPAN).select("d", "th", F.col("at").alias("a"), (F.col("at") + F.col("o_max")).alias("b"))
+    return spans.union(own).union(_hot_spans(hot.where(F.col("h") != _SPAN)))
 
 
 def repeat_groups(docs: DataFrame) -> DataFrame:
