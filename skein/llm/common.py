@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
 from functools import reduce
 
@@ -32,10 +34,13 @@ def once(expr: Column) -> Column:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A folder in the one that the cluster shares; a machine's own would split tables over machines, so one has to be set."""
+    """A folder in the one that the cluster shares; a temporary one only where none is set and all runs in one process, as in tests."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = os.path.join(tempfile.gettempdir(), "checkpoints")
     return f"{shared.rstrip('/')}/skein"
 
 
