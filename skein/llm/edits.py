@@ -6,6 +6,8 @@ import numpy as np
 
 #: Edits for which a band of rows fits in the bits of an unsigned long.
 NARROW = 31
+#: Columns of a long pair whose characters are looked up together.
+SPAN = 4096
 #: Characters of the pairs that are worked on together.
 CHARS = 1 << 20
 
@@ -68,25 +70,47 @@ def banded_bits(x: list[str], y: list[str], t: int) -> np.ndarray:
     return out
 
 
-def banded_rows(x: str, y: str, t: int) -> int:
-    """The edit distance of one pair if it is at most t, else some larger number, with a band of whole numbers."""
-    a, b = (np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32) for s in (x, y))
-    wide = np.concatenate([np.full(t, 0xFFFFFFFE, np.uint32), a, np.full(len(b) + t + 1, 0xFFFFFFFE, np.uint32)])
-    at = np.arange(2 * t + 1)
-    far = len(a) + len(b) + 1
-    now = np.where(at >= t, at - t, far)  # column 0: rows -t to t
-    for j in range(1, len(b) + 1):
-        diagonal = now + (wide[j - 1 : j + 2 * t] != b[j - 1])
-        from_left = np.append(now[1:], far) + 1
-        best = np.minimum(diagonal, from_left)
-        rows = at + j - t
-        best[rows < 0] = far
-        best[rows == 0] = j
-        now = np.minimum.accumulate(best - at) + at
-        now[rows < 0] = far
-        if now.min() > t:
-            return t + 1
-    return int(now[len(a) - len(b) + t])
+def banded_long(x: str, y: str, t: int) -> int:
+    """The edit distance of one pair if it is at most t, else some larger number, for a band of any width.
+
+    The bits of :func:`banded_bits` as whole numbers of Python.  Where the rows of a character stand is
+    noted for SPAN columns (or one band, if that is more) and their rows at a time.
+    """
+    m, n = len(x), len(y)
+    if not m or not n or abs(m - n) > t:
+        return max(m, n)
+    xs, ys = (np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32) for s in (x, y))
+    full, top = (1 << (2 * t + 1)) - 1, 2 * t
+    vp, vn, score, limit = full & ~((1 << t) - 1), 0, t, 2 * t + n - m
+    span = max(SPAN, 2 * t + 1)
+    for begin in range(0, n, span):
+        above = begin - t  # the row of x, from 0, at bit 0 of the first column
+        low = max(above, 0)
+        rows, columns = xs[low : begin + span + t], ys[begin : begin + span].tolist()
+        # rows sorted by character, so that each one's rows lie together
+        order = np.argsort(rows, kind="stable")
+        chars, starts = np.unique(rows[order], return_index=True)
+        places = dict(zip(chars.tolist(), np.split(order, starts[1:])))
+        where = {c: _set_bits(places[c] + (low - above), span + 2 * t) if c in places else 0 for c in set(columns)}
+        for k, c in enumerate(columns):
+            eq = (where[c] >> k) & full
+            d0 = ((((eq & vp) + vp) ^ vp) | eq | vn) & full
+            hp = full & (vn | ~(d0 | vp))
+            lower = d0 >> 1
+            if not d0 >> top:
+                score += 1
+                if score > limit:
+                    return t + 1
+            vp, vn = full & ((d0 & vp) | ~(lower | hp)), lower & hp
+    below = ((1 << 2 * t) - 1) & ~((1 << (m - n + t)) - 1)
+    return score - (vp & below).bit_count() + (vn & below).bit_count()
+
+
+def _set_bits(places: np.ndarray, n: int) -> int:
+    """A whole number of n bits with those at the given places set."""
+    bits = np.zeros(n, np.uint8)
+    bits[places] = 1
+    return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
 
 
 def within(x: list[str], y: list[str], t: np.ndarray) -> np.ndarray:
@@ -95,7 +119,7 @@ def within(x: list[str], y: list[str], t: np.ndarray) -> np.ndarray:
     out = np.zeros(len(x), bool)
     possible = np.abs(m - n) <= t
     for i in np.flatnonzero(possible & (t > NARROW)).tolist():
-        out[i] = banded_rows(x[i], y[i], int(t[i])) <= t[i]
+        out[i] = banded_long(x[i], y[i], int(t[i])) <= t[i]
     rows = np.flatnonzero(possible & (t <= NARROW))
     for edits in np.unique(t[rows]).tolist():
         mine = rows[t[rows] == edits]

@@ -53,8 +53,8 @@ TOGETHER = 2_000_000
 TRIES = 4
 #: Characters whose counts are compared before a distance is computed, eight to a long.
 _COUNTED = "etaoinsrhdlumg0123456789"
-#: Pairs that a task verifies.
-PAIRS = 20_000
+#: Characters of pairs, each counted again for every 64 edits allowed, that a task verifies.
+WORK = 8_000_000
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -154,8 +154,10 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of line hashes that are near; pairs is a written table."""
     side = lambda i, s: texts.select(F.col("id").alias(i), F.col("line").alias(s), F.col("most").alias(f"{s}_most"))
     both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
-    # a pair is little to read and much to compute, so the number of tasks follows that of the pairs
-    dealt = both.select("a", "b", "x", "y", F.least("x_most", "y_most").alias("t")).repartition(1 + pairs.count() // PAIRS, "a", "b")
+    # a pair is little to read and much to compute, so the number of tasks follows the work, and the longest pairs lie apart
+    one = pairs.join(texts.select(F.col("id").alias("a"), "n", "most"), "a")
+    work = one.agg(F.coalesce(F.sum(F.col("n") * (1 + F.col("most") / 64)), F.lit(0.0))).first()[0]
+    dealt = both.select("a", "b", "x", "y", F.least("x_most", "y_most").alias("t")).repartition(1 + int(work) // WORK, "a", "b")
     return dealt.mapInArrow(_near, "a long, b long")
 
 
