@@ -191,6 +191,20 @@ def test_edits_at_once():
     assert got.tolist() == [distance(x, y, t) <= t for x, y, t in pairs]
 
 
+@pytest.mark.parametrize("span", [5, 64])
+def test_edits_of_wide_bands(monkeypatch, span):
+    monkeypatch.setattr(edits, "SPAN", span)
+    rnd = random.Random(3)
+    for _ in range(300):
+        letters = rnd.choice(["ab", "abcdefgh", "aé日\U0001f600 .*"])
+        x = y = "".join(rnd.choice(letters) for _ in range(rnd.randrange(150)))
+        for _ in range(rnd.randrange(60)):
+            i, c = rnd.randrange(len(y) + 1), rnd.choice(letters)
+            y = rnd.choice([y[:i] + y[i + 1 :], y[:i] + c + y[i:], y[:i] + c + y[i + 1 :]])
+        t = rnd.randrange(60)
+        assert (edits.banded_long(x, y, t) <= t) == (distance(x, y, t) <= t), (x, y, t)
+
+
 @pytest.mark.parametrize("which", ["table", "odd"])
 def test_lines(spark, which):
     if which == "table":
