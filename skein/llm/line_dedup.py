@@ -20,8 +20,9 @@ where hashes meet, before any text moves.
 
 A line only needs one earlier near line.  So the earliest line of each key is tried first, then a few
 others of those that share a key, and all pairs only for lines that are still without one.  Pairs are
-made where lengths and counts of characters leave room for the edits (one edit moves two counts at
-most), inside the join; the pairs of a key with many lines are dealt over many tasks.  Pairs are
+made where lengths and counts of characters, of both halves, leave room for the edits (one edit moves
+two counts at most), inside the join; the pairs of a key with many lines are dealt over many tasks,
+and made once where lines share many such keys.  Pairs are
 verified by a banded bit-parallel edit distance, many at once in numpy: that step alone is not made of
 DataFrame functions, for which README gives the figures.
 
@@ -51,8 +52,10 @@ PIECE = 64
 TOGETHER = 2_000_000
 #: Candidates that a line is compared with before all others.
 TRIES = 4
-#: Characters whose counts are compared before a distance is computed, eight to a long.
-_COUNTED = "etaoinsrhdlumg0123456789"
+#: Pairs of lines from which on a key is a frequent one, and frequent keys that a line carries.
+OFTEN, CARRIED = 10_000, 16
+#: Characters whose counts are compared before a distance is computed, some of them two to a count; eight counts to a long.
+_COUNTED = (*"etaoinsrhdlumg", "c0", "f1", "p2", "b3", "w4", "y5", "v6", "k7", ".8", ",9")
 #: Characters of pairs, each counted again for every 64 edits allowed, that a task verifies.
 WORK = 8_000_000
 
@@ -100,47 +103,59 @@ def _keyed(lines: DataFrame, threshold: int) -> DataFrame:
     cut = df.select("id", "band", "wide", (4 * begin + 1).alias("begin"), (4 * width).alias("width"), F.when(i <= t + 1, 4).otherwise(4 * step).alias("stride"),
         F.when(short, i).otherwise(0).alias("number"), n_own.alias("n_own"), F.explode(F.sequence(F.lit(0), last)).alias("off"))
     segment = F.substring("wide", F.col("begin") + F.col("off") * F.col("stride"), F.col("width"))
-    return cut.select("id", F.xxhash64("band", "number", segment).alias("key"), (F.col("off") < F.col("n_own")).alias("own"))
+    return cut.select("id", F.xxhash64("band", "number", segment).alias("key"), (2 * band + (F.col("off") < F.col("n_own")).cast("int")).alias("mark"))
 
 
-def _counts(line: Column) -> list[Column]:
-    """How often a line has each of _COUNTED, modulo 16, eight to a long.
+def _counts(part: Column, name: str) -> list[Column]:
+    """How often part of a line has the characters of _COUNTED, modulo 16, eight to a long.
 
     Eight bits stand for a count so that two counts differ in as many bits as they are apart, going round.
     """
     ring = F.array(*(F.lit((1 << r) - 1 if r <= 8 else 255 - ((1 << (r - 8)) - 1)).cast("long") for r in range(16)))
-    seen = lambda c: F.get(ring, F.pmod(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit(""))), F.lit(16)))
+    gone = lambda chars: F.replace(part if len(chars) == 1 else F.replace(part, F.lit(chars[1]), F.lit("")), F.lit(chars[0]), F.lit(""))
+    seen = lambda chars: F.get(ring, F.pmod(F.octet_length(part) - F.octet_length(gone(chars)), F.lit(16)))
     out = []
     for at in range(0, len(_COUNTED), 8):
         word = F.lit(0).cast("long")
-        for k, c in enumerate(_COUNTED[at : at + 8]):
-            word = word.bitwiseOR(F.shiftleft(seen(c), 8 * k))
-        out.append(word.alias(f"c{at // 8}"))
+        for k, chars in enumerate(_COUNTED[at : at + 8]):
+            word = word.bitwiseOR(F.shiftleft(seen(chars), 8 * k))
+        out.append(word.alias(f"{name}{at // 8}"))
     return out
 
 
-_COLS = ("n", "most", *(f"c{k}" for k in range(len(_COUNTED) // 8)))
+_WORDS = tuple(f"{part}{k}" for part in ("front", "back") for k in range(len(_COUNTED) // 8))
+_COLS = ("n", "most", *_WORDS)
 
 
 def _may(a: str, b: str) -> Column:
-    """Whether lengths and counts of two lines leave room for the edits allowed."""
+    """Whether lengths and counts of two lines of one band leave room for the edits allowed.
+
+    As many characters are counted from the start of both lines and as many from their end, with no more
+    together than the band's shortest line has.  An edit lies in one of the two parts, if in any, and moves
+    two counts there at most: one for what it takes or adds and one for what it shifts over the part's edge.
+    """
     t = F.least(F.col(f"{a}.most"), F.col(f"{b}.most"))
     apart = F.lit(0)
-    for k in range(len(_COUNTED) // 8):
-        apart = apart + F.bit_count(F.col(f"{a}.c{k}").bitwiseXOR(F.col(f"{b}.c{k}")))
+    for c in _WORDS:
+        apart = apart + F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")))
     return (F.abs(F.col(f"{a}.n") - F.col(f"{b}.n")) <= t) & (apart <= 2 * t)
 
 
-def _sharing(lines: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
-    """((key, own, id), (id, line, n, most, counts)): the keys that several lines share, and their lines."""
+def _sharing(lines: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The keys that several lines share (key, id, band, own), their lines (id, line, n, most), and their counts (id, band, ...)."""
     group = W.partitionBy("key")
     several = _keyed(lines, threshold).withColumn("low", F.min("id").over(group)).withColumn("high", F.max("id").over(group)).where("low != high")
-    near = written(several.groupBy("key", "id").agg(F.max("own").alias("own")), "near-keys")
-    ids = written(near.select("id").distinct(), "near-ids")
+    several = several.groupBy("key", "id").agg(F.max("mark").alias("mark"))
+    near = written(several.select("key", "id", F.floor(F.col("mark") / 2).cast("int").alias("band"), (F.col("mark") % 2 == 1).alias("own")), "near-keys")
+    ids = written(near.groupBy("id").agg(F.collect_set("band").alias("bands")), "near-ids")
     texts = has_bit(lines.select(F.xxhash64("line").alias("id"), "line"), "id", bit_table(ids, "id")).where("maybe")
-    texts = texts.groupBy("id", "line").agg(F.lit(1).alias("one")).join(ids, "id", "left_semi")
-    n = F.length("line")
-    return near, written(texts.select("id", "line", n.alias("n"), _edits(_band(n, threshold), threshold).alias("most"), *_counts(F.col("line"))), "near-texts")
+    texts = texts.groupBy("id", "line").agg(F.lit(1).alias("one")).join(ids, "id")
+    n, half = F.length("line"), F.floor(F.col("band") / 2).cast("int")
+    texts = texts.select("id", "line", n.alias("n"), _edits(_band(n, threshold), threshold).alias("most"), "bands")
+    texts = written(texts, "near-texts")
+    parts = texts.select("id", "n", "most", F.explode("bands").alias("band"), "line")
+    parts = parts.select("id", "n", "most", "band", F.left("line", half).alias("front"), F.right("line", half).alias("back"))
+    return near, texts.drop("bands"), parts.select("id", "band", "n", "most", *_counts(F.col("front"), "front"), *_counts(F.col("back"), "back"))
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,40 +177,49 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _meeting(left: DataFrame, right: DataFrame, fits: Column) -> DataFrame:
-    """(a, b) for rows l of left and r of right with one key and fits; keys with many pairs are dealt over several tasks."""
-    work = left.groupBy("key").agg(F.count("*").alias("nl")).join(right.groupBy("key").agg(F.count("*").alias("nr")), "key")
-    hot = work.where(F.col("nl") * F.col("nr") > TOGETHER).select("key", F.ceil(F.sqrt(F.col("nl") * F.col("nr") / TOGETHER)).cast("int").alias("parts"))
-    hot = written(hot, "hot-keys")
-    found = lambda l, r, on: l.alias("l").join(r.alias("r"), [F.col(f"l.{c}") == F.col(f"r.{c}") for c in on] + [fits]).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))  # noqa: E731,E741
+    """(a, b) for rows l of left and r of right with one key, l or r an own one of its, and fits.
+
+    Lines that share one frequent key mostly share many.  So each carries the least of its own and probed
+    ones, and a pair is made at the least key that both carry, or at each one if they carry none in common.
+    Keys with many pairs are dealt over several tasks.
+    """
+    work = left.groupBy("key").agg(F.count("*").alias("nl")).join(right.groupBy("key").agg(F.count("*").alias("nr")), "key").withColumn("work", F.col("nl") * F.col("nr"))
+    hot = written(work.where(F.col("work") > OFTEN).select("key", F.ceil(F.sqrt(F.col("work") / TOGETHER)).cast("int").alias("parts")), "hot-keys")
+    found = lambda l, r, on, fits: l.alias("l").join(r.alias("r"), [F.col(f"l.{c}") == F.col(f"r.{c}") for c in on] + [fits]).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))  # noqa: E731,E741
+    own = F.col("l.own") | F.col("r.own")
     if hot.isEmpty():
-        return found(left, right, ["key"]).distinct()
+        return found(left, right, ["key"], own & fits).distinct()
+    theirs = right.join(hot, "key").groupBy("id").agg(F.slice(F.sort_array(F.collect_set("key")), 1, CARRIED).alias("often"))
+    theirs = written(theirs, "often-keys")
     part, every = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    rows, columns = left.join(hot, "key").select("*", part.alias("pl"), every.alias("pr")), right.join(hot, "key").select("*", part.alias("pr"), every.alias("pl"))
-    cold = found(left.join(hot, "key", "left_anti"), right.join(hot, "key", "left_anti"), ["key"])
-    return cold.union(found(rows, columns, ["key", "pl", "pr"])).distinct()
+    rows = left.join(hot, "key").join(theirs, "id").select("*", part.alias("pl"), every.alias("pr"))
+    columns = right.join(hot, "key").join(theirs, "id").select("*", part.alias("pr"), every.alias("pl"))
+    first = F.coalesce(F.array_min(F.array_intersect("l.often", "r.often")) == F.col("l.key"), own)
+    cold = found(left.join(hot, "key", "left_anti"), right.join(hot, "key", "left_anti"), ["key"], own & fits)
+    return cold.union(found(rows, columns, ["key", "pl", "pr"], fits & first)).distinct()
 
 
 def edit_links(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """(a, b): hashes of different lines that are near, each pair both ways."""
-    near, texts = _sharing(_lines(docs, min_chars).select("line"), threshold)
-    rows = near.join(texts.select("id", *_COLS), "id")
-    fits = (F.col("l.id") < F.col("r.id")) & (F.col("l.own") | F.col("r.own")) & _may("l", "r")
+    near, texts, counts = _sharing(_lines(docs, min_chars).select("line"), threshold)
+    rows = written(near.join(counts, ["id", "band"]), "near-lines")
+    fits = (F.col("l.id") < F.col("r.id")) & _may("l", "r")
     links = written(_verified(written(_meeting(rows, rows, fits), "line-pairs"), texts), "line-links")
     return links.union(links.select("b", "a"))
 
 
 def late_lines(docs: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """(id): hashes of lines that have a near line with an earlier first place, for firsts (id, first) with one place or more of a hash."""
-    near, texts = _sharing(_lines(docs, min_chars).select("line"), threshold)
+    near, texts, counts = _sharing(_lines(docs, min_chars).select("line"), threshold)
     begin = firsts.join(texts.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("first").alias("first"))
-    rows = written(near.join(texts.select("id", *_COLS).join(begin, "id"), "id"), "near-lines")
+    rows = written(near.join(counts.join(begin, "id"), ["id", "band"]), "near-lines")
     earlier = F.col("r.first") < F.col("l.first")
     leader = rows.where("own").groupBy("key").agg(F.min(F.struct("first", "id", *_COLS)).alias("lead")).select("key", "lead.*")
     led = rows.alias("l").join(leader.alias("r"), [F.col("l.key") == F.col("r.key"), earlier, _may("l", "r")])
     tried = written(led.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct(), "line-pairs")
     late = written(_verified(tried, texts).select(F.col("a").alias("id")).distinct(), "late-lines")
     left = rows.join(late, "id", "left_anti")
-    pairs = _meeting(left, rows, earlier & (F.col("l.own") | F.col("r.own")) & _may("l", "r"))
+    pairs = _meeting(left, rows, earlier & _may("l", "r"))
     pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "line-pairs")
     some = F.array(*(F.min_by("b", F.xxhash64("b", F.lit(k))) for k in range(TRIES)))
     some = written(pairs.groupBy("a").agg(some.alias("b")).select("a", F.explode(F.array_distinct("b")).alias("b")), "line-pairs")

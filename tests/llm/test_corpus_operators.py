@@ -177,6 +177,30 @@ def test_lines_of_one_template(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("size", [120, 530])
+def test_lines_of_frequent_keys(spark, monkeypatch, size):
+    """Variants of one line about as far apart as is allowed, where most keys are frequent and dealt over tasks."""
+    monkeypatch.setattr(line_dedup, "OFTEN", 2)
+    monkeypatch.setattr(line_dedup, "TOGETHER", 50)
+    rnd = random.Random(size)
+    base = [rnd.choice(["the", "onan", "thre", "edinre", "was", "eaor"]) for _ in range(size // 4)]
+    texts = []
+    for _ in range(150):
+        w = list(base)
+        for _ in range(rnd.randrange(5)):
+            w[rnd.randrange(len(w))] = rnd.choice(["ander", "of", "thth", "in.", "reat7", ""])
+        texts.append(" ".join(w)[: size + rnd.randrange(-4, 5)])
+    docs = make(spark, list(enumerate(texts))).repartition(3)
+    got = {r[0]: r[1] for r in line_dedup.counted(docs).select("_row.doc_id", "kept").collect()}
+    want = brute_lines(list(enumerate(texts)))
+    assert got == want and 10 < sum(t == "" for t in want.values()) < 140
+    links = {(r["a"], r["b"]) for r in line_dedup.edit_links(docs).collect()}
+    h = {t: xxhash.xxh64(t.encode(), seed=42).intdigest() for t in texts}
+    h = {t: x - (1 << 64) if x >> 63 else x for t, x in h.items()}
+    near = lambda a, b: (m := allowed(min(len(a), len(b)))) >= distance(a, b, m)
+    assert links == {(h[a], h[b]) for a in h for b in h if a != b and near(a, b)}
+
+
 def test_edits_at_once():
     rnd = random.Random(2)
     pairs = []
