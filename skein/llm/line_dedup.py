@@ -33,15 +33,11 @@ table gives an empty table; all columns of the input are kept.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import bit_table, has_bit, once, packed, written
-from .edits import within
 
 THRESHOLD, MIN_CHARS = 2, 20
 #: Characters of a band's lower end for each edit allowed, and the band from which on strings have no numbers.
@@ -56,8 +52,8 @@ TRIES = 4
 OFTEN, CARRIED = 10_000, 16
 #: Characters whose counts are compared before a distance is computed, some of them two to a count; eight counts to a long.
 _COUNTED = (*"etaoinsrhdlumg", "c0", "f1", "p2", "b3", "w4", "y5", "v6", "k7", ".8", ",9")
-#: Characters of pairs, each counted again for every 64 edits allowed, that a task verifies.
-WORK = 8_000_000
+#: Cells of bands of edit distances that a task fills.
+WORK = 30_000_000
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -158,11 +154,21 @@ def _sharing(lines: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame, Da
     return near, texts.drop("bands"), parts.select("id", "band", "n", "most", *_counts(F.col("front"), "front"), *_counts(F.col("back"), "back"))
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        near = within(batch.column("x").to_pylist(), batch.column("y").to_pylist(), batch.column("t").to_numpy())
-        keep = pa.array(near, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
+def _shared(x: str, y: str) -> Column:
+    """How many characters columns x and y begin with in common, found in steps from 2**20 down to one."""
+    x, y = F.col(x), F.col(y)
+    steps = F.array(*(F.lit(1 << k) for k in range(20, -1, -1)))
+    both = F.least(F.length(x), F.length(y))
+    same = lambda p, s: (p + s <= both) & (F.substring(x, p + 1, s) == F.substring(y, p + 1, s))
+    return F.aggregate(steps, F.lit(0), lambda p, s: F.when(same(p, s), p + s).otherwise(p))
+
+
+def _trimmed(pairs: DataFrame) -> DataFrame:
+    """pairs with x and y from their first to their last difference, which leaves their distance as it is."""
+    rest = lambda c: once(F.reverse(F.substring(c, F.col("same") + 1, F.length(c))))
+    for _ in range(2):  # each time the rest comes back reversed, so the second time is for the end
+        pairs = pairs.withColumn("same", once(_shared("x", "y"))).withColumns({"x": rest("x"), "y": rest("y")})
+    return pairs.drop("same")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -171,9 +177,10 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
     # a pair is little to read and much to compute, so the number of tasks follows the work, and the longest pairs lie apart
     one = pairs.join(texts.select(F.col("id").alias("a"), "n", "most"), "a")
-    work = one.agg(F.coalesce(F.sum(F.col("n") * (1 + F.col("most") / 64)), F.lit(0.0))).first()[0]
+    work = one.agg(F.coalesce(F.sum(F.col("n") * (1.0 + 2 * F.col("most"))), F.lit(0.0))).first()[0]
     dealt = both.select("a", "b", "x", "y", F.least("x_most", "y_most").alias("t")).repartition(1 + int(work) // WORK, "a", "b")
-    return dealt.mapInArrow(_near, "a long, b long")
+    # once, so that it is not moved before the pairs are dealt
+    return _trimmed(dealt).where(once(F.call_function("levenshtein", "x", "y", "t") >= 0)).select("a", "b")
 
 
 def _meeting(left: DataFrame, right: DataFrame, fits: Column) -> DataFrame:
