@@ -1,4 +1,4 @@
-"""Line dedup by a segment-partition edit join, in DataFrame functions but for the last comparison.
+"""Line dedup by a segment-partition edit join, in DataFrame functions only.
 
 A line goes if an equal line stands earlier in the corpus (smaller doc_id, or the same document and a
 smaller line number), and one of at least MIN_CHARS characters if a near line does.  Lines of white
@@ -23,8 +23,7 @@ others of those that share a key, and all pairs only for lines that are still wi
 made where lengths and counts of characters, of both halves, leave room for the edits (one edit moves
 two counts at most), inside the join; the pairs of a key with many lines are dealt over many tasks,
 and made once where lines share many such keys.  Pairs are
-verified by a banded bit-parallel edit distance, many at once in numpy: that step alone is not made of
-DataFrame functions, for which README gives the figures.
+verified by Spark's banded edit distance, on what lies between their first and last difference.
 
 Defined cases: a null text has no lines and stays null; rows that repeat a doc_id with the same text
 have their lines at equal places, so neither removes the other's; a null doc_id comes first; an empty
