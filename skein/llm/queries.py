@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, chat, license_scan, line_dedup, mixing, ngram_join, quality, repeats, topk, url_filter
+from . import align, bpe, chat, importance, license_scan, line_dedup, mixing, ngram_join, pii, quality, repeats, topk, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,12 +77,27 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align.token_links(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = importance.resample_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return made.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_topk, op2_quality, op3_chat, op4_repeats, op5_license, op6_mixing, op7_lines, op8_ngram, op9_url, op10_bpe, pipeline)
+    made = (op1_topk, op2_quality, op3_chat, op4_repeats, op5_license, op6_mixing, op7_lines, op8_ngram, op9_url, op10_bpe, op11_align, op12_importance, op13_pii, pipeline)
     return {f.__name__: f for f in made}
 
 
@@ -137,6 +152,25 @@ def _op2_sql() -> str:
     )
 
 
+def _op12_sql() -> str:
+    words = "regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    m, step = importance.BUCKETS, "case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end"
+    return (
+        f"with w as (select doc_id, {words.format('text')} as ws from documents), b as (select {words.format('text')} as ws from benchmark), "
+        f"crc as (select list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: {step}, n)) as tab), "
+        "f as (select word, sum(s) as s, sum(t) as t from (select unnest(ws) as word, 1 as s, 0 as t from w union all select unnest(ws), 0, 1 from b) group by 1), "
+        "x as (select word, s as n_s, t as n_t, list_transform(range(0, strlen(word)), lambda i: instr('0123456789ABCDEF', substr(hex(word), 2 * i + 1, 1)) * 16 - 17 + instr('0123456789ABCDEF', substr(hex(word), 2 * i + 2, 1))) as bytes from f), "
+        f"h as (select word, n_s as s, n_t as t, xor(list_reduce(bytes, lambda c, v: xor(c >> 8, crc.tab[cast(xor(c, v) & 255 as int) + 1]), 4294967295), 4294967295) % {m} as bucket from x, crc), "
+        "n as (select cast(sum(s) as double) as s_all, cast(sum(t) as double) as t_all from h), "
+        f"g as (select bucket, cast(floor(1000 * ln((sum(h.t) + 1) * (s_all + {m}) / ((sum(h.s) + 1) * (t_all + {m})))) as bigint) as gain from h, n group by bucket, s_all, t_all), "
+        "d as (select doc_id, count(*) as n, sum(gain) as total from (select doc_id, unnest(ws) as word from w) join h using (word) join g using (bucket) group by 1), "
+        f"e as (select doc_id, coalesce(n, 0) as n_features, cast(coalesce(floor(total / n), 0) as bigint) as weight, cast('0x' || substr(sha256('{importance.SEED}:' || doc_id), 1, 8) as bigint) as h from w left join d using (doc_id)), "
+        "k as (select *, weight + cast(floor(-1000 * ln(-ln((h + 0.5) / 4294967296.0))) as bigint) as score from e), "
+        f"r as (select doc_id, row_number() over (order by score desc, doc_id) as rank, count(*) over () as fit from k where n_features >= {importance.MIN_WORDS}) "
+        f"select doc_id, n_features, weight, score, rank from k left join (select doc_id, rank from r where rank <= {importance.SHARE} * fit // 100) using (doc_id)"
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that it can express; the tests hold the others against brute force."""
-    return {"op1_topk": _op1_sql(), "op2_quality": _op2_sql(), "op3_chat": _op3_sql(), "op9_url": _op9_sql()}
+    return {"op1_topk": _op1_sql(), "op2_quality": _op2_sql(), "op3_chat": _op3_sql(), "op9_url": _op9_sql(), "op12_importance": _op12_sql()}
