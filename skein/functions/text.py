@@ -13,6 +13,8 @@ TAG_LINE = r"(?md)^Tags:(.*)$"
 STATUS_LINE = r"(?md)^Status:(.*)$"
 #: Words and line starts of sources that hold no knowledge.
 KEYWORDS = ("todo", "to-do", "meeting", "journal", "daily note", "progress update", "changelog", "build log", "status update")
+#: Fixed value: what the name of a collection starts with.
+COLLECTION = "zettels__"
 LIST_STARTS = ("- ", "* ", "1. ", "2. ", "3. ", "[ ]", "[x]")
 
 
@@ -145,7 +147,7 @@ def collection_component(value: Column) -> Column:
 
 
 def collection_name(provider: Column, model: Column) -> Column:
-    return F.concat(F.lit("zettels__"), collection_component(provider), F.lit("__"), collection_component(model))
+    return F.concat(F.lit(COLLECTION), collection_component(provider), F.lit("__"), collection_component(model))
 
 
 def json_from_reply(reply: Column) -> Column:

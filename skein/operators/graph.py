@@ -1,86 +1,183 @@
-"""Breadth-first traversal over tag links and the bundles made from it."""
+"""Breadth-first traversal over tag links, and bundles of notes made from it, for any number of seeds at once.
+
+A bundle is a key in every table: one join a level serves all of them.  Notes reached at one level get
+their order from a range sort over (bundle, order of the parent, place of the link): partitions are
+counted, and a row's number is its partition's offset plus its place there, so that no level passes
+through one task and a bundle that holds a third of all rows is spread like any other rows.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import kept
 from . import notes as N
+from . import vectors
+from .ranks import numbered
 
+# The lines of a bundle.
+TITLE, GENERATED, SOURCE_TEXT, CONNECTED, DEGREE, NOTE = "# Bundle: ", "Generated: ", "## Source Content", "## Connected Knowledge", "### Degree ", "#### "
+METADATA, SOURCE = "## Metadata", "Source: "
+COUNTS = (("source_notes", "Source notes"), ("direct_tags", "Direct tags"), ("direct_similar_notes", "Direct similar notes"), ("traversed_notes", "Traversed notes"), ("total_notes", "Total notes included"), ("max_depth", "Max depth"))
 
-def reach(notes: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """(note_id, degree, ord): notes within depth tag links of the seeds (note_id, ord), seeds left out.
 
-    A note's order in its degree is that of the least path of positions, level by level; each level
-    is one join with the links and one anti join with what was reached before.
+def reach_all(notes: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """(bundle, note_id, degree, ord): notes within depth tag links of a bundle's seeds (bundle, note_id, ord), seeds left out.
+
+    A note's order in its degree is that of the least (order of parent, place of link), level by level.
     """
     targets = N.last_files(notes)
     edges = N.links(targets, "tag").select("note_id", "pos", "target")
     edges = edges.join(targets.select(F.col("note_id").alias("target")), "target", "left_semi")
-    seen = seeds.select("note_id").distinct()
-    level = seeds.select("note_id", F.col("ord").cast("long").alias("ord"))
-    out = []
+    if depth > 1:
+        edges = kept(edges, "edges")
+    level = seeds.groupBy("bundle", "note_id").agg(F.min("ord").cast("long").alias("ord"))
+    level = kept(level, "seeds")
+    seen, out = level.select("bundle", "note_id"), level.select("bundle", "note_id", F.lit(0).alias("degree"), "ord").where("false")
     for degree in range(1, depth + 1):
-        step = level.join(edges, "note_id").select(F.col("target").alias("note_id"), F.struct("ord", "pos").alias("at"))
-        step = step.groupBy("note_id").agg(F.min("at").alias("at")).join(seen, "note_id", "left_anti")
-        level = step.withColumn("ord", F.row_number().over(W.orderBy("at")).cast("long")).select("note_id", "ord")
-        seen = seen.union(level.select("note_id"))
-        out.append(level.withColumn("degree", F.lit(degree)))
-    if not out:
-        return level.withColumn("degree", F.lit(0)).limit(0).select("note_id", "degree", "ord")
-    df = out[0]
-    for more in out[1:]:
-        df = df.unionByName(more)
-    return df.select("note_id", "degree", "ord")
+        step = level.join(edges, "note_id").select("bundle", F.col("target").alias("note_id"), F.struct("ord", "pos").alias("at"))
+        step = step.groupBy("bundle", "note_id").agg(F.min("at").alias("at")).join(seen, ["bundle", "note_id"], "left_anti")
+        level = kept(numbered(step, "bundle", "at").select("bundle", "note_id", "ord"), "level")
+        seen = seen.union(level.select("bundle", "note_id"))
+        out = out.unionByName(level.withColumn("degree", F.lit(degree)))
+    return out
+
+
+def reach(notes: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """(note_id, degree, ord): as reach_all, for one set of seeds (note_id, ord)."""
+    return reach_all(notes, seeds.select(F.lit("").alias("bundle"), "note_id", "ord"), depth).select("note_id", "degree", "ord")
+
+
+def named_files(notes: DataFrame) -> DataFrame:
+    """One file for each id: the one that has it as its name, else the first in file order."""
+    first = F.min(F.struct((F.col("stem") != F.col("note_id")).alias("other"), "stem", "content"))
+    return N.with_ids(notes).groupBy("note_id").agg(first.alias("f")).select("note_id", "f.stem", "f.content")
+
+
+def all_note_seeds(notes: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Seeds (bundle, note_id, ord) and counts (bundle, source_notes, direct_tags, direct_similar_notes) of the wanted (bundle) ids that are notes.
+
+    Seeds are the note, its tags and its see-also links, each once and missing ones too; the counts have links that repeat each time.
+    """
+    own = named_files(notes).join(wanted.select(F.col("bundle").alias("note_id")).distinct(), "note_id", "left_semi")
+    tags, see = T.tag_links(F.col("content")), T.see_also_links(F.col("content"))
+    ids = F.array_distinct(F.concat(F.array("note_id"), T.ids_of(F.col("tags")), T.ids_of(F.col("see"))))
+    own = own.select("note_id", tags.alias("tags"), see.alias("see"))
+    seeds = own.select(F.col("note_id").alias("bundle"), F.posexplode(ids).alias("ord", "note_id")).select("bundle", "note_id", F.col("ord").cast("long").alias("ord"))
+    counts = own.select(F.col("note_id").alias("bundle"), F.lit(1).cast("long").alias("source_notes"), F.size("tags").cast("long").alias("direct_tags"), F.size("see").cast("long").alias("direct_similar_notes"))
+    return seeds, counts
+
+
+def all_source_seeds(notes: DataFrame, sources: DataFrame, similar: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Seeds and counts, as all_note_seeds, of bundles of sources (bundle): notes that refer to the source, in file order, then the similar ones (bundle, rank, note_id) not among them."""
+    spark = notes.sparkSession
+    refers = N.links(notes, "reference").select("target", "note_id", "stem").distinct()
+    named = sources.select("bundle").distinct().withColumn("target", T.normalize_id(F.col("bundle")))
+    own = refers.join(named, "target").select("bundle", "note_id", "stem")
+    if similar is None:
+        similar = spark.createDataFrame([], "bundle string, rank int, note_id string")
+    more = similar.select("bundle", "rank", "note_id").join(own, ["bundle", "note_id"], "left_anti")
+    firsts = own.groupBy("bundle", "note_id").agg(F.min("stem").alias("stem")).select("bundle", "note_id", F.lit(0).alias("part"), "stem", F.lit(0).alias("rank"))
+    both = firsts.union(more.select("bundle", "note_id", F.lit(1), F.lit(""), F.col("rank").cast("int")))
+    seeds = numbered(both, "bundle", "part", "stem", "rank", "note_id").select("bundle", "note_id", "ord")
+    counts = named.select("bundle").join(own.groupBy("bundle").agg(F.count("*").alias("source_notes")), "bundle", "left").join(more.groupBy("bundle").agg(F.count("*").alias("direct_similar_notes")), "bundle", "left")
+    return seeds, counts.fillna(0).select("bundle", "source_notes", F.lit(0).cast("long").alias("direct_tags"), "direct_similar_notes")
+
+
+def all_bundle_rows(notes: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """(bundle, degree, ord, note_id, rendered, content): rendered tells whether a file has the id as its name."""
+    reached = reach_all(notes, seeds, depth).select("bundle", "note_id", "degree", "ord")
+    degrees = seeds.select("bundle", "note_id", F.lit(0).alias("degree"), F.col("ord").cast("long").alias("ord")).unionByName(reached)
+    files = notes.select(F.col("stem").alias("note_id"), T.rstrip(F.col("content")).alias("content"))
+    return degrees.join(files, "note_id", "left").select("bundle", "degree", "ord", "note_id", F.col("content").isNotNull().alias("rendered"), "content")
+
+
+def metadata(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """(bundle, source_notes, direct_tags, direct_similar_notes, traversed_notes, total_notes, max_depth) of bundle rows and the counts of their seeds."""
+    seen = rows.groupBy("bundle").agg(F.count_if(F.col("degree") > 0).alias("traversed_notes"), F.count_if("rendered").alias("total_notes"), F.max("degree").cast("long").alias("max_depth"))
+    return counts.join(seen, "bundle", "left").fillna(0, ["traversed_notes", "total_notes", "max_depth"]).select("bundle", *(c for c, _ in COUNTS))
+
+
+def texts(rows: DataFrame, described: DataFrame, at: str) -> DataFrame:
+    """(bundle, content): each bundle as one markdown text, which one row holds; described has (bundle, title, source, source_text) and the columns of metadata; at is the time that it shows."""
+    part = F.when(F.col("rendered"), F.concat(F.lit(NOTE), F.col("note_id"), F.lit("\n\n"), F.col("content"), F.lit("\n\n"))).otherwise("")
+    by = rows.select("bundle", "degree", "ord", part.alias("part")).groupBy("bundle", "degree").agg(F.array_sort(F.collect_list(F.struct("ord", "part"))).alias("p"))
+    by = by.select("bundle", "degree", F.concat(F.lit(DEGREE), F.col("degree").cast("string"), F.lit("\n\n"), F.array_join(F.col("p.part"), "")).alias("text"))
+    body = by.groupBy("bundle").agg(F.array_sort(F.collect_list(F.struct("degree", "text"))).alias("d"))
+    line = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts), F.lit("\n"))
+    source = F.when(F.col("source_text").isNotNull(), F.concat(F.lit(f"{SOURCE_TEXT}\n\n"), F.col("source_text"), F.lit("\n\n"))).otherwise("")
+    head = F.concat(line(TITLE, F.col("title")), line(GENERATED, at), F.lit("\n"), source, F.lit(f"{CONNECTED}\n\n"))
+    tail = F.concat(F.lit(f"{METADATA}\n\n"), line(SOURCE, "[[", F.col("source"), "]]"), *(line(f"{shown}: ", F.col(c)) for c, shown in COUNTS))
+    return described.join(body, "bundle", "left").select("bundle", F.concat(head, F.coalesce(F.array_join(F.col("d.text"), ""), F.lit("")), tail).alias("content"))
+
+
+def note_bundles(notes: DataFrame, wanted: DataFrame, depth: int, at: str) -> DataFrame:
+    """(bundle, content): bundles around the notes whose ids are in wanted (bundle); ids without a note have none."""
+    seeds, counts = all_note_seeds(notes, wanted)
+    rows = kept(all_bundle_rows(notes, seeds, depth), "bundle-rows")
+    described = metadata(rows, counts).select("*", F.col("bundle").alias("title"), F.col("bundle").alias("source"), F.lit(None).cast("string").alias("source_text"))
+    return texts(rows, described, at)
+
+
+def source_bundles(notes: DataFrame, sources: DataFrame, index: DataFrame, depth: int, at: str, k: int = 10, max_distance: float = 0.5, embed=vectors.keyword_embedding) -> DataFrame:
+    """(bundle, content): bundles around sources (source_id, content), with the notes that refer to them and the k nearest entries of index (note_id, embedding)."""
+    asked = sources.select(F.col("source_id").alias("id"), embed(F.col("content")).alias("v"))
+    near = vectors.find_similar(index.select(F.col("note_id").alias("id"), F.col("embedding").alias("v")), asked, k, max_distance)
+    similar = kept(near.select(F.col("query_id").alias("bundle"), "rank", F.col("id").alias("note_id")), "similar")
+    seeds, counts = all_source_seeds(notes, sources.select(F.col("source_id").alias("bundle")), similar)
+    rows = kept(all_bundle_rows(notes, seeds, depth), "bundle-rows")
+    text = sources.select(F.col("source_id").alias("bundle"), F.col("content").alias("source_text"))
+    described = metadata(rows, counts).join(text, "bundle").select("*", F.col("bundle").alias("title"), F.col("bundle").alias("source"))
+    return texts(rows, described, at)
+
+
+def stamped_name(title: Column, at: Column) -> Column:
+    """The file name of a bundle written at that time."""
+    return F.concat(T.sanitize(title), F.lit("-"), F.date_format(at, "yyyyMMdd-HHmmss"), F.lit(".md"))
+
+
+# One bundle
 
 
 def note_seeds(notes: DataFrame, note_id: str) -> DataFrame:
     """(note_id, ord): the note itself, its tags and its see-also links, each once; missing ones too."""
-    own = N.last_files(notes).where(F.col("note_id") == note_id)
-    ids = F.array_distinct(F.concat(F.array("note_id"), T.ids_of(T.tag_links(F.col("content"))), T.ids_of(T.see_also_links(F.col("content")))))
-    return own.select(F.posexplode(ids).alias("ord", "note_id")).select("note_id", "ord")
+    return all_note_seeds(notes, _one(notes, note_id))[0].select("note_id", F.col("ord").cast("int").alias("ord"))
+
+
+def _one(notes: DataFrame, bundle: str) -> DataFrame:
+    return notes.sparkSession.createDataFrame([(bundle,)], "bundle string")
 
 
 def bundle_rows(notes: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """(degree, ord, note_id, rendered, content): rendered tells whether a file has the id as its name."""
-    degrees = seeds.select("note_id", F.lit(0).alias("degree"), F.col("ord").cast("long").alias("ord")).unionByName(reach(notes, seeds, depth))
-    files = notes.select(F.col("stem").alias("note_id"), T.rstrip(F.col("content")).alias("content"))
-    df = degrees.join(files, "note_id", "left")
-    return df.select("degree", "ord", "note_id", F.col("content").isNotNull().alias("rendered"), "content")
+    """(degree, ord, note_id, rendered, content) for one set of seeds (note_id, ord)."""
+    return all_bundle_rows(notes, seeds.select(F.lit("").alias("bundle"), "note_id", "ord"), depth).drop("bundle")
 
 
-def bundle(rows: DataFrame, title: str, source: str, at: str, counts: dict[str, int], source_text: str | None = None) -> DataFrame:
-    """One row (content): the rows of a bundle as one markdown text; at is the time that it shows."""
-    part = F.concat(F.lit("#### "), F.col("note_id"), F.lit("\n\n"), F.col("content"), F.lit("\n\n"))
-    by = rows.groupBy("degree").agg(F.array_sort(F.collect_list(F.struct("ord", F.when(F.col("rendered"), part).otherwise("").alias("part")))).alias("p"))
-    by = by.select("degree", F.concat(F.lit("### Degree "), F.col("degree").cast("string"), F.lit("\n\n"), F.array_join(F.col("p.part"), "")).alias("text"))
-    body = by.agg(F.array_sort(F.collect_list(F.struct("degree", "text"))).alias("d"), F.max("degree").alias("deepest"))
-    head = f"# Bundle: {title}\nGenerated: {at}\n\n" + (f"## Source Content\n\n{source_text}\n\n" if source_text is not None else "") + "## Connected Knowledge\n\n"
-    tail = f"## Metadata\n\nSource: [[{source}]]\n" + "".join(f"{k}: {v}\n" for k, v in counts.items()) + "Max depth: "
-    return body.select(F.concat(F.lit(head), F.array_join(F.col("d.text"), ""), F.lit(tail), F.coalesce("deepest", F.lit(0)).cast("string"), F.lit("\n")).alias("content"))
+def note_bundle(notes: DataFrame, note_id: str, depth: int, at: str) -> DataFrame:
+    """One row (bundle, content); FileNotFoundError where no note has the id."""
+    done = kept(note_bundles(notes, _one(notes, note_id), depth, at), "bundle")
+    if done.isEmpty():
+        raise FileNotFoundError(note_id)
+    return done
 
 
 def source_seeds(notes: DataFrame, source: str, similar: DataFrame) -> DataFrame:
     """(note_id, ord): the notes that refer to the source, in file order, then the ids of similar (rank, note_id) not among them."""
-    own = N.notes_of_source(notes, source).groupBy("note_id").agg(F.min("stem").alias("stem")).select("note_id", F.struct(F.lit(0).alias("part"), "stem", F.lit(0).alias("rank")).alias("at"))
-    more = similar.join(own, "note_id", "left_anti").select("note_id", F.struct(F.lit(1).alias("part"), F.lit("").alias("stem"), F.col("rank").cast("int").alias("rank")).alias("at"))
-    # the notes of one source and its similar ones, a handful that one bundle holds
-    return own.union(more).select("note_id", F.row_number().over(W.orderBy("at")).cast("long").alias("ord"))
+    return all_source_seeds(notes, _one(notes, source), similar.withColumn("bundle", F.lit(source)))[0].drop("bundle")
 
 
 def source_counts(notes: DataFrame, source: str, similar: DataFrame, depth: int) -> dict[str, int]:
     """The metadata of a source's bundle."""
-    own = N.notes_of_source(notes, source).select("note_id").distinct()
-    direct = similar.join(own, "note_id", "left_anti").count()
-    return {"Source notes": own.count(), "Direct tags": 0, "Direct similar notes": direct, "Traversed notes": reach(notes, source_seeds(notes, source, similar), depth).count()}
+    seeds, counts = all_source_seeds(notes, _one(notes, source), similar.withColumn("bundle", F.lit(source)))
+    return metadata(all_bundle_rows(notes, seeds, depth), counts).drop("bundle").first().asDict()
 
 
 def note_counts(notes: DataFrame, note_id: str, depth: int) -> dict[str, int]:
     """The metadata of a note's bundle; links that repeat count each time."""
-    own = N.last_files(notes).where(F.col("note_id") == note_id)
-    row = own.select(F.size(T.tag_links(F.col("content"))).alias("tags"), F.size(T.see_also_links(F.col("content"))).alias("see")).first()
+    seeds, counts = all_note_seeds(notes, _one(notes, note_id))
+    row = metadata(all_bundle_rows(notes, seeds, depth), counts).drop("bundle").first()
     if row is None:
         raise FileNotFoundError(note_id)
-    return {"Source notes": 1, "Direct tags": row["tags"], "Direct similar notes": row["see"], "Traversed notes": reach(notes, note_seeds(notes, note_id), depth).count()}
+    return row.asDict()

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import kept as table
 from . import extract, vectors
 from . import notes as N
 
@@ -59,7 +60,7 @@ def totals(sources: DataFrame) -> DataFrame:
 def duplicate_reasons(concepts: DataFrame, notes: DataFrame, index: DataFrame, threshold: float, embed=vectors.keyword_embedding) -> DataFrame:
     """(id, reason) for concepts (id, title, content): 'file exists: ...' before 'too similar to: ...', else null."""
     named = concepts.withColumn("file", F.concat(T.sanitize(F.col("title")), F.lit(".md")))
-    files = notes.select(F.concat(F.lower("stem"), F.lit(".md")).alias("file"), F.lit(True).alias("exists")).distinct()
+    files = notes.select(F.concat("stem", F.lit(".md")).alias("file"), F.lit(True).alias("exists")).distinct()
     near = vectors.find_similar(index.select(F.col("note_id").alias("id"), F.col("embedding").alias("v")), concepts.select("id", embed(F.col("content")).alias("v")), 1, threshold)
     near = near.select(F.col("query_id").alias("id"), F.col("id").alias("twin"))
     both = named.join(files, "file", "left").join(near, "id", "left")
@@ -90,14 +91,17 @@ def process(sources: DataFrame, notes: DataFrame, index: DataFrame, extractor: C
     current = index if dry_run else vectors.refreshed(entries, index, embed)
     run = taken(sources.select("source_id", "content"), settings.limit)
     eligible = run.where(~T.is_processed(F.col("content")) & (F.length(T.strip(F.col("content"))) >= settings.min_chars))
-    replies = extract.extracted(eligible, extractor, settings.target, settings.cap).checkpoint()
+    replies = table(extract.extracted(eligible, extractor, settings.target, settings.cap), "replies")
     found = extract.outcomes(run, replies, settings.min_chars)
     good = extract.concepts(replies).where("ok")
     key = F.struct("source_id", "chunk_pos", "item_pos")
     good = vectors.title_dedupe(good.withColumn("id", key), "source_id", "title", "chunk_pos", "item_pos")
-    inside = vectors.near_pairs_within(good.select("source_id", "id", embed(F.col("content")).alias("v")), "source_id", settings.duplicate)
+    # where an embedding fails (a null vector) its source keeps what the titles left
+    placed = table(good.select("source_id", "id", embed(F.col("content")).alias("v")), "embedded")
+    failed = placed.where("v is null").select("source_id").distinct()
+    inside = vectors.near_in_groups(placed.join(failed, "source_id", "left_anti"), "source_id", settings.duplicate)
     kept = vectors.first_come(good, inside).where("kept").select("id")
-    deduped = good.join(kept, "id", "left_semi").withColumn("id", F.concat_ws("/", F.col("source_id").cast("string"), F.lpad(F.col("chunk_pos").cast("string"), 9, "0"), F.lpad(F.col("item_pos").cast("string"), 9, "0"))).checkpoint()
+    deduped = table(good.join(kept, "id", "left_semi").withColumn("id", F.concat_ws("/", F.col("source_id").cast("string"), F.lpad(F.col("chunk_pos").cast("string"), 9, "0"), F.lpad(F.col("item_pos").cast("string"), 9, "0"))), "concepts")
     if dry_run:
         judged = deduped.select("*", F.lit(None).cast("string").alias("reason"))
         return Result(notes, index, sources, found, judged.select("source_id", "title", "reason"), extract.summary(found))
@@ -105,17 +109,17 @@ def process(sources: DataFrame, notes: DataFrame, index: DataFrame, extractor: C
     judged = deduped.join(reasons, "id")
     fresh = judged.where("reason is null")
     first = vectors.first_come(fresh, _conflicts(fresh, settings.duplicate, embed))
-    judged = judged.join(first, "id", "left").withColumn("reason", F.when(F.col("kept") == F.lit(False), "duplicate of an earlier concept of this run").otherwise(F.col("reason"))).drop("kept").checkpoint()
+    judged = table(judged.join(first, "id", "left").withColumn("reason", F.when(F.col("kept") == F.lit(False), "duplicate of an earlier concept of this run").otherwise(F.col("reason"))).drop("kept"), "judged")
     new = judged.where("reason is null")
     similar = vectors.find_similar(current.select(F.col("note_id").alias("id"), F.col("embedding").alias("v")), new.select("id", embed(F.col("content")).alias("v")), settings.similar, settings.similar_within)
     similar = similar.groupBy(F.col("query_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col("id").alias("note")))), lambda x: x["note"]).alias("similar"))
     none = F.array().cast("array<string>")
     body = T.render_note(F.col("title"), F.col("content"), F.col("tags"), F.coalesce("similar", none), F.col("source_id").cast("string"), settings.template, at)
     written = new.join(similar, "id", "left").select(T.sanitize(F.col("title")).alias("stem"), body.alias("content"))
-    all_notes = notes.select("stem", "content").union(written).checkpoint()
+    all_notes = table(notes.select("stem", "content").union(written), "notes")
     made = judged.groupBy("source_id").agg(F.count_if(F.col("reason").isNull()).alias("n_new"), F.count_if(F.col("reason").isNotNull()).alias("n_duplicates"))
     found = found.join(made, "source_id", "left").fillna(0, ["n_new", "n_duplicates"])
-    found = found.withColumn("outcome", F.when((F.col("outcome") == "created") & (F.col("n_new") == 0), "no_valid_concepts").otherwise(F.col("outcome"))).checkpoint()
+    found = table(found.withColumn("outcome", F.when((F.col("outcome") == "created") & (F.col("n_new") == 0), "no_valid_concepts").otherwise(F.col("outcome"))), "outcomes")
     marked = found.where(F.col("outcome").isin("created", "no_valid_concepts", "non_extractable")).select("source_id", F.lit(True).alias("mark"))
     c = F.col("content")
     after = sources.join(marked, "source_id", "left").withColumn("content", F.when(F.col("mark"), T.mark_processed(c)).otherwise(c)).select(*sources.columns)

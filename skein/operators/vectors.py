@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -12,9 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
+from ..sources.shared import kept
+from .ranks import numbered
 
-#: Vectors in a block.
-BLOCK = 1024
+#: Vectors and queries in a block.
+BLOCK, Q_BLOCK = 1024, 512
+#: Most rows of a sample, centres of balls, and rings of a ball.
+SAMPLE, CENTRES, RINGS = 4096, 128, 64
 #: Embedding providers and their default models; only the first one works without a network.
 DEFAULT_MODELS = {"keywords": "counts-1"}
 #: Terms that the offline embedding counts.
@@ -28,78 +33,249 @@ def keyword_embedding(text: Column) -> Column:
     return F.array(*(count(t) for t in TERMS), F.length(text) / 1000.0)
 
 
-def _packed(dim: int, size: int, id_type: pa.DataType):
-    """For mapInArrow: rows (id, v) to blocks (ids, m); m holds doubles, shorter vectors padded with zeros."""
+@dataclass(frozen=True)
+class Pieces:
+    """The space cut into balls around centres, and balls into rings: a row for each piece with its ball, the least and largest distance to the centre, its rows and the parts that they are dealt over."""
+
+    metric: str
+    dim: int
+    centres: np.ndarray
+    sample: np.ndarray
+    cell: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    rows: np.ndarray
+    parts: np.ndarray
+
+    def place(self, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest centre of each row of m, and its distance."""
+        d = _lengths(m, self.centres)
+        cell = d.argmin(1)
+        return cell, d[np.arange(len(m)), cell]
+
+    def piece(self, cell: np.ndarray, dist: np.ndarray) -> np.ndarray:
+        """The piece of rows with that centre and distance: the last one of the ball that begins at it or before."""
+        out = np.zeros(len(cell), np.int64)
+        for c in np.unique(cell):
+            mine = np.flatnonzero(self.cell == c)
+            at = np.searchsorted(self.low[mine], dist[cell == c], "right") - 1
+            out[cell == c] = mine[np.clip(at, 0, len(mine) - 1)]
+        return out
+
+    def bounds(self, m: np.ndarray) -> np.ndarray:
+        """The least distance that a row of m can have to any row of each piece, by the triangle inequality."""
+        d = _lengths(m, self.centres)[:, self.cell]
+        return np.maximum(np.maximum(d - self.high, self.low - d), 0)
+
+    def cut(self, m: np.ndarray, k: int | None, max_distance: float | None) -> np.ndarray:
+        """A distance (of the metric) that the k nearest of each row of m, within max_distance, do not exceed: that of the k-th nearest in a sample of the rows."""
+        out = np.full(len(m), np.inf if max_distance is None else max_distance)
+        if k is not None and len(self.sample) >= k:
+            out = np.minimum(out, np.partition(_distances(m, self.sample, self.metric), k - 1, axis=1)[:, k - 1])
+        return out
+
+    def reach(self, cut: np.ndarray) -> np.ndarray:
+        """The distance between points that a cut stands for, with room for rounding."""
+        return np.sqrt((2 if self.metric == "cosine" else 1) * np.maximum(cut + 2e-6, 0)) * (1 + 1e-9) + 1e-9
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    return m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-300)
+
+
+def _lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0))
+
+
+def _distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    """Distances rounded to six places; rows are of length one, or zero, where the metric is cosine."""
+    if metric == "cosine":
+        return np.round(1 - np.clip(q @ x.T, -1, 1), 6)
+    return np.round(np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * q @ x.T, 0), 6)
+
+
+def _matrix(column: pa.Array, dim: int, metric: str) -> np.ndarray:
+    """Vectors as rows of doubles, shorter ones padded with zeros; of length one for cosine."""
+    flat, offsets = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.asarray(column.offsets) - column.offsets[0].as_py()
+    m = np.zeros((len(column), dim))
+    width = np.diff(offsets)
+    row = np.repeat(np.arange(len(column)), width)
+    m[row, np.arange(len(flat)) - np.repeat(offsets[:-1], width)] = np.nan_to_num(flat)
+    return _unit(m) if metric == "cosine" else m
+
+
+def _usable(df: DataFrame) -> DataFrame:
+    return df.select("id", "v").where("id is not null and v is not null")
+
+
+def _placed(rows: DataFrame, pieces: Pieces) -> DataFrame:
+    """(id, v, cell, dist) of rows (id, v)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, size):
-                part = batch.slice(at, size)
-                v = part.column("v")
-                flat, offsets = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.asarray(v.offsets) - v.offsets[0].as_py()
-                m = np.zeros((part.num_rows, dim))
-                width = np.diff(offsets)
-                row = np.repeat(np.arange(part.num_rows), width)
-                m[row, np.arange(len(flat)) - np.repeat(offsets[:-1], width)] = np.nan_to_num(flat)
-                ids = pa.array([part.column("id").to_pylist()], pa.list_(id_type))
-                yield pa.RecordBatch.from_arrays([ids, pa.array([m.tobytes()], pa.binary())], names=["ids", "m"])
+            cell, dist = pieces.place(_matrix(batch.column("v"), pieces.dim, pieces.metric))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(cell.astype(np.int32)), pa.array(dist)], names=["id", "v", "cell", "dist"])
+
+    return rows.mapInArrow(run, rows.select("id", "v", F.lit(0).alias("cell"), F.lit(0.0).alias("dist")).schema)
+
+
+def cut_space(index: DataFrame, dim: int, metric: str = "l2sq", size: int = 4 * BLOCK) -> Pieces:
+    """Pieces of about ``size`` rows of index (id, v).  At most SAMPLE rows, and RINGS + 4 numbers for each of at most CENTRES balls, reach the driver."""
+    index = _usable(index)
+    n = index.count()
+    share = min(1.0, SAMPLE / 2 / max(1, n))
+    picked = index.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) <= int(share * (1 << 30))).select("v").limit(SAMPLE).toArrow()
+    sample = _matrix(pa.concat_arrays([c.cast(pa.list_(pa.float64())) for c in picked.column("v").chunks]), dim, metric) if picked.num_rows else np.zeros((0, dim))
+    sample = sample[np.lexsort(sample.T)] if len(sample) else sample
+    centres = [sample[0] if len(sample) else np.zeros(dim)]
+    apart = _lengths(sample, centres[0][None])[:, 0] if len(sample) else np.zeros(0)
+    # centres far from each other
+    while len(centres) < min(CENTRES, -(-n // max(1, size // 4)), len(sample)) and apart.max() > 0:
+        centres.append(sample[apart.argmax()])
+        apart = np.minimum(apart, _lengths(sample, centres[-1][None])[:, 0])
+    none = np.zeros(0)
+    rough = Pieces(metric, dim, np.array(centres), sample, none, none, none, none, none)
+    steps = [i / RINGS for i in range(1, RINGS)]
+    stats = _placed(index, rough).groupBy("cell").agg(F.count("*").alias("n"), F.min("dist").alias("low"), F.max("dist").alias("high"), F.percentile_approx("dist", steps, 2000).alias("steps")).collect()
+    cell, low, high, rows = [], [], [], []
+    for r in sorted(stats, key=lambda r: r["cell"]):
+        rings = min(RINGS, max(1, -(-r["n"] // size)))
+        marks = sorted({r["low"], *(r["steps"][i * RINGS // rings - 1] for i in range(1, rings))})
+        for at, end in zip(marks, [*marks[1:], r["high"]]):
+            cell.append(r["cell"])
+            low.append(at)
+            high.append(end)
+            rows.append(r["n"] / len(marks))
+    rows = np.array(rows)
+    return Pieces(metric, dim, rough.centres, sample, np.array(cell, np.int64), np.array(low), np.array(high), rows, np.maximum(1, np.ceil(rows / (2 * size))).astype(np.int64))
+
+
+def _stored(index: DataFrame, pieces: Pieces, kind: str) -> DataFrame:
+    """Blocks (piece, part, ids, m) of rows (id, v)."""
+    id_type = to_arrow_type(index.schema["id"].dataType)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell, dist = pieces.place(_matrix(batch.column("v"), pieces.dim, pieces.metric))
+            piece = pieces.piece(cell, dist)
+            part = np.arange(len(piece)) % pieces.parts[piece]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(piece.astype(np.int32)), pa.array(part.astype(np.int32))], names=["id", "v", "piece", "part"])
 
-    return run
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows come sorted by piece and part
+        for batch in batches:
+            key = batch.column("piece").to_numpy().astype(np.int64) << 32 | batch.column("part").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+            for begin, end in zip(edges, edges[1:]):
+                for at in range(begin, end, BLOCK):
+                    rows = batch.slice(at, min(BLOCK, end - at))
+                    m = _matrix(rows.column("v"), pieces.dim, pieces.metric)
+                    ids = pa.array([rows.column("id").to_pylist()], pa.list_(id_type))
+                    yield pa.RecordBatch.from_arrays([rows.column("piece").slice(0, 1), rows.column("part").slice(0, 1), ids, pa.array([m.tobytes()], pa.binary())], names=["piece", "part", "ids", "m"])
+
+    dealt = index.mapInArrow(deal, index.select("id", "v", F.lit(0).alias("piece"), F.lit(0).alias("part")).schema)
+    return dealt.repartition("piece", "part").sortWithinPartitions("piece", "part").mapInArrow(pack, f"piece int, part int, ids array<{kind}>, m binary")
 
 
-def _compared(dim: int, metric: str, k: int | None, max_distance: float | None, q_type: pa.DataType, id_type: pa.DataType):
-    """For mapInArrow: pairs of blocks to (query_id, id, distance), the k nearest of each query in the block."""
+def _asked(queries: DataFrame, pieces: Pieces, k: int | None, max_distance: float | None, kind: str) -> DataFrame:
+    """(piece, part, q_ids, q_m, q_cut): blocks of those queries that the pieces can have results for."""
+    id_type = to_arrow_type(queries.schema["id"].dataType)
+    names = ["piece", "part", "q_ids", "q_m", "q_cut"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, Q_BLOCK):
+                rows = batch.slice(at, Q_BLOCK)
+                m = _matrix(rows.column("v"), pieces.dim, pieces.metric)
+                cut = pieces.cut(m, k, max_distance)
+                near = pieces.bounds(m) <= pieces.reach(cut)[:, None]
+                ids = rows.column("id")
+                for piece in np.flatnonzero(near.any(0)).tolist():
+                    mine = np.flatnonzero(near[:, piece])
+                    parts = int(pieces.parts[piece])
+                    one = [pa.array([ids.take(pa.array(mine)).to_pylist()], pa.list_(id_type)), pa.array([m[mine].tobytes()], pa.binary()), pa.array([cut[mine].tobytes()], pa.binary())]
+                    for part in range(parts):
+                        yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([part], pa.int32()), *one], names=names)
+
+    return queries.mapInArrow(run, f"piece int, part int, q_ids array<{kind}>, q_m binary, q_cut binary")
+
+
+def _compared(dim: int, metric: str, k: int | None):
+    """For mapInArrow: blocks of queries and of rows to (query_id, id, distance), the k nearest of each query in the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit = lambda m: m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-300)
         for batch in batches:
             for r in range(batch.num_rows):
-                q, x = (np.frombuffer(batch.column(c)[r].as_py(), np.float64).reshape(-1, dim) for c in ("q_m", "m"))
-                if metric == "cosine":
-                    d = 1 - np.clip(unit(q) @ unit(x).T, -1, 1)
-                else:
-                    d = np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * q @ x.T, 0)
-                d = np.round(d, 6)
-                keep = np.ones(d.shape, bool) if max_distance is None else d <= max_distance
+                get = lambda c, r=r: np.frombuffer(batch.column(c)[r].as_py(), np.float64)
+                d = _distances(get("q_m").reshape(-1, dim), get("m").reshape(-1, dim), metric)
+                keep = d <= get("q_cut")[:, None]
                 if k is not None and k < d.shape[1]:
                     # ties at the k-th distance all stay; the last ranking settles them by id
                     keep &= d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k]
                 i, j = np.nonzero(keep)
-                q_ids, ids = (batch.column(c)[r].values for c in ("q_ids", "ids"))
-                yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(i)), ids.take(pa.array(j)), pa.array(d[i, j])], names=["query_id", "id", "distance"])
+                if len(i):
+                    q_ids, ids = (batch.column(c)[r].values for c in ("q_ids", "ids"))
+                    yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(i)), ids.take(pa.array(j)), pa.array(d[i, j])], names=["query_id", "id", "distance"])
 
     return run
 
 
-def near_pairs(index: DataFrame, queries: DataFrame, k: int | None = None, max_distance: float | None = None, metric: str = "l2sq") -> DataFrame:
+def _dimensions(index: DataFrame, queries: DataFrame) -> int:
+    return max(index.agg(F.max(F.size("v"))).first()[0] or 0, queries.agg(F.max(F.size("v"))).first()[0] or 0, 1)
+
+
+def near_pairs(index: DataFrame, queries: DataFrame, k: int | None = None, max_distance: float | None = None, metric: str = "l2sq", size: int = 4 * BLOCK) -> DataFrame:
     """(query_id, id, distance) of rows of queries (id, v) and index (id, v): exact, rounded to six places.
 
-    Every block of queries meets every block of vectors, spread over cells; of each meeting the k nearest
-    of a query stay, those with equal distances too.  Null vectors take no part.
+    The index is cut into pieces (:func:`cut_space`).  A query goes only to pieces that can hold a row
+    within its cut: max_distance, or the distance of its k-th nearest row in a sample, whichever is less.
+    Of each meeting the k nearest of a query stay, those with equal distances too.  Null vectors take no part.
+    """
+    index, queries = _usable(index), _usable(queries)
+    types = [df.schema["id"].dataType.simpleString() for df in (queries, index)]
+    pieces = cut_space(index, _dimensions(index, queries), metric, size)
+    met = _asked(queries, pieces, k, max_distance, types[0]).join(_stored(index, pieces, types[1]), ["piece", "part"]).select("q_ids", "q_m", "q_cut", "ids", "m")
+    return met.mapInArrow(_compared(pieces.dim, metric, k), f"query_id {types[0]}, id {types[1]}, distance double")
+
+
+def share_met(index: DataFrame, queries: DataFrame, k: int | None = None, max_distance: float | None = None, metric: str = "l2sq", size: int = 4 * BLOCK) -> float:
+    """The share of all pairs of queries and rows that near_pairs compares; the others are left out by their piece's bound."""
+    index, queries = _usable(index), _usable(queries)
+    pieces = cut_space(index, _dimensions(index, queries), metric, size)
+    asked = _asked(queries, pieces, k, max_distance, queries.schema["id"].dataType.simpleString()).where("part = 0").groupBy("piece").agg(F.sum(F.size("q_ids")).alias("q"))
+    rows = _stored(index, pieces, index.schema["id"].dataType.simpleString()).groupBy("piece").agg(F.sum(F.size("ids")).alias("n"))
+    met = asked.join(rows, "piece").agg(F.sum(F.col("q") * F.col("n"))).first()[0] or 0
+    return met / max(1, index.count() * queries.count())
+
+
+def near_in_groups(rows: DataFrame, group: str, threshold: float, block: int = 256) -> DataFrame:
+    """(earlier, later): rows (group, id, v) of one group whose cosine distance is at most threshold.
+
+    A group's rows are numbered and packed into blocks; each two blocks of a group meet under a key of
+    their own, so that a large group is spread over all tasks.
     """
-    index, queries = (df.select("id", "v").where("id is not null and v is not null") for df in (index, queries))
-    n, dim = index.agg(F.count("*"), F.max(F.size("v"))).first()
-    q_dim = queries.agg(F.max(F.size("v"))).first()[0]
-    dim = max(dim or 0, q_dim or 0, 1)
-    types = [df.schema["id"].dataType for df in (queries, index)]
-    arrow = [to_arrow_type(t) for t in types]
-    cells = max(1, -(-n // (4 * BLOCK)))
-    blocks = index.mapInArrow(_packed(dim, BLOCK, arrow[1]), f"ids array<{types[1].simpleString()}>, m binary")
-    blocks = blocks.withColumn("cell", F.pmod(F.monotonically_increasing_id() + F.spark_partition_id(), F.lit(cells)).cast("int"))
-    asked = queries.mapInArrow(_packed(dim, BLOCK, arrow[0]), f"ids array<{types[0].simpleString()}>, m binary")
-    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"), F.col("ids").alias("q_ids"), F.col("m").alias("q_m"))
-    met = asked.join(blocks, "cell").select("q_ids", "q_m", "ids", "m")
-    return met.mapInArrow(_compared(dim, metric, k, max_distance, *arrow), f"query_id {types[0].simpleString()}, id {types[1].simpleString()}, distance double")
-
-
-def near_pairs_within(rows: DataFrame, group: str, threshold: float) -> DataFrame:
-    """(earlier, later): rows (group, id, v) of one group whose cosine distance is at most threshold; for groups as small as a source's concepts."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, c: s + F.coalesce(c, F.lit(0.0)))
-    a, b = rows.alias("a"), rows.alias("b")
-    pairs = a.join(b, (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col("a.id") < F.col("b.id")))
-    norm = F.sqrt(dot("a.v", "a.v")) * F.sqrt(dot("b.v", "b.v"))
-    distance = F.when(norm == 0, 1.0).otherwise(1.0 - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot("a.v", "b.v") / norm)))
-    return pairs.where(distance <= threshold).select(F.col("a.id").alias("earlier"), F.col("b.id").alias("later"))
+    rows = numbered(rows.select(group, "id", "v").where("id is not null and v is not null"), group, "id").withColumn("b", F.floor(F.col("ord") / block).cast("int"))
+    dim = rows.agg(F.max(F.size("v"))).first()[0] or 1
+    kind = rows.schema["id"].dataType.simpleString()
+    blocks = rows.groupBy(group, "b").agg(F.sort_array(F.collect_list(F.struct("ord", "id", "v"))).alias("x")).select(group, "b", F.col("x.id").alias("ids"), F.col("x.v").alias("vs"))
+    counts = rows.groupBy(group).agg((F.max("b") + 1).alias("n"))
+    blocks = blocks.alias("k").join(counts.alias("c"), F.col(f"k.{group}").eqNullSafe(F.col(f"c.{group}"))).select(f"k.{group}", "b", "ids", "vs", "n")
+    first = blocks.select(group, F.col("b").alias("i"), F.explode(F.sequence("b", F.col("n") - 1)).alias("j"), F.col("ids").alias("a"), F.col("vs").alias("x"))
+    second = blocks.select(group, F.explode(F.sequence(F.lit(0), "b")).alias("i"), F.col("b").alias("j"), F.col("ids").alias("b"), F.col("vs").alias("y"))
+    met = first.alias("p").join(second.alias("q"), F.col(f"p.{group}").eqNullSafe(F.col(f"q.{group}")) & (F.col("p.i") == F.col("q.i")) & (F.col("p.j") == F.col("q.j")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                x, y = (_matrix(batch.column(c)[r].values, dim, "cosine") for c in ("x", "y"))
+                near = 1 - np.clip(x @ y.T, -1, 1) <= threshold
+                # a vector of zeros has distance one to all
+                near[(x == 0).all(1)] = near[:, (y == 0).all(1)] = threshold >= 1
+                i, j = np.nonzero(np.triu(near, 1) if batch.column("i")[r].as_py() == batch.column("j")[r].as_py() else near)
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([batch.column("a")[r].values.take(pa.array(i)), batch.column("b")[r].values.take(pa.array(j))], names=["earlier", "later"])
+
+    return met.select("p.i", "p.j", "a", "x", "b", "y").mapInArrow(run, f"earlier {kind}, later {kind}")
 
 
 def find_similar(index: DataFrame, queries: DataFrame, k: int = 5, max_distance: float | None = None, metric: str = "l2sq") -> DataFrame:
@@ -116,20 +292,21 @@ def first_come(items: DataFrame, conflicts: DataFrame) -> DataFrame:
     """(id, kept) for items (id): in turn each is kept unless it conflicts (earlier, later) with an earlier kept one.
 
     Each round keeps the rows without an undecided or kept earlier neighbour and drops those with a kept one,
-    until all are decided: the result of going through them one by one, in as many rounds as chains are long.
+    until no conflict is left: the result of going through them one by one, in at most one round more than
+    the longest chain of conflicts has dropped rows.  A round writes the rows that it drops and the
+    conflicts that are left.
     """
-    open_, done = items.select("id").distinct().checkpoint(), None
-    edges = conflicts.select("earlier", "later").distinct().checkpoint()
-    while not open_.isEmpty():
-        blocked = edges.select(F.col("later").alias("id")).distinct()
-        kept = open_.join(blocked, "id", "left_anti")
-        dropped = edges.join(kept.select(F.col("id").alias("earlier")), "earlier", "left_semi").select(F.col("later").alias("id")).distinct()
-        now = kept.withColumn("kept", F.lit(True)).union(dropped.withColumn("kept", F.lit(False))).checkpoint()
-        done = now if done is None else done.union(now)
-        open_ = open_.join(now, "id", "left_anti").checkpoint()
-        gone = now.select(F.col("id").alias("gone"))
-        edges = edges.join(gone, F.col("later") == F.col("gone"), "left_anti").join(gone, F.col("earlier") == F.col("gone"), "left_anti").checkpoint()
-    return done if done is not None else items.select("id").withColumn("kept", F.lit(True))
+    edges, dropped = kept(conflicts.select("earlier", "later").distinct(), "conflicts"), None
+    while not edges.isEmpty():
+        late = edges.select(F.col("later").alias("earlier")).distinct()
+        now = kept(edges.join(late, "earlier", "left_anti").select(F.col("later").alias("id")).distinct(), "dropped")
+        dropped = now if dropped is None else dropped.union(now)
+        left = edges.join(now.select(F.col("id").alias("later")), "later", "left_anti").join(now.select(F.col("id").alias("earlier")), "earlier", "left_anti")
+        edges = kept(left.select("earlier", "later"), "conflicts")
+    items = items.select("id").distinct()
+    if dropped is None:
+        return items.withColumn("kept", F.lit(True))
+    return items.join(dropped.distinct().withColumn("_gone", F.lit(True)), "id", "left").select("id", F.col("_gone").isNull().alias("kept"))
 
 
 def title_dedupe(concepts: DataFrame, group: str, title: str, *order: str) -> DataFrame:
@@ -139,24 +316,10 @@ def title_dedupe(concepts: DataFrame, group: str, title: str, *order: str) -> Da
 
 
 def greedy_dedupe(rows: DataFrame, group: str, threshold: float) -> DataFrame:
-    """(group, id): rows (group, id, v) in order of id whose cosine distance to every kept one is over threshold.
-
-    A group (one source's concepts) is folded in one task.
-    """
-
-    def fold(pdf):
-        pdf = pdf.sort_values("id")
-        kept, out = [], []
-        for i, v in zip(pdf["id"], pdf["v"]):
-            v = np.asarray(v, np.float64)
-            v = v / max(np.sqrt((v * v).sum()), 1e-300)
-            if not kept or (1 - np.clip(np.array(kept) @ v, -1, 1)).min() > threshold:
-                kept.append(v)
-                out.append(i)
-        return pdf[pdf["id"].isin(out)][[group, "id"]]
-
-    kind = rows.schema[group].dataType.simpleString()
-    return rows.select(group, "id", "v").groupBy(group).applyInPandas(fold, f"{group} {kind}, id long")
+    """(group, id): rows (group, id, v) in order of id whose cosine distance to every kept one of their group is over threshold."""
+    rows = kept(rows.select(group, "id", "v"), "candidates")
+    done = first_come(rows, near_in_groups(rows, group, threshold))
+    return rows.join(done.where("kept"), "id", "left_semi").select(group, "id")
 
 
 def drift(entries: DataFrame, index: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ select doc_id, source, text,
   || (case when doc_id % 3 = 0 then chr(10) || '# See Also' || chr(10) || '- [[doc-' || {_pad(f'(doc_id * 5 + 2) % {_N}')} || ']]' || chr(10) || '- [[Doc ' || {_pad(f'(doc_id + 1) % {_N}')} || ']]' || chr(10) else '' end)
   || chr(10) || '# References' || chr(10) || '1. [[' || source || ']]' || chr(10)
   || (case doc_id % 4 when 0 then chr(10) || 'Status: #processed' when 1 then chr(10) || '#processed' when 2 then chr(10) || 'Status: #draft' else '' end) as content
-from documents where text is not null
+from (select doc_id, source, coalesce(text, '') as text from documents)
 """
 
 

@@ -16,7 +16,7 @@ at = lambda: F.lit("2025-01-02 03:04:05").cast("timestamp")
 def counting(text):
     low = F.lower(text)
     count = lambda t: ((F.length(low) - F.length(F.replace(low, F.lit(t), F.lit("")))) / len(t)).cast("double")
-    return F.array(count("alpha"), count("beta"), count("gamma"), F.length(text) / 1000.0)
+    return F.array(*map(count, "lbgw"))
 
 
 def concept(title, content, tags=("one", "two"), kind="pattern", level="meta-concept"):
@@ -119,6 +119,26 @@ def test_later_concepts_meet_earlier_ones(spark):
     assert {r["stem"] for r in done.notes.collect()} == {"old", "alpha", "new"}
 
 
+def test_a_failing_embedding_keeps_what_titles_left(spark):
+    def broken(text):
+        return F.when(~text.contains("beta"), counting(text))
+
+    answers = {"alpha": [concept("One", "alpha alpha"), concept("one!", "other"), concept("Two", "alpha alpha"), concept("Three", "beta beta beta")]}
+    s, n, i = start(spark, [("a", LONG)], [])
+    done = process(s, n, i, scripted(answers), SETTINGS, at(), False, broken)
+    # the source's own check by contents is left out; the check against notes of the run still holds
+    assert {r["title"]: r["reason"] for r in done.concepts.collect()} == {"One": None, "Two": "duplicate of an earlier concept of this run", "Three": None}
+
+
+def test_names_compare_as_stored(spark):
+    n = spark.createDataFrame([("Alpha", "old"), ("beta", "old")], "stem string, content string")
+    c = spark.createDataFrame([(1, "Alpha", "l"), (2, "Beta", "b")], "id long, title string, content string")
+    i = spark.createDataFrame([], "note_id string, embedding array<double>")
+    from skein.operators.process import duplicate_reasons
+
+    assert {r["id"]: r["reason"] for r in duplicate_reasons(c, n, i, 0.1, counting).collect()} == {1: None, 2: "file exists: beta.md"}
+
+
 def test_limit_and_totals(spark):
     rows = [("a", "x\n\n#processed"), ("b", LONG), ("c", "y\n\n#processed"), ("d", LONG), ("e", LONG)]
     s = spark.createDataFrame(rows, "source_id string, content string")
@@ -150,9 +170,61 @@ def test_bundles_follow_tags_only(spark):
     seeds = [r["note_id"] for r in graph.source_seeds(n, "src", similar).orderBy("ord").collect()]
     assert seeds == ["a", "e"]
     counts = graph.source_counts(n, "src", similar, 1)
-    assert counts == {"Source notes": 1, "Direct tags": 0, "Direct similar notes": 1, "Traversed notes": 1}
-    text = graph.bundle(graph.bundle_rows(n, graph.source_seeds(n, "src", similar), 1), "src", "src", "now", counts, "the source").first()["content"]
-    assert text.index("#### a") < text.index("#### e") < text.index("### Degree 1") < text.index("#### b") and "Direct similar notes: 1\n" in text
+    assert counts == {"source_notes": 1, "direct_tags": 0, "direct_similar_notes": 1, "traversed_notes": 1, "total_notes": 3, "max_depth": 1}
+    assert graph.note_counts(n, "a", 2) == {"source_notes": 1, "direct_tags": 2, "direct_similar_notes": 1, "traversed_notes": 1, "total_notes": 4, "max_depth": 1}
+    with pytest.raises(FileNotFoundError):
+        graph.note_counts(n, "zz", 1)
+    with pytest.raises(FileNotFoundError):
+        graph.note_bundle(n, "zz", 1, "now")
+
+
+def test_bundle_texts(spark):
+    written = [("a", "Tags: [[b]] [[missing]]\n# A\n\n# References\n1. [[src]]\n"), ("b", "Tags: [[a]] [[c]]\n# B\n"), ("c", "# C  \n\n"), ("D d", "Tags: [[c]]\n# References\n1. [[Src]]\n2. [[other]]\n")]
+    n = spark.createDataFrame(written, "stem string, content string")
+    index = vectors.rebuilt(notes.entries(n.where("stem in ('a', 'c')")), counting)
+    sources = spark.createDataFrame([("src", "b"), ("other", "nothing near " + "w" * 30), ("lonely", "l" * 40)], "source_id string, content string")
+    made = {r["bundle"]: r["content"] for r in graph.source_bundles(n, sources, index, 1, "now", 2, 4.0, counting).collect()}
+    assert made["src"] == (
+        "# Bundle: src\nGenerated: now\n\n## Source Content\n\nb\n\n## Connected Knowledge\n\n### Degree 0\n\n#### a\n\nTags: [[b]] [[missing]]\n# A\n\n# References\n1. [[src]]\n\n"
+        "#### c\n\n# C\n\n### Degree 1\n\n#### b\n\nTags: [[a]] [[c]]\n# B\n\n## Metadata\n\nSource: [[src]]\nSource notes: 2\nDirect tags: 0\nDirect similar notes: 1\nTraversed notes: 1\nTotal notes included: 3\nMax depth: 1\n"
+    )
+    # the note d-d has no file of its id's name, so that it is listed but not shown
+    assert "#### d-d" not in made["other"] and "Source notes: 1\nDirect tags: 0\nDirect similar notes: 0\nTraversed notes: 1\nTotal notes included: 1\nMax depth: 1\n" in made["other"]
+    assert made["lonely"].endswith("## Connected Knowledge\n\n## Metadata\n\nSource: [[lonely]]\nSource notes: 0\nDirect tags: 0\nDirect similar notes: 0\nTraversed notes: 0\nTotal notes included: 0\nMax depth: 0\n")
+    name = spark.range(1).select(graph.stamped_name(F.lit("A Note!"), at())).first()[0]
+    assert name == "a-note-20250102-030405.md"
+
+
+def brute_reach(links, seeds, depth):
+    """One bundle by a queue."""
+    seen, queue, out = set(seeds), [(s, 0) for s in seeds], []
+    while queue:
+        note, degree = queue.pop(0)
+        if degree == depth:
+            continue
+        for target in links.get(note, ()):
+            if target in links and target not in seen:
+                seen.add(target)
+                queue.append((target, degree + 1))
+                out.append((target, degree + 1))
+    places = {}
+    return {(n, d, places.setdefault(d, []).append(n) or len(places[d]) - 1) for n, d in out}
+
+
+def test_reach_of_many_bundles(spark):
+    import random
+
+    rnd = random.Random(2)
+    names = [f"n{i:02d}" for i in range(60)]
+    links = {n: [rnd.choice([*names, "gone"]) for _ in range(rnd.randrange(4))] for n in names}
+    n = spark.createDataFrame([(k, "Tags: " + " ".join(f"[[{x}]]" for x in v) + "\n# t\n") for k, v in links.items()], "stem string, content string").repartition(3)
+    seeds = {f"b{i}": rnd.sample(names, 1 + i % 4) for i in range(25)}
+    df = spark.createDataFrame([(b, s, i) for b, xs in seeds.items() for i, s in enumerate(xs)], "bundle string, note_id string, ord long").repartition(4)
+    got = {}
+    for r in graph.reach_all(n, df, 3).collect():
+        got.setdefault(r["bundle"], set()).add((r["note_id"], r["degree"], r["ord"]))
+    assert {b: got.get(b, set()) for b in seeds} == {b: brute_reach(links, xs, 3) for b, xs in seeds.items()}
+    assert graph.reach_all(n, df, 0).count() == 0
 
 
 def test_backlinks_and_merges(spark):
