@@ -23,11 +23,13 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
 from array import array
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -85,23 +87,28 @@ class Transducer:
         """(tokens of A, tokens of B) read when each group closes; None where the two spell different bytes."""
         if self.known > TRANSITIONS:
             self._forget()
-        sides, at, sizes, memo, reads = (a, b), [0, 0], (len(a), len(b)), self.memo, self.reads
-        state, out = 0, []
-        while at[0] < sizes[0] or at[1] < sizes[1]:
-            side = reads[state]
-            if at[side] == sizes[side]:
-                return None
-            token = sides[side][at[side]]
-            at[side] += 1
+        n_a, n_b, memo, reads = len(a), len(b), self.memo, self.reads
+        state, i, j, out = 0, 0, 0, []
+        while state or i < n_a or j < n_b:
+            if reads[state]:
+                if j == n_b:
+                    return None
+                token = b[j]
+                j += 1
+            else:
+                if i == n_a:
+                    return None
+                token = a[i]
+                i += 1
             to = memo[state].get(token)
             if to is None:
                 to = self._step(state, token)
                 if to < 0:
                     return None
             state = to
-            if not state:
-                out.append((at[0], at[1]))
-        return None if state else out
+            if not to:
+                out.append((i, j))
+        return out
 
 
 class Aligned(NamedTuple):
@@ -136,46 +143,44 @@ class Aligner:
         self.size = len(pieces)
         self.kind = np.dtype(np.int32 if len(a_bytes) * self.size < 2**31 else np.int64)
         self.transducer = Transducer(a_bytes, b_bytes)
+        self.spaced = [x.startswith(b" ") for x in a_bytes]
         self.a_bytes, self.names = a_bytes, [str(i) for i in range(max(len(a_bytes), self.size))]
-        self.recent: dict[str, Aligned | bool] = {}
-        self.older: dict[str, Aligned | bool] = {}
+        self.recent: dict[str, tuple | bool] = {}
+        self.older: dict[str, tuple | bool] = {}
 
     def runs(self, text: str) -> list[str]:
         return SEAM.split(text) if self.cut else [text]
 
-    def _align(self, runs: list[str]) -> list[Aligned | bool]:
-        """Each run's alignment, or False; runs have seams between them."""
+    def _align(self, runs: list[str]) -> list[tuple | bool]:
+        """Each run's alignment as a tuple, or False; of several runs none holds a space, so that a token of A that begins with one begins a run."""
         text = " ".join(runs)
         a, b = self.a.encode_ordinary(" " + text), self.b.encode(text)
         ends = self.transducer.ends(a, b)
-        spelt = self.a_bytes
-        if ends is None or b"".join([spelt[i] for i in a]) != (" " + text).encode():
+        if ends is None or b"".join([self.a_bytes[i] for i in a]) != (" " + text).encode():
             return [x for r in runs for x in self._align([r])] if len(runs) > 1 else [False]
-        names, size, out, at = self.names, self.size, [], 0
-        i = j = read = 0
-        for run in runs:
-            # the run's groups are those up to the one that closes with its last byte
-            stop, first_i, first_j = read + 1 + len(run.encode()), i, j
-            groups, links = [], []
-            while read < stop:
-                x, y = ends[at]
-                at += 1
-                for k in range(i, x):
-                    read += len(spelt[a[k]])
-                groups.append(f"{names[a[i]] if x == i + 1 else ','.join([names[k] for k in a[i:x]])}|{names[b[j]] if y == j + 1 else ','.join([names[k] for k in b[j:y]])}")
-                links.append(a[x - 1] * size + b[y - 1])
-                i, j = x, y
-            out.append(Aligned(i - first_i, j - first_j, len(groups), ";".join(groups), array(self.kind.char, links).tobytes()))
+        names, size, spaced, kind, several = self.names, self.size, self.spaced, self.kind.char, len(runs) > 1
+        out, groups, links = [], [], []
+        i = j = first_i = first_j = 0
+        for x, y in ends:
+            if several and i and spaced[a[i]]:
+                out.append((i - first_i, j - first_j, len(links), ";".join(groups), array(kind, links).tobytes()))
+                groups, links, first_i, first_j = [], [], i, j
+            left = names[a[i]] if x == i + 1 else ",".join([names[k] for k in a[i:x]])
+            right = names[b[j]] if y == j + 1 else ",".join([names[k] for k in b[j:y]])
+            groups.append(f"{left}|{right}")
+            links.append(a[x - 1] * size + b[y - 1])
+            i, j = x, y
+        out.append((i - first_i, j - first_j, len(links), ";".join(groups), array(kind, links).tobytes()))
         return out
 
-    def _learn(self, runs: list[str]) -> dict[str, Aligned | bool]:
+    def _learn(self, runs: list[str]) -> dict[str, tuple | bool]:
         """Alignments of the runs that are not among the recent ones."""
         older, found, plain = self.older, {}, []
         for r in dict.fromkeys(runs):
             if r not in self.recent:
                 if r in older:
                     found[r] = older[r]
-                elif r == r.strip() and r:
+                elif " " not in r and r == r.strip():
                     plain.append(r)
                 else:
                     found[r] = self._align([r])[0]
@@ -198,8 +203,6 @@ class Aligner:
             self.recent.update((r, p) for r, p in found.items() if len(r) <= 48)
         if False in parts:
             return None
-        if len(parts) == 1:
-            return parts[0]
         n_a, n_b, n_groups, groups, links = zip(*parts)
         return Aligned(sum(n_a), sum(n_b), sum(n_groups), ";".join(groups), b"".join(links))
 
@@ -225,6 +228,18 @@ def aligner(a_path: str, b_path: str, pattern: str) -> Aligner:
     return Aligner(a_path, b_path, pattern)
 
 
+@contextmanager
+def _no_collection():
+    """No search for reference cycles meanwhile: what a worker remembers has none, and to scan it takes a fifth of the time."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def alignments(docs: DataFrame, a_path: str, b_path: str, pattern: str) -> DataFrame:
     """(doc_id, groups array<struct<a array<int>, b array<int>>>) of every row of docs (doc_id, text)."""
 
@@ -253,8 +268,9 @@ def linked(docs: DataFrame, a_path: str, b_path: str, pattern: str) -> DataFrame
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part, made = batch.slice(at, 256), []
-                for text in part.column("text").to_pylist():
-                    done = al.text(text)
+                with _no_collection():
+                    results = [al.text(t) for t in part.column("text").to_pylist()]
+                for done in results:
                     made.append((*done[:3], hashlib.sha256(done.groups.encode()).hexdigest(), done.links) if done else (0, 0, 0, "", b""))
                 cols = [pa.array([m[k] for m in made], kind) for k, kind in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *cols], names=["doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "links"])
