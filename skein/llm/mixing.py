@@ -2,18 +2,27 @@
 
 Tokens are summed by cell (source, language, topic).  The cells' weights are raked: scaled in turn so
 that each marginal meets its target, until all do.  A document is kept with probability
-rate * weight / tokens of its cell, by a hash of its doc_id, so that the same documents are kept each
-time.  The rate is keep, or less where keep would take more than all of a cell: one by the largest
-weight / tokens, so that no probability is clipped and the kept tokens meet the targets.  By default the targets are the marginals' own shares to the power TEMPER, which
-lowers the share of a source that holds a third of all rows.
+keep * weight / tokens of its cell, by a hash of its doc_id, so that the same documents are kept each
+time.
+
+No cell can give more than all of its tokens, so a weight is at most tokens / keep.  Raking respects
+that: a marginal's factor is the one with which the sum of its cells' weights, each cut at its most, is
+the target.  A value whose target is above all it has gives all, and the others of its marginal share
+what is missing in proportion to their targets (:func:`within`); then keep of all tokens is kept and the
+marginals are these feasible targets.
+
+By default the targets are the marginals' own shares to the power TEMPER, which lowers the share of a
+source that holds a third of all rows.  They are aims: where marginals contradict each other (a source
+in one language only), raking stops when it gets no closer, and :func:`marginals` shows what is off.
+Targets that a caller gives are met, or a ValueError says by how much they are not.
 
 Only cells, not rows, are shuffled for the fit; the join of rows with cells is left to Spark, which
 broadcasts the cells only below its own size threshold.
 
 Defined cases: null sources and languages are values of their own; a null or empty text has no
-tokens, and a cell without tokens is kept at the rate; repeated rows and repeated doc_ids share
-their fate; an empty table gives an empty table; all columns of the input are kept, and columns with
-the names of helpers are safe.
+tokens, and a cell without tokens is kept at the rate; a value without a target, or with none above
+zero, is not kept; repeated rows and repeated doc_ids share their fate; an empty table gives an empty
+table; all columns of the input are kept, and columns with the names of helpers are safe.
 """
 
 from __future__ import annotations
@@ -24,7 +33,10 @@ from pyspark.sql import functions as F
 
 from .common import packed, words, written
 
-TEMPER, KEEP, ROUNDS, TOLERANCE = 0.7, 0.8, 24, 1e-4
+#: Sweeps over the marginals until a fit has failed, how far off a share may be, and what is no longer getting closer.
+TEMPER, KEEP, ROUNDS, TOLERANCE, SLOW = 0.7, 0.8, 200, 1e-4, 0.98
+#: Sweeps between two written tables, and cells up to which one task rakes them, so that sweeps need no shuffles; the weights are the same.
+SWEEPS, TOGETHER = 2, 100_000
 DIMS = ("source", "lang", "topic")
 
 
@@ -40,31 +52,68 @@ def tempered(cells: DataFrame, temper: float) -> dict[str, DataFrame]:
     out = {}
     for d in DIMS:
         shares = cells.groupBy(d).agg(F.pow(F.sum("tokens"), F.lit(temper)).alias("target"))
-        total = shares.agg(F.sum("target")).first()[0] or 1.0
-        out[d] = shares.withColumn("target", F.col("target") / F.lit(total))
+        # one row a value
+        out[d] = shares.withColumn("target", F.try_divide("target", F.sum("target").over(W.partitionBy())))
     return out
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """cells (source, lang, topic, tokens) with weight: same total as tokens, marginals as in targets."""
+def _filled(table: str, columns: list[str], by: str | None, goal: str) -> str:
+    """SQL for the rows of a table (u, most) with u scaled, the same for all rows of ``by``, so that the sum of least(u, most) is the goal; where that is above all most together, so that u reaches most everywhere.
+
+    With rows in the order of most / u, those before some row are full and the rest is not.  Each place
+    gives the factor that the rest would need; it is the right one at the first place that it leaves not
+    full, and too small behind it.
+    """
+    whole = f"(partition by {by})" if by else "()"
+    before = f"({'partition by ' + by if by else ''} order by _r rows between unbounded preceding and 1 preceding)"
+    placed = f"select *, case when u > 0 then most / u end as _r from {table}"
+    left = f"({goal}) - coalesce(sum(case when u > 0 then most end) over {before}, 0D)"
+    open_ = f"sum(u) over {whole} - coalesce(sum(u) over {before}, 0D)"
+    needed = f"select *, {left} as _left, {open_} as _open from ({placed})"
+    factors = f"select *, case when u > 0 and _open > 0 then _left / _open end as _f from ({needed})"
+    factor = f"coalesce(max(case when _f <= _r then greatest(_f, 0D) end) over {whole}, max(_r) over {whole}, 0D)"
+    return f"select {', '.join(columns)}, u * {factor} as u from ({factors})"
+
+
+def within(cells: DataFrame, targets: dict[str, DataFrame], keep: float) -> dict[str, DataFrame]:
+    """The targets (value, target) cut at what each value has, for a sample of keep of all tokens, and the others raised in proportion."""
+    total = cells.agg(F.sum("tokens")).first()[0] or 1.0
+    out = {}
+    for d in DIMS:
+        own = cells.groupBy(d).agg(F.sum("tokens").alias("_n"))
+        df = targets[d].alias("t").join(own.alias("o"), F.col(f"t.{d}").eqNullSafe(F.col(f"o.{d}"))).select(f"t.{d}", F.col("target").alias("u"), (F.col("_n") / F.lit(keep * total)).alias("most"))
+        out[d] = df.sparkSession.sql(_filled("{df}", [d, "most"], None, "1D"), df=df).select(d, F.least("u", "most").alias("target"))
+    return out
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame], keep: float = 0.0, strict: bool = True, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """cells (source, lang, topic, tokens) with weight: same total as tokens, marginals as in targets, at most tokens / keep each.
+
+    If that can't be done, a ValueError if strict, else weights that come near it.
+    """
     total = cells.agg(F.sum("tokens")).first()[0] or 0.0
     df = cells
     for d in DIMS:
         t = targets[d].select(F.col(d).alias("_v"), F.col("target").alias(f"to_{d}"))
         df = df.join(t, F.col(d).eqNullSafe(F.col("_v")), "left").drop("_v").fillna(0.0, [f"to_{d}"])
-    df = df.withColumn("weight", F.col("tokens"))
-    at = 0
-    while at < rounds:
-        for _ in range(4):
-            at += 1
-            for d in DIMS:
-                now = F.sum("weight").over(W.partitionBy(d))
-                df = df.withColumn("weight", F.when(now > 0, F.col("weight") * F.col(f"to_{d}") * F.lit(total) / now).otherwise(F.lit(0.0)))
-        df = written(df, "cells")
-        off = [df.groupBy(d).agg(F.abs(F.sum("weight") / F.lit(total or 1.0) - F.max(f"to_{d}")).alias("off")).agg(F.max("off")).first()[0] or 0.0 for d in DIMS]
-        if max(off) <= tolerance:
+    live = (F.col("tokens") > 0) & (F.least(*(f"to_{d}" for d in DIMS)) > 0)
+    df = df.withColumns({"u": F.when(live, F.col("tokens")).otherwise(0.0), "most": F.col("tokens") / keep if keep else F.lit(total)})
+    few, kept = df.count() <= TOGETHER, [c for c in df.columns if c != "u"]
+    weight, off = F.least("u", "most"), float("inf")
+    for _ in range(0, rounds, SWEEPS):
+        # all sweeps of a round in one text, which is analysed once
+        text = "{df}"
+        for d in DIMS * SWEEPS:
+            text = _filled(text if text == "{df}" else f"({text})", kept, d, f"to_{d} * {total!r}D")
+        df = written(cells.sparkSession.sql(text, df=df.coalesce(1) if few else df), "cells")
+        apart = [F.abs(F.sum(weight).over(W.partitionBy(d)) / F.lit(total or 1.0) - F.col(f"to_{d}")) for d in DIMS]
+        gaps = [g or 0.0 for g in (df.coalesce(1) if few else df).select(*(a.alias(d) for a, d in zip(apart, DIMS))).agg(*(F.max(d) for d in DIMS)).first()]
+        last, off = off, max(gaps)
+        if off <= tolerance or off > SLOW * last:
             break
-    return df.select(*DIMS, "tokens", "weight")
+    if strict and off > tolerance:
+        raise ValueError("targets can't be met: " + ", ".join(f"{d} is off by {g:.4f}" for d, g in zip(DIMS, gaps)))
+    return df.select(*DIMS, "tokens", weight.alias("weight"))
 
 
 def decided(docs: DataFrame, topic: Column | None = None, temper: float = TEMPER, keep: float = KEEP, seed: int = 17, targets: dict[str, DataFrame] | None = None) -> DataFrame:
@@ -72,18 +121,29 @@ def decided(docs: DataFrame, topic: Column | None = None, temper: float = TEMPER
     topic = text_form(F.col("text")) if topic is None else topic
     rows = packed(docs, doc_id=F.col("doc_id"), source=F.col("source"), lang=F.col("lang"), topic=topic, tokens=F.size(words(F.col("text"))).cast("double"))
     cells = written(rows.groupBy(*DIMS).agg(F.sum("tokens").alias("tokens")), "cells")
-    raked = rake(cells, tempered(cells, temper) if targets is None else targets)
+    raked = rake(cells, within(cells, tempered(cells, temper) if targets is None else targets, keep), keep, targets is not None)
     ratio = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(F.lit(1.0))
     cell = raked.select(*(F.col(d).alias(f"c_{d}") for d in DIMS), F.round(ratio, 6).alias("weight"))
-    top = cell.agg(F.max("weight")).first()[0]
-    rate = min(keep, 1.0 / top) if top else keep
     same = [F.col(d).eqNullSafe(F.col(f"c_{d}")) for d in DIMS]
     df = rows.join(cell, same[0] & same[1] & same[2], "left")
-    probability = F.least(F.lit(1.0), F.col("weight") * rate)
+    probability = F.least(F.lit(1.0), F.col("weight") * keep)
     draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
     return df.select("_row", *DIMS, "tokens", "weight", probability.alias("probability"), (draw < probability).alias("kept"))
 
 
+def marginals(done: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
+    """(dimension, value, target, expected) of rows of decided(): the share of tokens that is expected in the sample beside the target."""
+    chance = F.col("tokens") * F.col("probability")
+    total = done.agg(F.sum(chance)).first()[0] or 1.0
+    out = None
+    for d in DIMS:
+        got = done.groupBy(d).agg((F.sum(chance) / F.lit(total)).alias("expected")).alias("g")
+        one = targets[d].alias("t").join(got, F.col(f"t.{d}").eqNullSafe(F.col(f"g.{d}")), "left")
+        one = one.select(F.lit(d).alias("dimension"), F.col(f"t.{d}").cast("string").alias("value"), "target", F.coalesce("expected", F.lit(0.0)).alias("expected"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def sampled(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that are kept, with docs' columns."""
     return decided(docs, **options).where("kept").select("_row.*")

@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter
 
@@ -259,39 +260,52 @@ def test_lines_rows(spark):
     assert line_dedup.without_repeated_lines(docs.limit(0)).count() == 0
 
 
+def fill(us, goal):
+    """us {key: (u, most)} scaled by one factor so that the sum of min(u, most) is the goal, or, where that is too much, until all are full."""
+    if not any(u > 0 for u, _ in us.values()):
+        return us
+    top = max(m / u for u, m in us.values() if u > 0)
+    sum_at = lambda f: math.fsum(min(u * f, m) for u, m in us.values())
+    low, high = 0.0, top
+    if sum_at(top) > goal:
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum_at(mid) < goal else (low, mid)
+    return {k: (u * high, m) for k, (u, m) in us.items()}
+
+
 def brute_mixing(rows, temper=0.7, keep=0.8, seed=17):
     """The doc_ids kept of rows (doc_id, source, lang, topic, tokens)."""
     cells = Counter()
     for _, *cell, n in rows:
         cells[tuple(cell)] += n
-    w, total = {c: float(n) for c, n in cells.items()}, float(sum(cells.values()))
-    goal = []
+    total, goal = float(sum(cells.values())), []
     for d in range(3):
         m = Counter()
         for c, n in cells.items():
             m[c[d]] += n
         up = {k: n**temper for k, n in m.items()}
-        goal.append({k: x / sum(up.values()) for k, x in up.items()})
-    for i in range(24):
-        for d in range(3):
-            m = Counter()
-            for c, x in w.items():
-                m[c[d]] += x
-            w = {c: x * goal[d][c[d]] * total / m[c[d]] if m[c[d]] else 0.0 for c, x in w.items()}
-        off = 0.0
+        aim = fill({k: (x / sum(up.values()), m[k] / (keep * total)) for k, x in up.items()}, 1.0)
+        goal.append({k: min(x) for k, x in aim.items()})
+    w, off = {c: (float(n), n / keep) for c, n in cells.items() if n}, math.inf
+    for i in range(200):
         for d in range(3):
-            m = Counter()
-            for c, x in w.items():
-                m[c[d]] += x
-            off = max(off, *(abs(m[k] / total - g) for k, g in goal[d].items()))
-        if i % 4 == 3 and off <= 1e-4:
-            break
+            for v, g in goal[d].items():
+                w.update(fill({c: x for c, x in w.items() if c[d] == v}, g * total))
+        if i % 2 == 1:
+            last, off = off, 0.0
+            for d in range(3):
+                m = Counter()
+                for c, x in w.items():
+                    m[c[d]] += min(x)
+                off = max(off, *(abs(m[k] / total - g) for k, g in goal[d].items()))
+            if off <= 1e-4 or off > 0.98 * last:
+                break
     out = set()
-    share = {c: round(w[c] / n, 6) if n else 1.0 for c, n in cells.items()}
-    rate = min(keep, 1 / max(share.values()))
+    share = {c: round(min(w[c]) / n, 6) if n else 1.0 for c, n in cells.items()}
     for i, *cell, _ in rows:
         h = xxhash.xxh64(seed.to_bytes(4, "little"), seed=xxhash.xxh64(i.to_bytes(8, "little", signed=True), seed=42).intdigest()).intdigest()
-        if (h % (1 << 53)) / (1 << 53) < min(1.0, share[tuple(cell)] * rate):
+        if (h % (1 << 53)) / (1 << 53) < min(1.0, share[tuple(cell)] * keep):
             out.add(i)
     return out
 

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from skein.llm import line_dedup, mixing, queries, repeats
@@ -50,18 +51,35 @@ def test_near_lines_grow_with_length(spark):
     assert any(edits(lines[i], lines[j]) > 2 for i, j in want)
 
 
-def test_mixing_meets_targets(spark):
-    done = queries.op6_mixing(spark, "/root/testdata/sf0.01").withColumnRenamed("n_tokens", "tokens").cache()
-    targets = mixing.tempered(done, mixing.TEMPER)
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_mixing_meets_feasible_targets_and_keeps_its_share(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").drop("n_chars")
+    done = mixing.decided(docs).drop("_row").cache()
+    targets = mixing.within(done, mixing.tempered(done, mixing.TEMPER), mixing.KEEP)
     chance = F.col("tokens") * F.col("probability")
     kept = F.when(F.col("kept"), F.col("tokens")).otherwise(0)
-    expected, real, spread = done.agg(F.sum(chance), F.sum(kept), F.sum(chance * F.col("tokens") * (1 - F.col("probability")))).first()
+    total, expected, real, spread = done.agg(F.sum("tokens"), F.sum(chance), F.sum(kept), F.sum(chance * F.col("tokens") * (1 - F.col("probability")))).first()
+    assert abs(expected / total - mixing.KEEP) < 0.001 and abs(real / total - mixing.KEEP) < 0.01 + 4 * spread**0.5 / total
     assert 0 < done.agg(F.max("probability")).first()[0] <= 1
+    for r in mixing.marginals(done, targets).collect():
+        assert abs(r["expected"] - r["target"]) < 1e-3, r
     for d in mixing.DIMS:
         want = {r[d]: r["target"] for r in targets[d].collect()}
-        for r in done.groupBy(d).agg(F.sum(chance).alias("e"), F.sum(kept).alias("k")).collect():
-            assert abs(r["e"] / expected - want[r[d]]) < 1e-3
-            assert abs(r["k"] / real - want[r[d]]) < 4 * spread**0.5 / real
+        for r in done.groupBy(d).agg(F.sum(kept).alias("k")).collect():
+            assert abs(r["k"] / real - want[r[d]]) < 1e-3 + 4 * spread**0.5 / real
+
+
+def test_mixing_targets_that_cannot_be_met(spark):
+    docs = spark.createDataFrame([(i, "w " * 10, "a" if i < 50 else "b", "x" if i < 50 else "y") for i in range(100)], "doc_id long, text string, source string, lang string")
+    goal = lambda d, **shares: spark.createDataFrame(list(shares.items()), f"{d} string, target double")
+    aims = {"source": goal("source", a=0.4, b=0.6), "lang": goal("lang", x=0.6, y=0.4), "topic": goal("topic", note=1.0)}
+    with pytest.raises(ValueError, match="can't be met"):
+        mixing.decided(docs, targets=aims)
+    fit = mixing.decided(docs, targets={**aims, "lang": goal("lang", x=0.4, y=0.6)}).collect()
+    assert {(r["source"], round(r["probability"], 3)) for r in fit} == {("a", 0.64), ("b", 0.96)}
+    # b has half of all tokens, so that of a sample of 0.8 it can be 0.625 at most
+    most = mixing.within(spark.createDataFrame([("a", "x", "note", 500.0), ("b", "x", "note", 500.0)], "source string, lang string, topic string, tokens double"), {**aims, "source": goal("source", a=0.1, b=0.9), "lang": goal("lang", x=1.0)}, 0.8)
+    assert {r["source"]: round(r["target"], 6) for r in most["source"].collect()} == {"a": 0.375, "b": 0.625}
 
 
 def test_short_lines_repeat(spark):
