@@ -3,9 +3,10 @@
 All rolling k-word hashes of all texts are joined with the k-word hashes of license templates; each
 match votes for the diagonal (word position less template position) of its template.  Votes are
 summed by diagonal, neighbouring diagonals merged (an inserted or lost word moves the diagonal by
-one), and a merged run is verified against the template's length.
+one), and a merged run is verified: its matches have to follow each other in text and template alike,
+and make up COVER of the longer of the two.
 
-The template table is the only side that is broadcast; its size is that of TEMPLATES.
+The template table is the only side that is broadcast, and only up to MOST_CHARS characters.
 
 Defined cases: a null or empty text has no words and no labels; repeated rows each get their own
 result row (a repeated doc_id shares the labels that its rows have); a null doc_id counts as one id;
@@ -37,6 +38,8 @@ TEMPLATES = (
 )
 #: Words to a hash; diagonals so far apart at most are one run; least share of a template's hashes.
 K, SLACK, COVER = 3, 2, 0.6
+#: Characters of templates up to which their hashes go to all tasks.
+MOST_CHARS = 2_000_000
 
 
 def scan_words(text: Column) -> Column:
@@ -57,22 +60,36 @@ def template_grams(spark, templates=TEMPLATES) -> DataFrame:
     return df.select("t", "label", F.size("g").alias("t_size"), F.posexplode("g").alias("t_pos", "h"))
 
 
+def _chain(matches: Column, size: Column) -> Column:
+    """The most matches (pos, t_pos) that follow each other in text and template alike: best has the longest chain that ends at each template place."""
+    order = F.array_sort(F.transform(matches, lambda m: F.struct(m["pos"].alias("pos"), (-m["t_pos"]).alias("t"))))
+    # matches of one text place come from the template's end, so that none follows another
+    step = lambda best, m: F.transform(best, lambda n, i: F.when(i == -m["t"], F.greatest(n, 1 + F.coalesce(F.array_max(F.slice(best, F.lit(1), -m["t"])), F.lit(0)))).otherwise(n))
+    return F.array_max(F.aggregate(order, F.array_repeat(F.lit(0), size), step))
+
+
 def license_spans(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
-    """(doc_id, label, t, first_word, last_word, cover): verified runs of template words; several a document."""
+    """(doc_id, label, t, first_word, last_word, cover): verified runs of template words; several a document.
+
+    cover is the share of hashes that text and template have in the same order, of the longer of the two.
+    """
     spark = docs.sparkSession
-    tmpl = F.broadcast(template_grams(spark, templates))
+    tmpl = template_grams(spark, templates)
+    if sum(len(text) for _, text in templates) <= MOST_CHARS:
+        tmpl = F.broadcast(tmpl)
     grams = docs.select("doc_id", once(scan_words(F.col("text"))).alias("ws")).select("doc_id", once(_grams("ws")).alias("g"))
     grams = grams.select("doc_id", F.posexplode("g").alias("pos", "h"))
     votes = grams.join(tmpl, "h").withColumn("diagonal", F.col("pos") - F.col("t_pos"))
-    votes = votes.groupBy("doc_id", "label", "t", "t_size", "diagonal").agg(F.count_distinct("t_pos").alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    votes = votes.groupBy("doc_id", "label", "t", "t_size", "diagonal").agg(F.collect_set(F.struct("pos", "t_pos")).alias("matches"), F.min("pos").alias("first"), F.max("pos").alias("last"))
     by = W.partitionBy("doc_id", "t").orderBy("diagonal")
     apart = F.col("diagonal") - F.lag("diagonal").over(by) > SLACK
     runs = votes.withColumn("run", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(by))
-    runs = runs.groupBy("doc_id", "label", "t", "t_size", "run").agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"))
-    cover = F.least(F.lit(1.0), F.col("votes") / F.col("t_size"))
+    runs = runs.groupBy("doc_id", "label", "t", "t_size", "run").agg(F.flatten(F.collect_list("matches")).alias("matches"), F.min("first").alias("first"), F.max("last").alias("last"))
     span = F.col("last") - F.col("first") + 1
-    verified = (cover >= COVER) & (span <= 2 * F.col("t_size") + SLACK)
-    return runs.where(verified).select("doc_id", "label", "t", F.col("first").cast("long").alias("first_word"), (F.col("last") + K - 1).cast("long").alias("last_word"), cover.alias("cover"))
+    runs = runs.where(span <= 2 * F.col("t_size") + SLACK)
+    cover = _chain(F.col("matches"), F.col("t_size")) / F.greatest(F.col("t_size"), span)
+    runs = runs.withColumn("cover", once(cover)).where(F.col("cover") >= COVER)
+    return runs.select("doc_id", "label", "t", F.col("first").cast("long").alias("first_word"), (F.col("last") + K - 1).cast("long").alias("last_word"), "cover")
 
 
 def _places() -> Column:

@@ -102,6 +102,55 @@ def test_license_base(spark, which):
     assert sorted(rows(got, "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"), key=key) == sorted(want, key=key)
 
 
+def brute_licenses(text):
+    """(labels, best cover) that the method adds."""
+    import re
+
+    cut = lambda x: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", brute.lower(x or ""))
+    k, ws = license_scan.K, cut(text)
+    labels, best = set(), 0.0
+    for label, template in license_scan.TEMPLATES:
+        ts = cut(template)
+        t_grams = [ts[i : i + k] for i in range(len(ts) - k + 1)]
+        found = sorted((p - t, p, t) for p in range(len(ws) - k + 1) for t, g in enumerate(t_grams) if ws[p : p + k] == g)
+        runs = []
+        for d, p, t in found:
+            if runs and d - runs[-1][-1][0] <= license_scan.SLACK:
+                runs[-1].append((d, p, t))
+            else:
+                runs.append([(d, p, t)])
+        for run in runs:
+            span = max(p for _, p, _ in run) - min(p for _, p, _ in run) + 1
+            if span > 2 * len(t_grams) + license_scan.SLACK:
+                continue
+            pairs, chain = sorted((p, t) for _, p, t in run), []
+            for i, (p, t) in enumerate(pairs):
+                chain.append(1 + max((chain[j] for j in range(i) if pairs[j][0] < p and pairs[j][1] < t), default=0))
+            cover = max(chain) / max(len(t_grams), span)
+            if cover >= license_scan.COVER:
+                labels.add(label)
+                best = max(best, cover)
+    return labels, best
+
+
+def test_license_labels_and_score(spark):
+    rnd = random.Random(6)
+    texts = ["licensed under cc under cc by cc by nc", "Licensed under CC BY NC 4.0", "licensed under cc by nc 4 0 " * 30, None, "", "the license " * 400]
+    for _ in range(60):
+        ws = " ".join(t for _, t in rnd.sample(license_scan.TEMPLATES, 2)).split()
+        for _ in range(rnd.randrange(6)):
+            i = rnd.randrange(len(ws))
+            ws[i : i + rnd.randrange(2)] = rnd.choice(([], ["word"], [ws[i], ws[i - 1]], ws[max(0, i - 4) : i]))
+        texts.append(" ".join(ws))
+    docs = list(enumerate(texts)) + [(r["doc_id"] + 1000, r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    for i, text in docs:
+        more, cover = brute_licenses(text)
+        assert set(got[i]["labels"].split(",")) - {""} == more | (set(got[i]["base_labels"].split(",")) - {""}), text
+        assert got[i]["score"] == (1.0 if got[i]["n_base"] else cover), text
+    assert got[0]["labels"] == "" and got[1]["labels"] == "cc-by-nc" and any(got[i]["labels"] for i, _ in docs[6:])
+
+
 def test_license_votes(spark):
     texts = [
         "x " * 30 + "Permission is hereby granted, free of charge, to any person obtaining a copy of this very software and associated documentation files. y",
