@@ -17,6 +17,10 @@ LEVELS = ("concrete-example", "specific-technique", "general-principle", "meta-c
 OUTCOMES = ("already_processed", "too_short", "provider_error", "invalid_output", "no_valid_concepts", "non_extractable", "created")
 
 
+#: The columns of an item of a reply.
+ITEM_SCHEMA = "title string, content string, suggested_tags array<string>, concept_type string, abstraction_level string"
+
+
 def payload_items(replies: DataFrame) -> DataFrame:
     """replies (..., raw) with valid and items: a list under ``concepts`` or a bare list; else not valid."""
     v = F.try_parse_json(T.json_from_reply(F.col("raw")))
@@ -39,6 +43,12 @@ def concepts(replies: DataFrame, types=CONCEPT_TYPES, levels=LEVELS) -> DataFram
     return rows.withColumn("ok", F.coalesce(ok, F.lit(False))).drop("_kinds")
 
 
+def valid_concepts(replies: DataFrame, types=CONCEPT_TYPES, levels=LEVELS) -> DataFrame:
+    """The items that pass all checks, without counts of the others, as rows of ITEM_SCHEMA behind their keys."""
+    rows = concepts(replies, types, levels).where("ok")
+    return rows.drop("ok").withColumnRenamed("tags", "suggested_tags")
+
+
 def extracted(sources: DataFrame, extractor: Callable[[DataFrame], DataFrame], target: int = 4000, cap: int = 6000) -> DataFrame:
     """(source_id, chunk_pos, raw, status): each chunk of sources (source_id, content) sent to the extractor.
 

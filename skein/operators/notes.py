@@ -75,6 +75,19 @@ def normalize_plan(notes: DataFrame) -> DataFrame:
     return df.where(F.col("old") != F.col("tags")).select("stem", changed.cast("long").alias("n_changed"), (F.size("ids") - F.size("tags")).cast("long").alias("n_duplicates"), "tags")
 
 
+def normalized(notes: DataFrame) -> DataFrame:
+    """notes with tag lines rewritten to ids, each once, where that changes one."""
+    df = notes.withColumn("_old", T.tag_links(F.col("content"))).withColumn("_new", F.array_distinct(T.ids_of(F.col("_old"))))
+    new = F.when((F.size("_old") > 0) & (F.col("_old") != F.col("_new")), T.with_tags(F.col("content"), F.col("_new"))).otherwise(F.col("content"))
+    return df.withColumn("content", new).select(*notes.columns)
+
+
+def renamed(notes: DataFrame) -> DataFrame:
+    """(stem, content) of notes (stem, content, mtime) as files of their ids: single ones as they are, several merged."""
+    single = with_ids(notes).groupBy("note_id").agg(F.count("*").alias("n"), F.first("content").alias("content")).where("n = 1")
+    return single.select(F.col("note_id").alias("stem"), "content").unionByName(merged_by_time(notes).select(F.col("note_id").alias("stem"), "content"))
+
+
 def rename_plan(notes: DataFrame) -> DataFrame:
     """(note_id, action, files): files to rename, and groups to merge, in file order."""
     groups = with_ids(notes).groupBy("note_id").agg(F.array_sort(F.collect_list("stem")).alias("files"))

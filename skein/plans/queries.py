@@ -172,6 +172,15 @@ def rename_plan(spark, sf_dir):
     return notes.rename_plan(vault(spark, sf_dir)).select("note_id", "action", F.array_join("files", ",").alias("files"))
 
 
+def normalized_notes(spark, sf_dir):
+    return notes.normalized(vault(spark, sf_dir)).select("stem", T.content_hash(F.col("content")).alias("content_hash"))
+
+
+def renamed_notes(spark, sf_dir):
+    """Notes under their ids; of files with one id the one with the larger doc_id is the older."""
+    return notes.renamed(vault(spark, sf_dir).withColumn("mtime", -F.col("doc_id"))).select("stem", T.content_hash(F.col("content")).alias("content_hash"))
+
+
 def source_notes(spark, sf_dir):
     return notes.notes_of_source(vault(spark, sf_dir), "src3").select("doc_id", "note_id")
 
@@ -508,6 +517,8 @@ def _queries() -> dict[str, tuple[Callable, str | None]]:
         "see_also_migration": (see_also_migration, _v(f"select stem, pos - 1 as pos, l[pos] as target from (select stem, l, unnest(range(1, len(l) + 1)) as pos from (select stem, t || list_filter(list_filter(s, lambda x, i: list_position(s, x) = i), lambda x: not list_contains(t, x)) as l from (select stem, list_transform({_TAGS}, lambda x: {_id('x')}) as t, list_transform(regexp_extract_all({_section('See Also')}, {_LINK}, 1), lambda x: {_id('x')}) as s from v)))")),
         "normalize_plan": (normalize_plan, _v(f"select stem, cast(len(list_filter(list_zip(l, i), lambda z: z[1] != z[2])) as bigint) as n_changed, cast(len(i) - len(d) as bigint) as n_duplicates, list_aggregate(d, 'string_agg', ',') as tags from (select *, list_filter(i, lambda x, k: list_position(i, x) = k) as d from (select stem, l, list_transform(l, lambda x: {_id('x')}) as i from (select stem, {_TAGS} as l from v) where len(l) > 0)) where l != d")),
         "rename_plan": (rename_plan, _v(f"select * from (select {_id('stem')} as note_id, case when count(*) > 1 then 'merge' when min(stem) != {_id('stem')} then 'rename' end as action, string_agg(stem, ',' order by stem) as files from v group by 1) where action is not null")),
+        "normalized_notes": (normalized_notes, _v(f"select stem, sha256(case when len(l) > 0 and l != d then regexp_replace(content, '(?m)^Tags:[^\\n]*$', rtrim('Tags: ' || list_aggregate(list_transform(d, lambda y: '[[' || y || ']]'), 'string_agg', ' ')), 'g') else content end) as content_hash from (select *, list_filter(i, lambda x, k: list_position(i, x) = k) as d from (select stem, content, l, list_transform(l, lambda x: {_id('x')}) as i from (select stem, content, {_TAGS} as l from v)))")),
+        "renamed_notes": (renamed_notes, _v(f"select stem, sha256(case when n > 1 then merged || chr(10) else content end) as content_hash from (select {_id('stem')} as stem, count(*) as n, min(content) as content, string_agg(trim(content, {_WS_SQL}), chr(10) || chr(10) || '---' || chr(10) || chr(10) order by doc_id desc) as merged from v group by 1)")),
         "source_notes": (source_notes, _v(f"select doc_id, {_id('stem')} as note_id from v where source = 'src3'")),
         "reach_by_degree": (reach_by_degree, f"with recursive v as ({VAULT_SQL}), {_LAST}, {_EDGES}, seeds as (select {_id('stem')} as note_id from v where doc_id in (2, 7)), walk as (select note_id, 0 as degree from seeds union select e.target, w.degree + 1 from walk w join edges e on e.note_id = w.note_id where w.degree < 3 and e.target in (select note_id from last)) select note_id, cast(min(degree) as bigint) as degree from walk where note_id not in (select note_id from seeds) group by 1"),
         "reach_order": (reach_order, f"with v as ({VAULT_SQL}), {_LAST}, {_EDGES}, seeds as (select '' as bundle, {_id('stem')} as note_id, doc_id - 2 as ord from v where doc_id in (2, 7)), {_reach_sql(3)} select note_id, cast(degree as bigint) as degree, ord from reached"),

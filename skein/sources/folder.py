@@ -140,3 +140,17 @@ def write_notes(df: DataFrame, folder: str) -> None:
         raise ValueError(f"two rows for one file: {twice['stem']}")
     df.sparkSession.dataSource.register(MarkdownNotes)
     df.select("stem", "content").write.format("markdown_notes").mode("append").save(folder)
+
+
+def delete_notes(df: DataFrame, folder: str) -> None:
+    """Removes the files of rows (stem), in tasks; files that are gone already are no error."""
+
+    def remove(rows: Iterator) -> None:
+        system, path = _opened(folder)
+        for row in rows:
+            try:
+                system.delete_file(f"{path}/{row['stem']}{SUFFIX}")
+            except FileNotFoundError:
+                pass
+
+    df.select("stem").foreachPartition(remove)
