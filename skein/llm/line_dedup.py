@@ -170,21 +170,18 @@ def _trimmed(pairs: DataFrame) -> DataFrame:
     return pairs.drop("same")
 
 
-def _blocks(line: Column, most: Column) -> Column:
-    """A line cut into blocks, four for each edit allowed and one more, of six characters at least; what is left at its end is in none."""
-    width = F.greatest(F.floor(F.length(line) / (4 * (most + 1))), F.lit(6)).cast("int")
-    n = F.floor(F.length(line) / width).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.substring(line, k * width + 1, width))).otherwise(F.array().cast("array<string>"))
-
-
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of line hashes that are near; pairs is a written table.
 
     An edit changes one block of a line at most, so that of two near lines one has all of the other's blocks
     but as many as edits are allowed; other pairs leave in the join already, before distances are computed.
     """
-    side = lambda i, s, *more: texts.select(F.col("id").alias(i), F.col("line").alias(s), F.col("most").alias(f"{s}_most"), *more)
-    left = pairs.join(side("a", "x", once(_blocks(F.col("line"), F.col("most"))).alias("blocks")), "a")
+    side = lambda i, s: texts.select(F.col("id").alias(i), F.col("line").alias(s), F.col("most").alias(f"{s}_most"), F.col("n").alias(f"{s}_n"))
+    left = pairs.join(side("a", "x"), "a")
+    # four blocks for each edit and one more, of six characters at least; what is left at a line's end is in none
+    left = left.withColumn("width", once(F.greatest(F.floor(F.col("x_n") / (4 * (F.col("x_most") + 1))), F.lit(6)).cast("int")))
+    places = F.sequence(F.lit(0), F.greatest(F.floor(F.col("x_n") / F.col("width")).cast("int") - 1, F.lit(0)))
+    left = left.withColumn("blocks", once(F.transform(places, lambda k: F.substring("x", k * F.col("width") + 1, F.col("width")))))
     lost = F.size(F.filter("blocks", lambda p: ~F.col("y").contains(p)))
     both = left.alias("l").join(side("b", "y").alias("r"), (F.col("l.b") == F.col("r.b")) & (lost <= F.least("x_most", "y_most"))).select("a", "l.b", "x", "y", "x_most", "y_most")
     # a pair is little to read and much to compute, so the number of tasks follows the work, and the longest pairs lie apart
