@@ -2,6 +2,12 @@
 
 Each stage reads the table that the one before it wrote in the shared folder.  The near-duplicate
 stage takes shingles of five words and a similarity of 0.8.
+
+Defined cases: rows with a null, empty or blank text are rejected by the quality rules (under 10 words);
+very long texts go through whole; of documents with one text one at most stays, and rows that repeat a
+doc_id with one text share their fate; null sources and languages are values of their own; an empty table gives an empty
+table with the columns of the last stage; all columns of documents are kept, and those with the names
+of helpers are safe (n_tokens and token_ids of the input are replaced).
 """
 
 from __future__ import annotations
