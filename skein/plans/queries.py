@@ -15,8 +15,8 @@ from ..sources.shared import kept, shared_dir
 from ..sources.store import Store
 from ..sources.vault import VAULT_SQL, vault
 
-#: Chunk sizes of the queries.
-TARGET, CAP = 1200, 1600
+#: Chunk sizes of the queries, and the distance of duplicates in the ingest run, whose concepts are short.
+TARGET, CAP, DUPLICATE = 1200, 1600, 1e-5
 TEMPLATE = "# {{Title}}\n\nTags:\nWritten on {{date}} at {{time}}\n\n# See Also\n\n# References\n"
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -275,7 +275,7 @@ def process_concepts(spark, sf_dir):
     sources = _table(spark, sf_dir, "documents").select(F.concat(F.lit("src-"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("source_id"), F.coalesce("text", F.lit("")).alias("content"))
     none = spark.createDataFrame([], "stem string, content string")
     index = spark.createDataFrame([], "note_id string, document string, content_hash string, embedding array<double>")
-    settings = process.Settings(TEMPLATE, target=TARGET, cap=CAP)
+    settings = process.Settings(TEMPLATE, target=TARGET, cap=CAP, duplicate=DUPLICATE)
     done = process.process(sources, none, index, runner.extractor("outline", delay=0.0, retries=1), settings, F.lit("2025-01-02 03:04:05").cast("timestamp"))
     return done.concepts
 

@@ -236,3 +236,52 @@ def test_backlinks_and_merges(spark):
     timed = n.withColumn("mtime", F.when(F.col("stem") == "c", 2).otherwise(1))
     assert {r["note_id"]: r["content"] for r in notes.merged_by_time(timed).collect()} == {"c": "more\n\n---\n\nTags:\n# C\n"}
     assert notes.rename_counts(n).first().asDict() == {"n_renamed": 0, "n_merged": 1, "n_deleted": 1}
+
+
+def test_process_query_against_one_by_one(spark):
+    """The registered ingest run over a table, held against going through the concepts in order."""
+    from skein.functions.chunk import source_chunks
+    from skein.operators import runner
+    from skein.plans import queries as plans
+
+    sf = "/root/testdata/sf0.001"
+    text = F.coalesce("text", F.lit(""))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", text.alias("text"), source_chunks(text, plans.TARGET, plans.CAP).alias("chunks"), (~T.is_processed(text) & (F.length(T.strip(text)) >= 100)).alias("fit"))
+    ask = runner.outline()
+
+    def vector(x):
+        low = x.lower()
+        return [float(low.count(t)) for t in vectors.TERMS] + [len(x) / 1000.0]
+
+    def cosine(a, b):
+        n = (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+        return 1 - sum(x * y for x, y in zip(a, b)) / n if n else 1.0
+
+    want, kept = {}, []
+    for r in sorted(docs.where("fit").collect(), key=lambda r: r["doc_id"]):
+        own, titles = [], set()
+        for chunk in r["chunks"]:
+            try:
+                reply = ask(f"Text:\n{chunk}")
+            except runner.ProviderError:
+                continue
+            inner = reply.split("```json")[-1].split("```")[0] if "```json" in reply else reply.split("```")[1] if "```" in reply else reply
+            try:
+                found = json.loads(inner)
+            except ValueError:
+                continue
+            for item in found if isinstance(found, list) else found.get("concepts", []):
+                title = item["title"].strip() if isinstance(item["title"], str) else ""
+                if not title or len(item["suggested_tags"]) < 2 or title in titles:
+                    continue
+                titles.add(title)
+                v = vector(item["content"].strip())
+                if all(cosine(v, w) > plans.DUPLICATE for _, w in own):
+                    own.append((title, v))
+        for title, v in own:
+            twin = any(t == title or round(sum((x - y) ** 2 for x, y in zip(v, w)), 6) <= plans.DUPLICATE for t, w in kept)
+            want[f"src-{r['doc_id']:09d}", title] = "duplicate of an earlier concept of this run" if twin else None
+            if not twin:
+                kept.append((title, v))
+    got = {(r["source_id"], r["title"]): r["reason"] for r in plans.process_concepts(spark, sf).collect()}
+    assert got == want and 3 < len(kept) < len(want)
