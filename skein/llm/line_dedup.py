@@ -20,8 +20,8 @@ where hashes meet, before any text moves.
 
 A line only needs one earlier near line.  So the earliest line of each key is tried first, then a few
 others of those that share a key, and all pairs only for lines that are still without one.  Pairs are
-made where lengths and counts of characters, of both halves, leave room for the edits (one edit moves
-two counts at most), inside the join; the pairs of a key with many lines are dealt over many tasks,
+made where lengths and counts of characters, on both sides of two cuts, leave room for the edits (one edit
+moves two counts at most), inside the join; the pairs of a key with many lines are dealt over many tasks,
 and made once where lines share many such keys.  Pairs are
 verified by Spark's banded edit distance, on what lies between their first and last difference.
 
@@ -49,8 +49,8 @@ TOGETHER = 2_000_000
 TRIES = 4
 #: Pairs of lines from which on a key is a frequent one, and frequent keys that a line carries.
 OFTEN, CARRIED = 10_000, 16
-#: Characters whose counts are compared before a distance is computed, some of them two to a count; eight counts to a long.
-_COUNTED = (*"etaoinsrhdlumg", "c0", "f1", "p2", "b3", "w4", "y5", "v6", "k7", ".8", ",9")
+#: Characters whose counts are compared before a distance is computed, a rare one or none beside a frequent one; sixteen counts to a long.
+_COUNTED = ("ez", "tq", "ax", "oj", "ik", "nv", "sb", "rw", "hp", "dy", "lf", "um", "gc", " ", ".", ",")
 #: Cells of bands of edit distances that a task fills.
 WORK = 30_000_000
 
@@ -101,39 +101,51 @@ def _keyed(lines: DataFrame, threshold: int) -> DataFrame:
     return cut.select("id", F.xxhash64("band", "number", segment).alias("key"), (2 * band + (F.col("off") < F.col("n_own")).cast("int")).alias("mark"))
 
 
-def _counts(part: Column, name: str) -> list[Column]:
-    """How often part of a line has the characters of _COUNTED, modulo 16, eight to a long.
-
-    Eight bits stand for a count so that two counts differ in as many bits as they are apart, going round.
-    """
-    ring = F.array(*(F.lit((1 << r) - 1 if r <= 8 else 255 - ((1 << (r - 8)) - 1)).cast("long") for r in range(16)))
+def _counts(part: Column) -> Column:
+    """How often part of a line has the characters of _COUNTED."""
     gone = lambda chars: F.replace(part if len(chars) == 1 else F.replace(part, F.lit(chars[1]), F.lit("")), F.lit(chars[0]), F.lit(""))
-    seen = lambda chars: F.get(ring, F.pmod(F.octet_length(part) - F.octet_length(gone(chars)), F.lit(16)))
-    out = []
-    for at in range(0, len(_COUNTED), 8):
-        word = F.lit(0).cast("long")
-        for k, chars in enumerate(_COUNTED[at : at + 8]):
-            word = word.bitwiseOR(F.shiftleft(seen(chars), 8 * k))
-        out.append(word.alias(f"{name}{at // 8}"))
-    return out
+    return once(F.array(*(F.octet_length(part) - F.octet_length(gone(chars)) for chars in _COUNTED)))
+
+
+def _ringed(*counts: str) -> Column:
+    """The sums of counts modulo 8 in one long; four bits stand for a sum so that two differ in as many bits as they are apart, going round."""
+    ring = F.array(*(F.lit((1 << r) - 1 if r <= 4 else 15 - ((1 << (r - 4)) - 1)).cast("long") for r in range(8)))
+    word = F.lit(0).cast("long")
+    for k in range(len(_COUNTED)):
+        total = sum((F.get(F.col(c), F.lit(k)) for c in counts[1:]), F.get(F.col(counts[0]), F.lit(k)))
+        word = word.bitwiseOR(F.shiftleft(F.get(ring, total % 8), 4 * k))
+    return word
+
+
+def _windows(lines: DataFrame) -> DataFrame:
+    """lines (line, n, band, ...) without line, with the counts of a quarter and of three quarters of the band from both ends."""
+    quarter = F.floor(F.col("band") / 4).cast("int")
+    parts = {
+        "p1": F.left("line", quarter),
+        "p2": F.substring("line", quarter + 1, 2 * quarter),
+        "p3": F.substring("line", F.col("n") - 3 * quarter + 1, 2 * quarter),
+        "p4": F.right("line", quarter),
+    }
+    counted = lines.withColumns({name: once(part) for name, part in parts.items()}).withColumns({f"c{name}": _counts(F.col(name)) for name in parts})
+    kept = [c for c in lines.columns if c != "line"]
+    return counted.select(*kept, _ringed("cp1").alias("front1"), _ringed("cp1", "cp2").alias("front3"), _ringed("cp4").alias("back1"), _ringed("cp4", "cp3").alias("back3"))
 
 
-_WORDS = tuple(f"{part}{k}" for part in ("front", "back") for k in range(len(_COUNTED) // 8))
-_COLS = ("n", "most", *_WORDS)
+_COLS = ("n", "most", "front1", "front3", "back1", "back3")
 
 
 def _may(a: str, b: str) -> Column:
     """Whether lengths and counts of two lines of one band leave room for the edits allowed.
 
-    As many characters are counted from the start of both lines and as many from their end, with no more
-    together than the band's shortest line has.  An edit lies in one of the two parts, if in any, and moves
-    two counts there at most: one for what it takes or adds and one for what it shifts over the part's edge.
+    A quarter of the band is counted from the start of both lines and three quarters from their end, and
+    the other way round; each time no more together than the band's shortest line has.  An edit lies in
+    one of the two parts, if in any, and moves two counts there at most: one for what it takes or adds and
+    one for what it shifts over the part's edge.  What two changes far apart take and add can make up for
+    each other in counts of a whole line; a cut between them tells them apart.
     """
     t = F.least(F.col(f"{a}.most"), F.col(f"{b}.most"))
-    apart = F.lit(0)
-    for c in _WORDS:
-        apart = apart + F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")))
-    return (F.abs(F.col(f"{a}.n") - F.col(f"{b}.n")) <= t) & (apart <= 2 * t)
+    apart = lambda c: F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")))
+    return (F.abs(F.col(f"{a}.n") - F.col(f"{b}.n")) <= t) & (apart("front1") + apart("back3") <= 2 * t) & (apart("front3") + apart("back1") <= 2 * t)
 
 
 def _sharing(lines: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -145,12 +157,11 @@ def _sharing(lines: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame, Da
     ids = written(near.groupBy("id").agg(F.collect_set("band").alias("bands")), "near-ids")
     texts = has_bit(lines.select(F.xxhash64("line").alias("id"), "line"), "id", bit_table(ids, "id")).where("maybe")
     texts = texts.groupBy("id", "line").agg(F.lit(1).alias("one")).join(ids, "id")
-    n, half = F.length("line"), F.floor(F.col("band") / 2).cast("int")
+    n = F.length("line")
     texts = texts.select("id", "line", n.alias("n"), _edits(_band(n, threshold), threshold).alias("most"), "bands")
     texts = written(texts, "near-texts")
     parts = texts.select("id", "n", "most", F.explode("bands").alias("band"), "line")
-    parts = parts.select("id", "n", "most", "band", F.left("line", half).alias("front"), F.right("line", half).alias("back"))
-    return near, texts.drop("bands"), parts.select("id", "band", "n", "most", *_counts(F.col("front"), "front"), *_counts(F.col("back"), "back"))
+    return near, texts.drop("bands"), _windows(parts)
 
 
 def _shared(x: str, y: str) -> Column:
