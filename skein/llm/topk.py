@@ -2,12 +2,15 @@
 
 With M the largest norm, a vector x gets one more coordinate sqrt(M^2 - |x|^2) and a query q a zero;
 then the squared distance of the two is |q|^2 + M^2 - 2 q.x, so that the nearest is the one with the
-largest product.  Each block of vectors carries its distances to the pivots; for a query the largest
-|d(q, p) - d(x, p)| over all pivots bounds the distance from below and the product from above.
-Candidates are evaluated in the order of their bounds until no bound reaches the k-th best product.
+largest product.  A block of vectors is sorted by nearest pivots into groups, each with its least and
+largest distance to every pivot; for a query the largest gap between d(q, p) and that range over all
+pivots p bounds the distance of the whole group from below and its products from above.  Groups whose
+bound does not reach a query's k-th best product so far are left out for it; the others' products
+are made a group at a time for all queries that it can matter to, as one product of matrices.
 
 Vectors and queries travel in blocks of bounded size: every query block meets every vector block,
-spread over cells.  The pivots (N_PIVOTS vectors) and three totals are all that the driver sees.
+spread over cells.  A cell has up to CELL blocks of vectors, and a query block is copied once a cell,
+as components only.  The pivots (N_PIVOTS vectors) and three totals are all that the driver sees.
 
 Defined cases: components so large that a product could leave 64 bits raise a ValueError before the
 search; a null vector and one with a null or non-finite component take no part; shorter
@@ -27,8 +30,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 N_PIVOTS = 32
-#: Vectors and queries in a block.
-BLOCK, Q_BLOCK = 2048, 512
+#: Vectors and queries in a block, vectors in a group, and blocks of vectors in a cell.
+BLOCK, Q_BLOCK, GROUP, CELL = 2048, 512, 64, 32
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -56,73 +59,114 @@ def _distances(m: np.ndarray, extra: np.ndarray, pivots: np.ndarray, p_extra: np
     return np.sqrt(np.maximum(sq, 0))
 
 
+def _lift(m: np.ndarray, top_sq: float) -> np.ndarray:
+    return np.sqrt(np.maximum(top_sq - (m.astype(np.float64) ** 2).sum(1), 0))
+
+
 def _packer(dim: int, kind: str, top_sq: float, pivots: np.ndarray, cells: int, size: int, query: bool):
-    """For mapInArrow: blocks (cell, ids, m, d) of rows (vec_id, v)."""
+    """For mapInArrow: blocks (cell, ids, m, low, high) of rows (vec_id, v); low and high are a group's distances to the pivots."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        lift = lambda m: np.sqrt(np.maximum(top_sq - (m.astype(np.float64) ** 2).sum(1), 0))
-        p_extra = lift(pivots)
+        p_extra = _lift(pivots, top_sq)
         cell = TaskContext.get().partitionId()
         for batch in batches:
             for at in range(0, batch.num_rows, size):
                 part = batch.slice(at, size)
                 m = _matrix(part.column("v"), dim)
-                d = _distances(m, np.zeros(len(m)) if query else lift(m), pivots, p_extra)
                 ids = np.asarray(part.column("vec_id").to_numpy(zero_copy_only=False), np.int64)
+                low = high = np.zeros(0)
+                if not query:
+                    d = _distances(m, _lift(m, top_sq), pivots, p_extra)
+                    near = np.argsort(d, axis=1)[:, :2]
+                    order = np.lexsort((near[:, -1], near[:, 0]))
+                    m, ids, d = m[order], ids[order], d[order]
+                    starts = np.arange(0, len(m), GROUP)
+                    low, high = np.minimum.reduceat(d, starts), np.maximum.reduceat(d, starts)
                 cell += 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([cell % cells], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids, m.astype(kind), d))],
-                    names=["cell", "ids", "m", "d"],
+                    [pa.array([cell % cells], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids, m.astype(kind), low, high))],
+                    names=["cell", "ids", "m", "low", "high"],
                 )
 
     return pack
 
 
-def _searcher(dim: int, kind: str, top_sq: float, k: int):
-    """For mapInArrow: the k best of each query in each pair of blocks, if they can be among its k best so far."""
+class _Best:
+    """The k best of each query of a block among the vectors met so far; ties go to the smaller id."""
+
+    def __init__(self, q: np.ndarray, q_ids: np.ndarray, k: int, top_sq: float, pivots: np.ndarray, number: type) -> None:
+        self.q, self.q_ids, self.k, self.top_sq = q.astype(number), q_ids, k, top_sq
+        self.none = -np.inf if number is not np.int64 else np.iinfo(np.int64).min
+        self.cut = np.full(len(q), self.none, number)
+        self.q_sq = (q.astype(np.float64) ** 2).sum(1)
+        self.d = _distances(q, np.zeros(len(q)), pivots, _lift(pivots, top_sq))
+        self.rows, self.ids, self.scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, number)
+        self.at = np.argsort(q_ids)
+
+    def may(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Whether a query's k best can have a vector of a group: a row a query, a column a group."""
+        gap = np.zeros((len(self.q), len(low)))
+        for p in range(low.shape[1]):
+            d = self.d[:, p, None]
+            np.maximum(gap, np.maximum(low[None, :, p] - d, d - high[None, :, p]), out=gap)
+        bound = (self.q_sq[:, None] + self.top_sq - gap * gap) / 2
+        bound += 1e-6 * (1 + np.abs(bound) + self.q_sq[:, None] + self.top_sq)
+        return bound >= self.cut[:, None]
+
+    def meet(self, x: np.ndarray, x_ids: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        may = self.may(low, high)
+        x = x.astype(self.q.dtype)
+        if may.all():
+            s = self.q @ x.T
+        else:
+            s = np.full((len(self.q), len(x)), self.none, self.q.dtype)
+            for g in np.flatnonzero(may.any(0)):
+                who, part = np.flatnonzero(may[:, g]), slice(g * GROUP, (g + 1) * GROUP)
+                s[who, part] = self.q[who] @ x[part].T
+        # a row of the query's own id is no candidate
+        place = np.minimum(np.searchsorted(self.q_ids, x_ids, sorter=self.at), len(self.at) - 1)
+        same = self.q_ids[self.at[place]] == x_ids
+        s[self.at[place[same]], np.flatnonzero(same)] = self.none
+        cut = self.cut
+        if s.shape[1] >= self.k:
+            open_ = np.flatnonzero(cut == self.none)
+            cut = cut.copy()
+            cut[open_] = np.partition(s[open_], s.shape[1] - self.k, axis=1)[:, s.shape[1] - self.k]
+        rows, cols = np.nonzero((s >= cut[:, None]) & (s > self.none))
+        if not len(rows):
+            return
+        rows, ids, scores = np.concatenate([self.rows, rows]), np.concatenate([self.ids, x_ids[cols]]), np.concatenate([self.scores, s[rows, cols]])
+        order = np.lexsort((ids, -scores, rows))
+        rows, ids, scores = rows[order], ids[order], scores[order]
+        starts = np.searchsorted(rows, np.arange(len(self.q)))
+        stay = np.arange(len(rows)) - starts[rows] < self.k
+        self.rows, self.ids, self.scores = rows[stay], ids[stay], scores[stay]
+        last = starts + self.k - 1
+        full = np.append(starts[1:], len(rows)) > last
+        self.cut[full] = scores[last[full]]
+
+    def found(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(self.q_ids[self.rows]), pa.array(self.ids), pa.array(self.scores.astype(np.int64))], names=["query_id", "vec_id", "score"])
+
+
+def _searcher(dim: int, kind: str, top_sq: float, k: int, pivots: np.ndarray, number: type):
+    """For mapInArrow: the k best of each query block among the vector blocks that stand beside it in a row."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        floor: dict[int, int] = {}  # k-th best product of a query in an earlier block of this task
+        last, best = None, None
         for batch in batches:
-            out_q, out_v, out_s = [], [], []
             for r in range(batch.num_rows):
-                get = lambda c, t, r=r: np.frombuffer(batch.column(c)[r].as_py(), t)
-                q_ids, x_ids = get("q_ids", np.int64), get("ids", np.int64)
-                q, x = get("q_m", kind).reshape(-1, dim).astype(np.int64), get("m", kind).reshape(-1, dim)
-                qd, xd = get("q_d", np.float64).reshape(len(q), -1), get("d", np.float64).reshape(len(x), -1)
-                xf = x.astype(np.float64)
-                exact = float(np.abs(xf).max(initial=0)) * float(np.abs(q).max(initial=0)) * dim < 2**52
-                xs = xf if exact else x.astype(np.int64)
-                q_sq = (q.astype(np.float64) ** 2).sum(1)
-                for i in range(len(q)):
-                    low = np.abs(xd - qd[i]).max(1)
-                    high = (q_sq[i] + top_sq - low * low) / 2
-                    high += 1e-6 * (1 + np.abs(high) + q_sq[i] + top_sq)
-                    high[x_ids == q_ids[i]] = -np.inf
-                    order = np.argsort(-high)
-                    best, ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
-                    cut, at, step = floor.get(int(q_ids[i])), 0, 64
-                    vector = q[i].astype(np.float64) if exact else q[i]
-                    while at < len(order) and high[order[at]] > -np.inf and (cut is None or high[order[at]] >= cut):
-                        take = order[at : at + step]
-                        take = take[high[take] > -np.inf]
-                        at, step = at + step, step * 2
-                        best = np.concatenate([best, (xs[take] @ vector).astype(np.int64)])
-                        ids = np.concatenate([ids, x_ids[take]])
-                        top = np.lexsort((ids, -best))[:k]
-                        best, ids = best[top], ids[top]
-                        if len(best) == k and (cut is None or best[-1] > cut):
-                            cut = int(best[-1])
-                    if cut is not None:
-                        floor[int(q_ids[i])] = cut
-                        best, ids = best[best >= cut], ids[best >= cut]
-                    out_q.append(np.full(len(ids), q_ids[i]))
-                    out_v.append(ids)
-                    out_s.append(best)
-            cat = lambda xs: pa.array(np.concatenate(xs) if xs else np.zeros(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([cat(out_q), cat(out_v), cat(out_s)], names=["query_id", "vec_id", "score"])
+                get = lambda c, t, r=r: np.frombuffer(batch.column(c)[r].as_buffer(), t)
+                key = (batch.column("cell")[r].as_py(), batch.column("q_ids")[r].as_buffer().to_pybytes())
+                if key != last:
+                    if best:
+                        yield best.found()
+                    last, best = key, _Best(get("q_m", kind).reshape(-1, dim).astype(np.int64), get("q_ids", np.int64), k, top_sq, pivots, number)
+                best.meet(get("m", kind).reshape(-1, dim), get("ids", np.int64), get("low", np.float64).reshape(-1, len(pivots)), get("high", np.float64).reshape(-1, len(pivots)))
+        if best:
+            yield best.found()
 
     return search
 
@@ -142,18 +186,19 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
     dim = max(dim, q_dim)
     if dim * most * q_most >= 2.0**62:
         raise ValueError(f"components up to {most:g} and {q_most:g} in {dim} dimensions: products would not fit in 64 bits")
-    most = max(most, q_most)
-    kind = next(t for t, m in (("int16", 2**15), ("int32", 2**31), ("int64", 2**63)) if most < m)
+    kind = next(t for t, m in (("int16", 2**15), ("int32", 2**31), ("int64", 2**63)) if max(most, q_most) < m)
     picked = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n_pivots).select("v").collect()
     pivots = np.zeros((len(picked), dim), np.int64)
     for i, row in enumerate(picked):
         pivots[i, : len(row["v"])] = row["v"]
-    cells = max(1, -(-n // (4 * BLOCK)))
-    schema = "cell int, ids binary, m binary, d binary"
+    cells = max(-(-n // (CELL * BLOCK)), min(-(-n // BLOCK), spark.sparkContext.defaultParallelism))
+    # products are exact as doubles or single floats if all their partial sums are whole numbers that fit
+    number = next((t for t, m in ((np.float32, 2**24), (np.float64, 2**53)) if dim * most * q_most < m), np.int64)
+    schema = "cell int, ids binary, m binary, low binary, high binary"
     blocks = data.mapInArrow(_packer(dim, kind, top_sq, pivots, cells, BLOCK, False), schema)
     q_blocks = asked.repartition(max(1, -(-q_n // Q_BLOCK))).mapInArrow(_packer(dim, kind, top_sq, pivots, 1, Q_BLOCK, True), schema)
-    q_blocks = q_blocks.select(F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"), F.col("ids").alias("q_ids"), F.col("m").alias("q_m"), F.col("d").alias("q_d"))
-    met = q_blocks.join(blocks, "cell").select("q_ids", "q_m", "q_d", "ids", "m", "d")
-    found = met.mapInArrow(_searcher(dim, kind, top_sq, k), out)
+    q_blocks = q_blocks.select(F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"), F.col("ids").alias("q_ids"), F.col("m").alias("q_m"))
+    met = q_blocks.join(blocks, "cell").select("cell", "q_ids", "q_m", "ids", "m", "low", "high")
+    found = met.mapInArrow(_searcher(dim, kind, top_sq, k, pivots, number), out)
     ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

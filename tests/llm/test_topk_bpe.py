@@ -49,6 +49,46 @@ def test_top_k_large_components(spark):
     assert sorted(tuple(r)[:3] for r in topk.top_k(near, near).collect()) == [(0, 1, 1), (1, 1, 0)]
 
 
+def test_top_k_copies_of_queries(spark, monkeypatch):
+    """A query block is copied once for many vector blocks, not once for every four of them."""
+    made, packer = [], topk._packer
+
+    def watched(dim, kind, top_sq, pivots, cells, size, query):
+        made.append(cells)
+        return packer(dim, kind, top_sq, pivots, cells, size, query)
+
+    monkeypatch.setattr(topk, "_packer", watched)
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    rnd = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in np.round(rnd.normal(size=4), 3)]) for i in range(2000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = sorted(tuple(r) for r in topk.top_k(df, df.where("vec_id % 50 = 0")).collect())
+    assert got == sorted(brute.op1(rows))
+    assert max(made) <= 8
+
+
+def test_top_k_leaves_groups_out():
+    """Vectors in clusters: groups are left out, blocks meet one after another, ties and own ids stand."""
+    rnd = np.random.default_rng(3)
+    x = np.concatenate([rnd.integers(-9, 10, (500, 8)) + 400 * c for c in rnd.permutation(np.eye(8, dtype=int))[:6]])
+    x[100:140] = x[100]
+    ids = rnd.permutation(len(x)).astype(np.int64)
+    top_sq, pivots, k = float((x.astype(float) ** 2).sum(1).max()), x[rnd.choice(len(x), 16, replace=False)], 5
+    q, q_ids = x[::40], ids[::40]
+    for number in (np.float32, np.float64, np.int64):
+        best, out = topk._Best(q, q_ids, k, top_sq, pivots, number), 0
+        for block in np.array_split(np.arange(len(x)), 7):
+            d = topk._distances(x[block], topk._lift(x[block], top_sq), pivots, topk._lift(pivots, top_sq))
+            order = np.argsort(d[:, 0])
+            d, starts = d[order], np.arange(0, len(block), topk.GROUP)
+            low, high = np.minimum.reduceat(d, starts), np.maximum.reduceat(d, starts)
+            out += (~best.may(low, high)).sum()
+            best.meet(x[block][order], ids[block][order], low, high)
+        assert out > 0
+        want = {(int(i), int(ids[j]), int(s[j])) for i, s in zip(q_ids, q @ x.T) for j in [j for j in np.lexsort((ids, -s)) if ids[j] != i][:k]}
+        assert set(zip(*(c.to_pylist() for c in best.found().columns))) == want
+
+
 def test_bpe_query(spark, library):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     got = {r["doc_id"]: r for r in queries.op10_bpe(spark, SF).collect()}
