@@ -16,7 +16,7 @@ source that holds a third of all rows.  They are aims: where marginals contradic
 in one language only), raking stops when it gets no closer, and :func:`marginals` shows what is off.
 Targets that a caller gives are met, or a ValueError says by how much they are not.
 
-Only cells, not rows, are shuffled for the fit; the join of rows with cells is left to Spark, which
+Only cells, not rows, are shuffled for the fit, and up to FOLDED of them are raked in one job; the join of rows with cells is left to Spark, which
 broadcasts the cells only below its own size threshold.
 
 Defined cases: null sources and languages are values of their own; a null or empty text has no
@@ -37,6 +37,8 @@ from .common import packed, words, written
 TEMPER, KEEP, ROUNDS, TOLERANCE, SLOW = 0.7, 0.8, 200, 1e-4, 0.98
 #: Sweeps between two written tables, and cells up to which one task rakes them, so that sweeps need no shuffles; the weights are the same.
 SWEEPS, TOGETHER = 2, 100_000
+#: Cells up to which all sweeps are one fold over arrays, in one job; beyond, each round of sweeps is a job with windows.
+FOLDED = 1_000
 DIMS = ("source", "lang", "topic")
 
 
@@ -86,6 +88,35 @@ def within(cells: DataFrame, targets: dict[str, DataFrame], keep: float) -> dict
     return out
 
 
+def _folded(df: DataFrame, total: float, rounds: int, tolerance: float) -> DataFrame:
+    """One row (c, w, most, gaps): the cells of df with their u when raking stops, for a few cells; the same sweeps and stop as in :func:`rake`.
+
+    ``place`` has for each dimension the number of each cell's value, ``goal`` the values' targets.
+    """
+    keys = {d: F.to_json(F.struct(d)) for d in DIMS}  # null is a value of its own
+    one = df.agg(F.sort_array(F.collect_list(F.struct(*(k.alias(f"key_{d}") for d, k in keys.items()), F.struct(*DIMS, "tokens").alias("c"), "u", "most", *(f"to_{d}" for d in DIMS)))).alias("x"))
+    one = one.select("x", *(F.array_distinct(F.col(f"x.key_{d}")).alias(f"keys_{d}") for d in DIMS))
+    place = F.array(*(F.expr(f"transform(x, e -> cast(array_position(keys_{d}, e.key_{d}) as int) - 1)") for d in DIMS))
+    goal = F.array(*(F.expr(f"transform(keys_{d}, k -> filter(x, e -> e.key_{d} = k)[0].to_{d})") for d in DIMS))
+    one = written(one.select(F.col("x.c").alias("c"), F.col("x.u").alias("u"), F.col("x.most").alias("most"), place.alias("place"), goal.alias("goal")), "cells")
+    own = "filter(transform(w, (v, i) -> i), i -> place[d][i] = j)"
+    # see _filled: the factor with which the cells of one value, each cut at its most, sum up to the goal
+    factor = f"""transform(array(filter({own}, i -> w[i] > 0)), mine -> aggregate(
+        array_sort(transform(mine, i -> named_struct('r', most[i] / w[i], 'u', w[i], 'm', most[i]))),
+        named_struct('full', 0D, 'before', 0D, 'whole', aggregate(mine, 0D, (a, i) -> a + w[i]), 'f', cast(null as double), 'top', cast(null as double)),
+        (a, e) -> named_struct('full', a.full + e.m, 'before', a.before + e.u, 'whole', a.whole,
+            'f', if(a.whole - a.before > 0 and (g * {total!r}D - a.full) / (a.whole - a.before) <= e.r, greatest(a.f, (g * {total!r}D - a.full) / (a.whole - a.before), 0D), a.f), 'top', e.r),
+        a -> coalesce(a.f, a.top, 0D)))[0]"""
+    sweep = f"aggregate(array(transform(goal[d], (g, j) -> {factor})), w, (w0, fs) -> transform(w0, (v, i) -> v * fs[place[d][i]]))"
+    sweeps = f"aggregate(sequence(0, {len(DIMS) * SWEEPS - 1}), s.w, (w, k) -> transform(array(k % {len(DIMS)}), d -> {sweep})[0])"
+    gaps = f"transform(array(0, 1, 2), d -> coalesce(array_max(transform(goal[d], (g, j) -> abs(aggregate({own}, 0D, (a, i) -> a + least(w[i], most[i])) / {total or 1.0!r}D - g))), 0D))"
+    ended = f"named_struct('w', n.w, 'gaps', n.gaps, 'off', array_max(n.gaps), 'stop', array_max(n.gaps) <= {tolerance!r}D or array_max(n.gaps) > {SLOW!r}D * s.off)"
+    step = f"transform(transform(array({sweeps}), w -> named_struct('w', w, 'gaps', {gaps})), n -> {ended})[0]"
+    start = "named_struct('w', u, 'gaps', array(0D, 0D, 0D), 'off', double('Infinity'), 'stop', false)"
+    done = one.select("c", "most", F.expr(f"aggregate(sequence(1, {-(-rounds // SWEEPS)}), {start}, (s, r) -> if(s.stop, s, {step}))").alias("s"))
+    return written(done.select("c", "most", "s.w", "s.gaps"), "cells")
+
+
 def rake(cells: DataFrame, targets: dict[str, DataFrame], keep: float = 0.0, strict: bool = True, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """cells (source, lang, topic, tokens) with weight: same total as tokens, marginals as in targets, at most tokens / keep each.
 
@@ -98,8 +129,13 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], keep: float = 0.0, str
         df = df.join(t, F.col(d).eqNullSafe(F.col("_v")), "left").drop("_v").fillna(0.0, [f"to_{d}"])
     live = (F.col("tokens") > 0) & (F.least(*(f"to_{d}" for d in DIMS)) > 0)
     df = df.withColumns({"u": F.when(live, F.col("tokens")).otherwise(0.0), "most": F.col("tokens") / keep if keep else F.lit(total)})
-    few, kept = df.count() <= TOGETHER, [c for c in df.columns if c != "u"]
-    weight, off = F.least("u", "most"), float("inf")
+    n, kept = df.count(), [c for c in df.columns if c != "u"]
+    few, weight, off = n <= TOGETHER, F.least("u", "most"), float("inf")
+    if n <= FOLDED and rounds > 0:
+        one = _folded(df, total, rounds, tolerance)
+        gaps = one.select("gaps").first()[0]
+        off, rounds = max(gaps), 0
+        df = one.select(F.inline(F.arrays_zip("c", "w", "most"))).select("c.*", F.col("w").alias("u"), "most")
     for _ in range(0, rounds, SWEEPS):
         # all sweeps of a round in one text, which is analysed once
         text = "{df}"

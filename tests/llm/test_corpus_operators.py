@@ -371,3 +371,23 @@ def test_quality_keeps_good_documents(spark):
     got = {r[0]: r[1] for r in quality.kept(docs).groupBy("quality").count().collect()}
     all_ = {r[0]: r[1] for r in docs.groupBy("quality").count().collect()}
     assert got[1] >= 0.97 * all_[1] and got.get(0, 0) <= 0.1 * all_[0]
+
+
+@pytest.mark.parametrize("keep", [0.0, 0.8])
+def test_mixing_rakes_few_cells_in_one_job(spark, monkeypatch, keep):
+    """The fold over arrays gives the weights of the rounds with windows, and writes two tables, not one a round."""
+    rnd, rows = random.Random(4), []
+    for a in (None, "", "b", "c", "d"):
+        for b in (None, "x", "y", "z"):
+            rows += [(a, b, c, float(rnd.choice([0, 3, 50, 700, 9000]))) for c in ("note", "list", "book") if rnd.random() < 0.8]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens double")
+    targets = mixing.within(cells, mixing.tempered(cells, 0.7), keep) if keep else mixing.tempered(cells, 0.7)
+    made, write = [], mixing.written
+    monkeypatch.setattr(mixing, "written", lambda df, name: made.append(name) or write(df, name))
+    key = lambda r: (r["source"] or "-" + str(r["source"]), r["lang"] or "-", r["topic"])
+    got = {key(r): r["weight"] for r in mixing.rake(cells, targets, keep, strict=False).collect()}
+    assert len(made) == 2
+    monkeypatch.setattr(mixing, "FOLDED", 0)
+    want = {key(r): r["weight"] for r in mixing.rake(cells, targets, keep, strict=False).collect()}
+    assert len(got) == len(rows) and got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) <= 1e-6 * (1 + want[k]) for k in want)
