@@ -10,7 +10,7 @@ are made a group at a time for all queries that it can matter to, as one product
 
 Vectors and queries travel in blocks of bounded size: every query block meets every vector block,
 spread over cells.  A cell has up to CELL blocks of vectors, and a query block is copied once a cell,
-as components only.  The pivots (N_PIVOTS vectors) and three totals are all that the driver sees.
+as components only.  The pivots (N_PIVOTS vectors) and seven totals are all that the driver sees.
 
 Defined cases: components so large that a product could leave 64 bits raise a ValueError before the
 search; a null vector and one with a null or non-finite component take no part; shorter
