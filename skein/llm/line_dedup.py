@@ -10,9 +10,9 @@ Edits: a line is cut into one block more than its band allows edits, as wide as
 line allows, the first ones counted from its start and the last ones from its end.  Of two near lines
 some block i has none of the t edits, at most i - 1 edits before and at most t + 1 - i behind it (the
 multi-match bounds of partition-based similarity joins), so it is shifted by at most the smaller of
-the two.  A block gives a segment, shorter by that shift, at its start and probes further in; with the
-block whole, one of the lines has the other's segment among its probes.  Their number grows with the
-square of t, so bands from LONG on take strings of block - step + 1 characters instead: a block has
+the two.  A block gives segments, shorter by that shift, at its first places and probes further in, a stride
+apart; with the block whole, one of the lines has one of the other's segments among its probes.  Their number
+still grows faster than t, so bands from LONG on take strings of block - step + 1 characters instead: a block has
 those at its first step places, and the line has one at each step-th place, so a block that is whole
 holds one of the other line's.  Segments are keyed by band, number and hash; a line that a band's
 edits can bring in from above takes the band below as well.  Keys that only one line has fall out
@@ -32,6 +32,8 @@ table gives an empty table; all columns of the input are kept.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -41,6 +43,8 @@ from .common import bit_table, has_bit, once, packed, written
 THRESHOLD, MIN_CHARS = 2, 20
 #: Characters of a band's lower end for each edit allowed, and the band from which on strings have no numbers.
 SHARE, LONG = 50, 2048
+#: Characters that a segment keeps where it stands at several places to save probes.
+WIDE = 16
 #: Probes of a long line that one row makes.
 PIECE = 64
 #: Comparisons of one key that one task makes; keys with more are dealt over several.
@@ -49,8 +53,12 @@ TOGETHER = 2_000_000
 TRIES = 4
 #: Pairs of lines from which on a key is a frequent one, and frequent keys that a line carries.
 OFTEN, CARRIED = 10_000, 16
-#: Characters whose counts are compared before a distance is computed, a rare one or none beside a frequent one; sixteen counts to a long.
-_COUNTED = ("ez", "tq", "ax", "oj", "ik", "nv", "sb", "rw", "hp", "dy", "lf", "um", "gc", " ", ".", ",")
+#: Characters whose counts are compared before a distance is computed, a rare one or none beside a frequent one; fifteen counts to a long.
+_COUNTED = ("ez", "tq", "ax", "oj", "ik", "nv", "sb", "rw", "hp", "dy", "lf", "um", "gc", " ", ".,")
+#: A one and a seven in each four bits of a long.
+_ONES, _SEVENS = 0x111111111111111, 0x777777777777777
+#: Characters of the parts that long lines are compared by, and of what has to be equal where they are cut.
+PART, ANCHOR = 128, 24
 #: Cells of bands of edit distances that a task fills.
 WORK = 30_000_000
 
@@ -89,32 +97,41 @@ def _keyed(lines: DataFrame, threshold: int) -> DataFrame:
     df = df.withColumn("probes", once(F.coalesce(F.floor((n - size) / step).cast("int") + 1, F.lit(0))))
     df = df.select("*", F.explode(F.sequence(F.lit(1), t + 1 + F.ceil(F.col("probes") / PIECE).cast("int"))).alias("i"))
     before, behind, piece = i - 1, t + 1 - i, i - t - 2
-    shift = F.least(before, behind)
+    shift, stride = F.least(before, behind), F.col("stride")
     short = step.isNull()
+    # the segment stands at the first `stride` places and at each stride-th one from there to the shift: two of them are as far apart as any shift up to it
+    roots = F.array(*(F.lit(max(1, math.isqrt(k))) for k in range(LONG // SHARE)))
+    df = df.withColumn("stride", once(F.when(short & (block - shift >= WIDE), F.coalesce(F.get(roots, shift), F.lit(1))).otherwise(1)))
+    df = df.withColumn("jumps", once(F.floor((shift + stride - 1) / stride).cast("int")))
+    jumps = F.col("jumps")
     begin = F.when(short & (before > behind), n - block * (behind + 1)).when(i <= t + 1, block * before).otherwise(piece * step * PIECE)
-    last = F.when(short, shift).when(i <= t + 1, step - 1).otherwise(F.least(F.col("probes") - piece * PIECE, F.lit(PIECE)) - 1)
-    width = F.when(short, F.greatest(block - shift, F.lit(0))).otherwise(size)
-    n_own = F.when(i > t + 1, 0).when(short, 1).otherwise(step)
-    cut = df.select("id", "band", "wide", (4 * begin + 1).alias("begin"), (4 * width).alias("width"), F.when(i <= t + 1, 4).otherwise(4 * step).alias("stride"),
-        F.when(short, i).otherwise(0).alias("number"), n_own.alias("n_own"), F.explode(F.sequence(F.lit(0), last)).alias("off"))
-    segment = F.substring("wide", F.col("begin") + F.col("off") * F.col("stride"), F.col("width"))
+    last = F.when(short, stride + jumps - 1).when(i <= t + 1, step - 1).otherwise(F.least(F.col("probes") - piece * PIECE, F.lit(PIECE)) - 1)
+    width = F.when(short, F.greatest(block - jumps * stride, F.lit(0))).otherwise(size)
+    n_own = F.when(i > t + 1, 0).when(short, stride).otherwise(step)
+    cut = df.select("id", "band", "wide", (4 * begin + 1).alias("begin"), (4 * width).alias("width"), F.when(short, 4 * stride).when(i <= t + 1, 4).otherwise(4 * step).alias("stride"),
+        F.when(short, i).otherwise(0).alias("number"), n_own.alias("n_own"), short.alias("short"), F.explode(F.sequence(F.lit(0), last)).alias("off"))
+    off, stride = F.col("off"), F.col("stride")
+    at = F.when(~F.col("short"), off * stride).when(off < F.col("n_own"), 4 * off).otherwise((off - F.col("n_own") + 1) * stride)
+    segment = F.substring("wide", F.col("begin") + at, F.col("width"))
     return cut.select("id", F.xxhash64("band", "number", segment).alias("key"), (2 * band + (F.col("off") < F.col("n_own")).cast("int")).alias("mark"))
 
 
 def _counts(part: Column) -> Column:
-    """How often part of a line has the characters of _COUNTED."""
-    gone = lambda chars: F.replace(part if len(chars) == 1 else F.replace(part, F.lit(chars[1]), F.lit("")), F.lit(chars[0]), F.lit(""))
-    return once(F.array(*(F.octet_length(part) - F.octet_length(gone(chars)) for chars in _COUNTED)))
+    """How often part of a line has the characters of each class of _COUNTED, modulo 8 and four bits to a class."""
+    classes = {ord(char): k for k, chars in enumerate(_COUNTED) for char in chars}
+    ones = F.array(*(F.lit(1 << 4 * classes[c] if c in classes else 0).cast("long") for c in range(128)))
+    one = lambda char: F.get(ones, F.ascii(char).bitwiseAND(F.lit(127)))
+    return once(F.aggregate(F.split(part, ""), F.lit(0).cast("long"), lambda sums, char: (sums + one(char)).bitwiseAND(F.lit(_SEVENS))))
 
 
-def _ringed(*counts: str) -> Column:
-    """The sums of counts modulo 8 in one long; four bits stand for a sum so that two differ in as many bits as they are apart, going round."""
-    ring = F.array(*(F.lit((1 << r) - 1 if r <= 4 else 15 - ((1 << (r - 4)) - 1)).cast("long") for r in range(8)))
-    word = F.lit(0).cast("long")
-    for k in range(len(_COUNTED)):
-        total = sum((F.get(F.col(c), F.lit(k)) for c in counts[1:]), F.get(F.col(counts[0]), F.lit(k)))
-        word = word.bitwiseOR(F.shiftleft(F.get(ring, total % 8), 4 * k))
-    return word
+def _ringed(counts: Column) -> Column:
+    """counts of four bits, modulo 8, as strings of four bits of which two differ in as many bits as the counts are apart, going round."""
+    counts = counts.bitwiseAND(F.lit(_SEVENS))
+    bit = lambda k: F.shiftrightunsigned(counts, k).bitwiseAND(F.lit(_ONES))
+    four, two, one = bit(2), bit(1), bit(0)
+    # from 4 to 7, from 3 to 6, from 2 to 5 and from 1 to 4
+    above = (four, four.bitwiseXOR(two.bitwiseAND(one)), four.bitwiseXOR(two), four.bitwiseXOR(two.bitwiseOR(one)))
+    return sum((F.shiftleft(part, 3 - k) for k, part in enumerate(above[1:], 1)), F.shiftleft(above[0], 3))
 
 
 def _windows(lines: DataFrame) -> DataFrame:
@@ -126,9 +143,10 @@ def _windows(lines: DataFrame) -> DataFrame:
         "p3": F.substring("line", F.col("n") - 3 * quarter + 1, 2 * quarter),
         "p4": F.right("line", quarter),
     }
-    counted = lines.withColumns({name: once(part) for name, part in parts.items()}).withColumns({f"c{name}": _counts(F.col(name)) for name in parts})
+    counted = lines.withColumns({name: _counts(part) for name, part in parts.items()})
     kept = [c for c in lines.columns if c != "line"]
-    return counted.select(*kept, _ringed("cp1").alias("front1"), _ringed("cp1", "cp2").alias("front3"), _ringed("cp4").alias("back1"), _ringed("cp4", "cp3").alias("back3"))
+    sums = {"front1": F.col("p1"), "front3": F.col("p1") + F.col("p2"), "back1": F.col("p4"), "back3": F.col("p4") + F.col("p3")}
+    return counted.select(*kept, *(_ringed(c).alias(name) for name, c in sums.items()))
 
 
 _COLS = ("n", "most", "front1", "front3", "back1", "back3")
@@ -164,21 +182,67 @@ def _sharing(lines: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame, Da
     return near, texts.drop("bands"), _windows(parts)
 
 
-def _shared(x: str, y: str) -> Column:
-    """How many characters columns x and y begin with in common, found in steps from 2**20 down to one."""
-    x, y = F.col(x), F.col(y)
-    steps = F.array(*(F.lit(1 << k) for k in range(20, -1, -1)))
-    both = F.least(F.length(x), F.length(y))
-    same = lambda p, s: (p + s <= both) & (F.substring(x, p + 1, s) == F.substring(y, p + 1, s))
-    return F.aggregate(steps, F.lit(0), lambda p, s: F.when(same(p, s), p + s).otherwise(p))
+def _shared(x: Column, y: Column, part) -> Column:  # noqa: ANN001
+    """How many bytes x and y share, found in steps from a power of two down to one; part(c, p, s): s bytes of c after the first p that are shared."""
+    both = F.least(F.octet_length(x), F.octet_length(y))
+    size = F.least(F.length(F.bin(both)), F.lit(21))
+    steps = F.slice(F.array(*(F.lit(1 << k) for k in range(20, -1, -1))), 22 - size, size)
+    return F.aggregate(steps, F.lit(0), lambda p, s: F.when((p + s <= both) & (part(x, p, s) == part(y, p, s)), p + s).otherwise(p))
+
+
+def _inside(c: Column, place: Column) -> Column:
+    """Whether the byte at place (from 0) of UTF-8 bytes continues a character."""
+    return F.substring(c, place + 1, F.lit(1)).between(F.lit(b"\x80"), F.lit(b"\xbf"))
 
 
 def _trimmed(pairs: DataFrame) -> DataFrame:
-    """pairs with x and y from their first to their last difference, which leaves their distance as it is."""
-    rest = lambda c: once(F.reverse(F.substring(c, F.col("same") + 1, F.length(c))))
-    for _ in range(2):  # each time the rest comes back reversed, so the second time is for the end
-        pairs = pairs.withColumn("same", once(_shared("x", "y"))).withColumns({"x": rest("x"), "y": rest("y")})
-    return pairs.drop("same")
+    """pairs with x and y from their first to their last difference, which leaves their distance as it is; cuts lie between characters."""
+    x, y = F.col("_x"), F.col("_y")
+    pairs = pairs.withColumns({"_x": F.col("x").cast("binary"), "_y": F.col("y").cast("binary")})
+    pairs = pairs.withColumn("_p", once(_shared(x, y, lambda c, p, s: F.substring(c, p + 1, s))))
+    p = F.col("_p")
+    begin = F.when(~(_inside(x, p) | _inside(y, p)), p)
+    for back in (1, 2):
+        begin = begin.when(~_inside(x, p - back), p - back)
+    pairs = pairs.withColumn("_p", once(begin.otherwise(p - 3)))
+    pairs = pairs.withColumns({c: once(F.substring(c, p + 1, F.octet_length(c))) for c in ("_x", "_y")})
+    pairs = pairs.withColumn("_p", once(_shared(x, y, lambda c, p, s: F.substring(c, F.octet_length(c) - p - s + 1, s))))
+    end = F.octet_length(x) - p
+    kept = F.when((p == 0) | ~_inside(x, end), p)
+    for back in (1, 2):
+        kept = kept.when(~_inside(x, end + back), p - back)
+    pairs = pairs.withColumn("_p", once(kept.otherwise(p - 3)))
+    pairs = pairs.withColumns({n: once(F.substring(c, F.lit(1), F.octet_length(c) - p).cast("string")) for n, c in (("x", x), ("y", y))})
+    return pairs.drop("_x", "_y", "_p")
+
+
+def _near(x: Column, y: Column, t: Column) -> Column:
+    """Whether the distance of x and y is at most t.
+
+    `levenshtein` goes through the whole shorter text for each character of the longer one, though it computes
+    a band only.  So long texts are cut first, at each PART characters of x, where y has the next ANCHOR
+    characters nearly at the same place.  The sum of the parts' distances is no less than the whole distance, so up
+    to t it proves the pair near; else the whole texts decide.
+    """
+    far = 1 << 30  # what a distance over its threshold (-1) counts as
+    distance = lambda a, b, most: F.pmod(F.call_function("levenshtein", a, b, most), F.lit(far))
+    n = F.length(x)
+
+    def cut(state: Column, place: Column) -> Column:
+        i, j, total = (state.getField(c) for c in ("i", "j", "total"))
+        straight, anchor = j + place - i, F.substring(x, place + 1, F.lit(ANCHOR))
+        # lines repeat themselves, so what is nearest to the place without a shift comes first
+        low, reach = F.greatest(j, straight - ANCHOR), 3 * ANCHOR
+        at = F.when(F.substring(y, straight + 1, F.lit(ANCHOR)) == anchor, straight - low + 1).otherwise(F.instr(F.substring(y, low + 1, F.lit(reach)), anchor))
+        more = lambda at: distance(F.substring(x, i + 1, place - i), F.substring(y, j + 1, low + at - 1 - j), t - total)
+        new = lambda at: F.when(at > 0, F.struct(place.alias("i"), (low + at - 1).alias("j"), (total + more(at)).alias("total"))).otherwise(state)
+        return F.when(total > t, state).otherwise(F.get(F.transform(F.array(at), new), F.lit(0)))
+
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("total"))
+    rest = lambda state, c, k: F.substring(c, state.getField(k) + 1, F.length(c))
+    done = lambda state: F.when(state.getField("total") <= t, state.getField("total") + distance(rest(state, x, "i"), rest(state, y, "j"), t - state.getField("total")) <= t).otherwise(False)
+    proven = F.aggregate(F.sequence(F.lit(PART), n - ANCHOR, F.lit(PART)), start, cut, done)
+    return F.when((F.least(n, F.length(y)) >= LONG) & proven, True).otherwise(F.call_function("levenshtein", x, y, t) >= 0)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -190,7 +254,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     work = one.agg(F.coalesce(F.sum(F.col("n") * (1.0 + 2 * F.col("most"))), F.lit(0.0))).first()[0]
     dealt = both.select("a", "b", "x", "y", F.least("x_most", "y_most").alias("t")).repartition(1 + int(work) // WORK, "a", "b")
     # once, so that it is not moved before the pairs are dealt
-    return _trimmed(dealt).where(once(F.call_function("levenshtein", "x", "y", "t") >= 0)).select("a", "b")
+    return _trimmed(dealt).where(once(_near(F.col("x"), F.col("y"), F.col("t")))).select("a", "b")
 
 
 def _meeting(left: DataFrame, right: DataFrame, fits: Column) -> DataFrame:
@@ -248,13 +312,14 @@ def late_lines(docs: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD, m
 
 def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """(d, th, gone array<int>): for each document the places, from 0, of the lines to remove."""
+    place = F.col("d").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("pos").cast("decimal(10,0)")
     places = _lines(docs, 1).select("d", "th", "pos", F.xxhash64("line").alias("id"), F.xxhash64("line", F.lit(1)).alias("check"))
+    places = written(places, "line-places").withColumn("place", place)
     # of lines that share a 64-bit hash the check tells which is which; links need the earliest of a hash only
-    firsts = places.groupBy("id", "check").agg(F.min(F.struct("d", "pos")).alias("first"), F.count("*").alias("n"))
-    firsts = written(firsts.select("id", "check", "first", "n"), "first-lines")
+    firsts = written(places.groupBy("id", "check").agg(F.min("place").alias("first"), F.count("*").alias("n")), "first-lines")
     late = written(late_lines(docs, firsts.select("id", "first"), threshold, min_chars), "late-lines").withColumn("late", F.lit(True))
-    suspects = firsts.join(late, "id", "left").where("late or n > 1")
-    gone = places.join(suspects, ["id", "check"]).where(F.col("late") | (F.struct("d", "pos") > F.col("first")))
+    suspects = written(firsts.join(late, "id", "left").where("late or n > 1").select("id", "check", "first", "late"), "suspects")
+    gone = has_bit(places, "id", bit_table(suspects, "id")).where("maybe").join(suspects, ["id", "check"]).where(F.col("late") | (F.col("place") > F.col("first")))
     return gone.groupBy("d", "th").agg(F.collect_set("pos").alias("gone"))
 
 
