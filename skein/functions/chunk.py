@@ -79,6 +79,6 @@ def source_chunks(content: Column, target: int = 4000, cap: int = 6000, repeat:
 
     def long(text: Column) -> Column:
         headed = F.flatten(F.transform(sections(text, repeat), lambda s: F.when(F.length(s) > cap, section_chunks(s, cap)).otherwise(F.array(s))))
-        return pack(F.when(text.rlike(rf"(?md)^#{{1,6}}{WS}+.*$"), headed).otherwise(section_chunks(text, cap)), "\n\n", target)
+        return pack(F.when(text.contains("#") & text.rlike(rf"(?md)^#{{1,6}}{WS}+.*$"), headed).otherwise(section_chunks(text, cap)), "\n\n", target)
 
     return let(strip(content), lambda text: F.when(F.length(text) <= cap, F.array(text)).otherwise(long(text)))

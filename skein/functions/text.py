@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # Patterns of the note format.
 WS = r"[\s\x1c-\x1f\x85\p{Z}]"
+#: The characters that WS stands for, one by one: trimming by them reads the ends of a text only, where a pattern would be tried at each of its places.
+SPACES = "\t\n\x0b\f\r \x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 NOT_WORD = r"[^\p{L}\p{N}_\s\x1c-\x1f\x85\p{Z}-]"
 LINK = r"\[\[([^\]]+)\]\]"
 TAG_LINE = r"(?md)^Tags:(.*)$"
@@ -19,11 +21,11 @@ LIST_STARTS = ("- ", "* ", "1. ", "2. ", "3. ", "[ ]", "[x]")
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A{WS}+|{WS}+\z", "")
+    return F.trim(c, F.lit(SPACES))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"{WS}+\z", "")
+    return F.rtrim(c, F.lit(SPACES))
 
 
 def sanitize(title: Column) -> Column:
@@ -99,7 +101,10 @@ def _lines(content: Column) -> Column:
 def is_processed(content: Column) -> Column:
     """A status line that says #processed as a word, or a last line that is #processed."""
     status = F.regexp_extract(content, STATUS_LINE, 1).rlike(rf"(^|{WS})#processed({WS}|\z)")
-    return status | F.coalesce(F.try_element_at(_lines(content), F.lit(-1)) == "#processed", F.lit(False))
+    last = F.coalesce(F.try_element_at(_lines(content), F.lit(-1)) == "#processed", F.lit(False))
+    # lines are read only of texts that have the word
+    word = content.contains("#processed")
+    return F.when(word, status | last).otherwise(word)
 
 
 def mark_processed(content: Column) -> Column:
@@ -112,7 +117,6 @@ def is_non_extractable(content: Column) -> Column:
     """At least two keywords, or at least 0.6 of the lines start as list items."""
     low = F.lower(content)
     hits = sum((low.contains(k).cast("int") for k in KEYWORDS), F.lit(0))
-    lines = _lines(content)
 
     def starts(line):
         out = F.lit(False)
@@ -120,7 +124,8 @@ def is_non_extractable(content: Column) -> Column:
             out = out | line.startswith(s)
         return out
 
-    return (hits >= 2) | ((F.size(lines) > 0) & (F.size(F.filter(lines, starts)) >= F.size(lines) * 0.6))
+    listed = F.transform(F.array(_lines(content)), lambda lines: (F.size(lines) > 0) & (F.size(F.filter(lines, starts)) >= F.size(lines) * 0.6))
+    return F.when(hits >= 2, F.lit(True)).otherwise(F.get(listed, F.lit(0)))
 
 
 def content_hash(content: Column) -> Column:

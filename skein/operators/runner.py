@@ -66,28 +66,44 @@ def answers(prompts: Iterator[tuple], call: Callable[[str], str], in_flight: int
     """(key, raw, status, error) for (key, prompt) in their order, with at most in_flight requests that are waited for at a time.
 
     A request that takes longer than timeout, retries included, gets the status provider_error; its thread
-    is left behind and ends with the worker.
+    is left behind and ends with the worker, and another one takes its place.  Threads serve many requests.
     """
     waiting: deque = deque()
+    asked: queue.SimpleQueue = queue.SimpleQueue()
+    threads = 0
 
-    def started(prompt: str) -> tuple[queue.SimpleQueue, float]:
-        out: queue.SimpleQueue = queue.SimpleQueue()
-        threading.Thread(target=lambda: out.put(_ask(call, prompt, retries, delay)), daemon=True).start()
-        return out, time.monotonic() + timeout
+    def serve() -> None:
+        while (job := asked.get()) is not None:
+            prompt, out = job
+            out.put(_ask(call, prompt, retries, delay))
+
+    def start() -> None:
+        nonlocal threads
+        threads += 1
+        threading.Thread(target=serve, daemon=True).start()
 
     def finished() -> tuple:
-        key, (out, end) = waiting.popleft()
+        key, out, end = waiting.popleft()
         try:
             return key, *out.get(timeout=max(0.0, end - time.monotonic()))
         except queue.Empty:
+            start()
             return key, None, "provider_error", f"no answer within {timeout:g} s"
 
-    for key, prompt in prompts:
-        if len(waiting) >= in_flight:
+    try:
+        for key, prompt in prompts:
+            if len(waiting) >= in_flight:
+                yield finished()
+            if threads < in_flight:
+                start()
+            out: queue.SimpleQueue = queue.SimpleQueue()
+            waiting.append((key, out, time.monotonic() + timeout))
+            asked.put((prompt, out))
+        while waiting:
             yield finished()
-        waiting.append((key, started(prompt)))
-    while waiting:
-        yield finished()
+    finally:
+        for _ in range(threads):
+            asked.put(None)
 
 
 def extractor(provider: str, model: str | None = None, in_flight: int = 8, timeout: float = 120.0, retries: int = 2, delay: float = 0.5, prompt: str = PROMPT, **options) -> Callable[[DataFrame], DataFrame]:

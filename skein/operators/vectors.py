@@ -309,6 +309,33 @@ def first_come(items: DataFrame, conflicts: DataFrame) -> DataFrame:
     return items.join(dropped.distinct().withColumn("_gone", F.lit(True)), "id", "left").select("id", F.col("_gone").isNull().alias("kept"))
 
 
+def first_come_named(items: DataFrame, threshold: float) -> DataFrame:
+    """(id, kept) for items (id, name, v): in turn each is kept unless an earlier kept one has its name, or a vector within threshold (a squared length).
+
+    The result of first_come over all such pairs, without making them.  Rows of one name and one vector
+    meet the same rows, so only the first of them can be kept.  Those of one name, or one vector, are told
+    by their least id; only different vectors within threshold become pairs.  Null vectors have a name only.
+    """
+    rows = kept(items.select("id", "name", "v"), "candidates")
+    firsts = kept(rows.groupBy("name", "v").agg(F.min("id").alias("id")), "firsts")
+    points = kept(firsts.where("v is not null").groupBy("v").agg(F.min("id").alias("point")), "points")
+    alone = points.select(F.col("point").alias("id"), "v")
+    near = kept(near_pairs(alone, alone, None, threshold).where("id != query_id").select(F.col("query_id").alias("point"), F.col("id").alias("other")), "near")
+    left, first = kept(firsts.join(points, "v", "left").select("id", "name", "point"), "left"), None
+    while not left.isEmpty():
+        of_name, of_point = left.groupBy("name").agg(F.min("id").alias("of_name")), left.groupBy("point").agg(F.min("id").alias("of_point"))
+        of_near = near.join(of_point.withColumnRenamed("point", "other"), "other").groupBy("point").agg(F.min("of_point").alias("of_near"))
+        both = left.join(of_name, "name").join(of_point, "point", "left").join(of_near, "point", "left")
+        # nulls stand for no such rows
+        now = kept(both.where("id = of_name and (of_point is null or id = of_point) and (of_near is null or id < of_near)").select("id", "name", "point"), "first")
+        first = now.select("id") if first is None else first.union(now.select("id"))
+        met = now.select("point").union(near.join(now.select("point"), "point").select(F.col("other").alias("point"))).distinct()
+        left = kept(left.join(now.select("name"), "name", "left_anti").join(met, "point", "left_anti").select("id", "name", "point"), "left")
+    if first is None:
+        return rows.select("id", F.lit(True).alias("kept"))
+    return rows.select("id").join(first.withColumn("_first", F.lit(True)), "id", "left").select("id", F.col("_first").isNotNull().alias("kept"))
+
+
 def title_dedupe(concepts: DataFrame, group: str, title: str, *order: str) -> DataFrame:
     """The first row of each normalized title in a group."""
     df = concepts.withColumn("_t", T.normalize_id(F.col(title)))

@@ -285,3 +285,58 @@ def test_process_query_against_one_by_one(spark):
                 kept.append((title, v))
     got = {(r["source_id"], r["title"]): r["reason"] for r in plans.process_concepts(spark, sf).collect()}
     assert got == want and 3 < len(kept) < len(want)
+
+
+def test_first_come_named_is_the_greedy_result(spark):
+    import random
+
+    rnd = random.Random(9)
+    items = [(i, rnd.choice("abcdefgh"), rnd.choice([None, [0.0, 0.0], [float(rnd.randrange(6)), float(rnd.randrange(6))]])) for i in range(150)]
+    kept = []
+    for _, name, v in items:
+        if not any(name == n or v and w and sum((x - y) ** 2 for x, y in zip(v, w)) <= 1.0 for n, w in kept):
+            kept.append((name, v))
+    done = vectors.first_come_named(spark.createDataFrame(items, "id long, name string, v array<double>").repartition(3), 1.0).collect()
+    assert len(done) == 150 and [items[r["id"]][1:] for r in sorted(done) if r["kept"]] == kept and len(kept) > 3
+    assert vectors.first_come_named(spark.createDataFrame([], "id long, name string, v array<double>"), 1.0).count() == 0
+
+
+def test_copies_of_concepts_make_no_pairs(spark, monkeypatch):
+    """Sixty concepts of one name, or one content, are told by the earliest one: no table has a row for each two of them."""
+    sizes, write = [], vectors.kept
+    monkeypatch.setattr(vectors, "kept", lambda df, name: (out := write(df, name), sizes.append(out.count()))[0])
+    sources = [(f"s{i:03d}", f"word{i % 3} and some more words") for i in range(60)]
+    done = run(spark, sources, {"word0": [concept("Same", "alpha " * 3)], "word1": [concept("Same", "beta beta " * 9)], "word2": [concept("Other", "alpha " * 3)]})
+    assert {r["source_id"] for r in done.concepts.where("reason is null").collect()} == {"s000"} and done.concepts.count() == 60
+    assert max(sizes) <= 60
+
+
+def test_trimming_takes_the_characters_of_the_pattern(spark):
+    c = F.col("c")
+    codes = spark.range(1, 0x10000).where("id not between 55296 and 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE").alias("c"))
+    off = codes.where((T.strip(F.concat(c, F.lit("x"), c)) == "x") != c.rlike(rf"\A{T.WS}\z"))
+    assert [r["c"] for r in off.collect()] == [] and codes.where(T.rstrip(F.concat(c, c)) == "").count() == len(T.SPACES)
+
+
+def test_a_processed_mark_is_a_word_or_the_last_line(spark):
+    rows = [("Status: #processed\nx", True), ("x\n\n #processed \n\n", True), ("#processed\nx", False), ("Status: #processedx", False), ("x", False), ("", False), (None, None)]
+    df = spark.createDataFrame(rows, "c string, want boolean")
+    assert df.where(~T.is_processed(F.col("c")).eqNullSafe(F.col("want"))).count() == 0
+
+
+def test_requests_share_threads_and_a_stuck_one_is_replaced():
+    import threading
+    import time
+
+    from skein.operators import runner
+
+    used = set()
+
+    def call(prompt):
+        used.add(threading.get_ident())
+        if prompt in ("0", "1"):
+            time.sleep(1.5)
+        return prompt
+
+    done = list(runner.answers(((i, str(i)) for i in range(50)), call, 2, 0.4, 0, 0.0))
+    assert [d[2] for d in done] == ["provider_error"] * 2 + ["ok"] * 48 and [d[0] for d in done] == list(range(50)) and len(used) == 4
