@@ -8,6 +8,10 @@ through one task and a bundle that holds a third of all rows is spread like any
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +32,9 @@ def reach_all(notes: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
 
     A note's order in its degree is that of the least (order of parent, place of link), level by level.
     """
-    targets = N.last_files(notes)
-    edges = N.links(targets, "tag").select("note_id", "pos", "target")
+    # of a note only its links and its id are dealt out, not its text
+    targets = kept(N.last_files(notes.select("stem", T.tag_links(F.col("content")).alias("tags"))).select("note_id", "tags"), "tags")
+    edges = targets.select("note_id", F.posexplode("tags").alias("pos", "raw")).select("note_id", "pos", T.normalize_id(F.col("raw")).alias("target"))
     edges = edges.join(targets.select(F.col("note_id").alias("target")), "target", "left_semi")
     if depth > 1:
         edges = kept(edges, "edges")
@@ -86,12 +91,17 @@ def all_source_seeds(notes: DataFrame, sources: DataFrame, similar: DataFrame |
     return seeds, counts.fillna(0).select("bundle", "source_notes", F.lit(0).cast("long").alias("direct_tags"), "direct_similar_notes")
 
 
-def all_bundle_rows(notes: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """(bundle, degree, ord, note_id, rendered, content): rendered tells whether a file has the id as its name."""
+def all_listed(notes: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """(bundle, degree, ord, note_id): the seeds at degree 0, and what is reached from them."""
     reached = reach_all(notes, seeds, depth).select("bundle", "note_id", "degree", "ord")
     degrees = seeds.select("bundle", "note_id", F.lit(0).alias("degree"), F.col("ord").cast("long").alias("ord")).unionByName(reached)
+    return degrees.select("bundle", "degree", "ord", "note_id")
+
+
+def all_bundle_rows(notes: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """(bundle, degree, ord, note_id, rendered, content): rendered tells whether a file has the id as its name."""
     files = notes.select(F.col("stem").alias("note_id"), T.rstrip(F.col("content")).alias("content"))
-    return degrees.join(files, "note_id", "left").select("bundle", "degree", "ord", "note_id", F.col("content").isNotNull().alias("rendered"), "content")
+    return all_listed(notes, seeds, depth).join(files, "note_id", "left").select("bundle", "degree", "ord", "note_id", F.col("content").isNotNull().alias("rendered"), "content")
 
 
 def metadata(rows: DataFrame, counts: DataFrame) -> DataFrame:
@@ -100,37 +110,80 @@ def metadata(rows: DataFrame, counts: DataFrame) -> DataFrame:
     return counts.join(seen, "bundle", "left").fillna(0, ["traversed_notes", "total_notes", "max_depth"]).select("bundle", *(c for c, _ in COUNTS))
 
 
-def texts(rows: DataFrame, described: DataFrame, at: str) -> DataFrame:
-    """(bundle, content): each bundle as one markdown text, which one row holds; described has (bundle, title, source, source_text) and the columns of metadata; at is the time that it shows."""
-    part = F.when(F.col("rendered"), F.concat(F.lit(NOTE), F.col("note_id"), F.lit("\n\n"), F.col("content"), F.lit("\n\n"))).otherwise("")
-    by = rows.select("bundle", "degree", "ord", part.alias("part")).groupBy("bundle", "degree").agg(F.array_sort(F.collect_list(F.struct("ord", "part"))).alias("p"))
-    by = by.select("bundle", "degree", F.concat(F.lit(DEGREE), F.col("degree").cast("string"), F.lit("\n\n"), F.array_join(F.col("p.part"), "")).alias("text"))
-    body = by.groupBy("bundle").agg(F.array_sort(F.collect_list(F.struct("degree", "text"))).alias("d"))
-    line = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts), F.lit("\n"))
+def parts(notes: DataFrame, listed: DataFrame, described: DataFrame, at: str) -> DataFrame:
+    """(bundle, degree, ord, part): bundles as pieces of markdown in the order of degree and ord, so that no row holds a whole bundle.
+
+    listed has the rows of all_listed, described (bundle, title, source, source_text) and the columns of metadata; at is the time that it shows.
+    """
+    line = lambda *xs: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in xs), F.lit("\n"))
     source = F.when(F.col("source_text").isNotNull(), F.concat(F.lit(f"{SOURCE_TEXT}\n\n"), F.col("source_text"), F.lit("\n\n"))).otherwise("")
     head = F.concat(line(TITLE, F.col("title")), line(GENERATED, at), F.lit("\n"), source, F.lit(f"{CONNECTED}\n\n"))
     tail = F.concat(F.lit(f"{METADATA}\n\n"), line(SOURCE, "[[", F.col("source"), "]]"), *(line(f"{shown}: ", F.col(c)) for c, shown in COUNTS))
-    return described.join(body, "bundle", "left").select("bundle", F.concat(head, F.coalesce(F.array_join(F.col("d.text"), ""), F.lit("")), tail).alias("content"))
+    first, last = F.lit(-1).cast("long"), F.lit(2**31 - 1)
+    degrees = listed.select("bundle", "degree").distinct().select("bundle", "degree", first.alias("ord"), line(DEGREE, F.col("degree"), "\n").alias("part"))
+    files = notes.select(F.col("stem").alias("note_id"), T.rstrip(F.col("content")).alias("content")).where("content is not null")
+    shown = listed.join(files, "note_id").select("bundle", "degree", "ord", F.concat(F.lit(NOTE), F.col("note_id"), F.lit("\n\n"), F.col("content"), F.lit("\n\n")).alias("part"))
+    ends = described.select("bundle", F.lit(-1).alias("degree"), first.alias("ord"), head.alias("part")).unionByName(described.select("bundle", last.alias("degree"), first.alias("ord"), tail.alias("part")))
+    return ends.unionByName(degrees).unionByName(shown)
+
+
+def texts(pieces: DataFrame) -> DataFrame:
+    """(bundle, content): each bundle of pieces (see parts) as one text, which one row holds; for bundles that a row can't hold there are the pieces and their digests."""
+    made = pieces.groupBy("bundle").agg(F.array_sort(F.collect_list(F.struct("degree", "ord", "part"))).alias("p"))
+    return made.select("bundle", F.array_join(F.col("p.part"), "").alias("content"))
+
+
+def digests(pieces: DataFrame) -> DataFrame:
+    """(bundle, n_chars, content_hash): length and SHA-256 of each bundle of pieces (see parts), of any size: its pieces pass by in their order and are not held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, n, digest = None, 0, None
+        done = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.string()), pa.array([n], pa.int64()), pa.array([digest.hexdigest()])], names=["bundle", "n_chars", "content_hash"])
+        for batch in batches:
+            for bundle, part in zip(batch.column("bundle"), batch.column("part")):
+                bundle, part = bundle.as_py(), part.as_py()
+                if digest is None or bundle != now:
+                    if digest is not None:
+                        yield done()
+                    now, n, digest = bundle, 0, hashlib.sha256()
+                n += len(part)
+                digest.update(part.encode())
+        if digest is not None:
+            yield done()
+
+    placed = pieces.select("bundle", "degree", "ord", "part").repartition("bundle").sortWithinPartitions("bundle", "degree", "ord", "part")
+    return placed.select("bundle", "part").mapInArrow(run, "bundle string, n_chars long, content_hash string")
+
+
+def _rendered(notes: DataFrame, listed: DataFrame) -> DataFrame:
+    """listed with rendered, as all_bundle_rows has it, without contents."""
+    files = notes.where("content is not null").select(F.col("stem").alias("note_id"), F.lit(True).alias("rendered"))
+    return listed.join(files, "note_id", "left").select("bundle", "degree", "ord", "note_id", F.col("rendered").isNotNull().alias("rendered"))
 
 
 def note_bundles(notes: DataFrame, wanted: DataFrame, depth: int, at: str) -> DataFrame:
     """(bundle, content): bundles around the notes whose ids are in wanted (bundle); ids without a note have none."""
     seeds, counts = all_note_seeds(notes, wanted)
-    rows = kept(all_bundle_rows(notes, seeds, depth), "bundle-rows")
-    described = metadata(rows, counts).select("*", F.col("bundle").alias("title"), F.col("bundle").alias("source"), F.lit(None).cast("string").alias("source_text"))
-    return texts(rows, described, at)
+    listed = kept(all_listed(notes, seeds, depth), "listed")
+    described = metadata(_rendered(notes, listed), counts).select("*", F.col("bundle").alias("title"), F.col("bundle").alias("source"), F.lit(None).cast("string").alias("source_text"))
+    return texts(parts(notes, listed, described, at))
 
 
-def source_bundles(notes: DataFrame, sources: DataFrame, index: DataFrame, depth: int, at: str, k: int = 10, max_distance: float = 0.5, embed=vectors.keyword_embedding) -> DataFrame:
-    """(bundle, content): bundles around sources (source_id, content), with the notes that refer to them and the k nearest entries of index (note_id, embedding)."""
+def source_parts(notes: DataFrame, sources: DataFrame, index: DataFrame, depth: int, at: str, k: int = 10, max_distance: float = 0.5, embed=vectors.keyword_embedding) -> DataFrame:
+    """(bundle, degree, ord, part): the pieces (see parts) of bundles around sources (source_id, content), with the notes that refer to them and the k nearest entries of index (note_id, embedding)."""
     asked = sources.select(F.col("source_id").alias("id"), embed(F.col("content")).alias("v"))
     near = vectors.find_similar(index.select(F.col("note_id").alias("id"), F.col("embedding").alias("v")), asked, k, max_distance)
     similar = kept(near.select(F.col("query_id").alias("bundle"), "rank", F.col("id").alias("note_id")), "similar")
     seeds, counts = all_source_seeds(notes, sources.select(F.col("source_id").alias("bundle")), similar)
-    rows = kept(all_bundle_rows(notes, seeds, depth), "bundle-rows")
+    listed = kept(all_listed(notes, seeds, depth), "listed")
     text = sources.select(F.col("source_id").alias("bundle"), F.col("content").alias("source_text"))
-    described = metadata(rows, counts).join(text, "bundle").select("*", F.col("bundle").alias("title"), F.col("bundle").alias("source"))
-    return texts(rows, described, at)
+    described = metadata(_rendered(notes, listed), counts).join(text, "bundle").select("*", F.col("bundle").alias("title"), F.col("bundle").alias("source"))
+    return parts(notes, listed, described, at)
+
+
+def source_bundles(notes: DataFrame, sources: DataFrame, index: DataFrame, depth: int, at: str, k: int = 10, max_distance: float = 0.5, embed=vectors.keyword_embedding) -> DataFrame:
+    """(bundle, content): the bundles of source_parts as texts."""
+    return texts(source_parts(notes, sources, index, depth, at, k, max_distance, embed))
 
 
 def stamped_name(title: Column, at: Column) -> Column:

@@ -219,11 +219,11 @@ def bundle_metadata(spark, sf_dir):
 
 def source_bundles(spark, sf_dir):
     """Digests of the bundles of all sources, made at once, each with the notes that are near to its first text."""
-    v = kept(vault(spark, sf_dir), "vault")
-    first = v.groupBy("source").agg(F.min_by("text", "doc_id").alias("content")).select(F.col("source").alias("source_id"), "content")
-    index = notes.entries(v).select("note_id", vectors.keyword_embedding(F.col("document")).alias("embedding"))
-    made = graph.source_bundles(v, first, index, 1, "2025-01-01 00:00", 4, 60.0)
-    return made.select(F.col("bundle").alias("source"), F.length("content").cast("long").alias("n_chars"), T.content_hash(F.col("content")).alias("content_hash"))
+    v = vault(spark, sf_dir)
+    first = kept(v.groupBy("source").agg(F.min_by("text", "doc_id").alias("content")).select(F.col("source").alias("source_id"), "content"), "sources")
+    index = kept(notes.entries(v).select("note_id", vectors.keyword_embedding(F.col("document")).alias("embedding")), "index")
+    made = graph.digests(graph.source_parts(v, first, index, 1, "2025-01-01 00:00", 4, 60.0))
+    return made.select(F.col("bundle").alias("source"), "n_chars", "content_hash")
 
 
 def note_render(spark, sf_dir):

@@ -340,3 +340,26 @@ def test_requests_share_threads_and_a_stuck_one_is_replaced():
 
     done = list(runner.answers(((i, str(i)) for i in range(50)), call, 2, 0.4, 0, 0.0))
     assert [d[2] for d in done] == ["provider_error"] * 2 + ["ok"] * 48 and [d[0] for d in done] == list(range(50)) and len(used) == 4
+
+
+def test_bundles_are_digested_piece_by_piece(spark, monkeypatch):
+    """The digests are those of the texts, also where a bundle spans many Arrow batches, and the query makes no row with a whole bundle."""
+    import hashlib
+
+    from skein.plans import queries as plans
+
+    written = [(f"n{i:02d}", f"Tags: [[n{(i * 7 + 1) % 40:02d}]]\n# Nöte {i}  \n\n# References\n1. [[{'src' if i % 3 else 'other'}]]\n") for i in range(40)]
+    n = spark.createDataFrame(written, "stem string, content string").repartition(3)
+    index = vectors.rebuilt(notes.entries(n.where("stem < 'n05'")), counting)
+    sources = spark.createDataFrame([("src", "b"), ("other", "é" * 30), ("lonely", "l" * 40)], "source_id string, content string")
+    pieces = graph.source_parts(n, sources, index, 1, "now", 2, 4.0, counting)
+    texts = {r["bundle"]: r["content"] for r in graph.texts(pieces).collect()}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = {r["bundle"]: (r["n_chars"], r["content_hash"]) for r in graph.digests(pieces).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == 3 and got == {b: (len(t), hashlib.sha256(t.encode()).hexdigest()) for b, t in texts.items()}
+    monkeypatch.delattr(graph, "texts")
+    assert plans.source_bundles(spark, "/root/testdata/sf0.001").count() > 0
