@@ -32,8 +32,17 @@ def reach_all(notes: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
 
     A note's order in its degree is that of the least (order of parent, place of link), level by level.
     """
-    # of a note only its links and its id are dealt out, not its text
-    targets = kept(N.last_files(notes.select("stem", T.tag_links(F.col("content")).alias("tags"))).select("note_id", "tags"), "tags")
+    return _reached(notes.select("stem", T.tag_links(F.col("content")).alias("tags")), seeds, depth)
+
+
+def _linked(notes: DataFrame) -> DataFrame:
+    """(stem, tags, refers, rendered): what traversal reads of notes, as a written table, so that their texts are not dealt out for it."""
+    c = F.col("content")
+    return kept(notes.select("stem", T.tag_links(c).alias("tags"), T.reference_links(c).alias("refers"), c.isNotNull().alias("rendered")), "linked")
+
+
+def _reached(linked: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    targets = kept(N.last_files(linked.select("stem", "tags")).select("note_id", "tags"), "tags")
     edges = targets.select("note_id", F.posexplode("tags").alias("pos", "raw")).select("note_id", "pos", T.normalize_id(F.col("raw")).alias("target"))
     edges = edges.join(targets.select(F.col("note_id").alias("target")), "target", "left_semi")
     if depth > 1:
@@ -77,8 +86,12 @@ def all_note_seeds(notes: DataFrame, wanted: DataFrame) -> tuple[DataFrame, Data
 
 def all_source_seeds(notes: DataFrame, sources: DataFrame, similar: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Seeds and counts, as all_note_seeds, of bundles of sources (bundle): notes that refer to the source, in file order, then the similar ones (bundle, rank, note_id) not among them."""
-    spark = notes.sparkSession
-    refers = N.links(notes, "reference").select("target", "note_id", "stem").distinct()
+    return _source_seeds(notes.select("stem", T.reference_links(F.col("content")).alias("refers")), sources, similar)
+
+
+def _source_seeds(linked: DataFrame, sources: DataFrame, similar: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    spark = linked.sparkSession
+    refers = N.with_ids(linked).select("stem", "note_id", F.explode("refers").alias("raw")).select(T.normalize_id(F.col("raw")).alias("target"), "note_id", "stem").distinct()
     named = sources.select("bundle").distinct().withColumn("target", T.normalize_id(F.col("bundle")))
     own = refers.join(named, "target").select("bundle", "note_id", "stem")
     if similar is None:
@@ -93,7 +106,11 @@ def all_source_seeds(notes: DataFrame, sources: DataFrame, similar: DataFrame |
 
 def all_listed(notes: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(bundle, degree, ord, note_id): the seeds at degree 0, and what is reached from them."""
-    reached = reach_all(notes, seeds, depth).select("bundle", "note_id", "degree", "ord")
+    return _listed(notes.select("stem", T.tag_links(F.col("content")).alias("tags")), seeds, depth)
+
+
+def _listed(linked: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    reached = _reached(linked, seeds, depth).select("bundle", "note_id", "degree", "ord")
     degrees = seeds.select("bundle", "note_id", F.lit(0).alias("degree"), F.col("ord").cast("long").alias("ord")).unionByName(reached)
     return degrees.select("bundle", "degree", "ord", "note_id")
 
@@ -155,17 +172,19 @@ def digests(pieces: DataFrame) -> DataFrame:
     return placed.select("bundle", "part").mapInArrow(run, "bundle string, n_chars long, content_hash string")
 
 
-def _rendered(notes: DataFrame, listed: DataFrame) -> DataFrame:
-    """listed with rendered, as all_bundle_rows has it, without contents."""
-    files = notes.where("content is not null").select(F.col("stem").alias("note_id"), F.lit(True).alias("rendered"))
-    return listed.join(files, "note_id", "left").select("bundle", "degree", "ord", "note_id", F.col("rendered").isNotNull().alias("rendered"))
+def _described(linked: DataFrame, listed: DataFrame, counts: DataFrame) -> DataFrame:
+    """metadata of the rows of all_listed."""
+    files = linked.where("rendered").select(F.col("stem").alias("note_id"), "rendered")
+    rows = listed.join(files, "note_id", "left").select("bundle", "degree", "note_id", F.col("rendered").isNotNull().alias("rendered"))
+    return metadata(rows, counts).select("*", F.col("bundle").alias("title"), F.col("bundle").alias("source"))
 
 
 def note_bundles(notes: DataFrame, wanted: DataFrame, depth: int, at: str) -> DataFrame:
     """(bundle, content): bundles around the notes whose ids are in wanted (bundle); ids without a note have none."""
     seeds, counts = all_note_seeds(notes, wanted)
-    listed = kept(all_listed(notes, seeds, depth), "listed")
-    described = metadata(_rendered(notes, listed), counts).select("*", F.col("bundle").alias("title"), F.col("bundle").alias("source"), F.lit(None).cast("string").alias("source_text"))
+    linked, seeds = _linked(notes), kept(seeds, "seeds")
+    listed = kept(_listed(linked, seeds, depth), "listed")
+    described = kept(_described(linked, listed, counts).withColumn("source_text", F.lit(None).cast("string")), "described")
     return texts(parts(notes, listed, described, at))
 
 
@@ -174,10 +193,12 @@ def source_parts(notes: DataFrame, sources: DataFrame, index: DataFrame, depth:
     asked = sources.select(F.col("source_id").alias("id"), embed(F.col("content")).alias("v"))
     near = vectors.find_similar(index.select(F.col("note_id").alias("id"), F.col("embedding").alias("v")), asked, k, max_distance)
     similar = kept(near.select(F.col("query_id").alias("bundle"), "rank", F.col("id").alias("note_id")), "similar")
-    seeds, counts = all_source_seeds(notes, sources.select(F.col("source_id").alias("bundle")), similar)
-    listed = kept(all_listed(notes, seeds, depth), "listed")
+    linked = _linked(notes)
+    seeds, counts = _source_seeds(linked, sources.select(F.col("source_id").alias("bundle")), similar)
+    seeds = kept(seeds, "seeds")
+    listed = kept(_listed(linked, seeds, depth), "listed")
     text = sources.select(F.col("source_id").alias("bundle"), F.col("content").alias("source_text"))
-    described = metadata(_rendered(notes, listed), counts).join(text, "bundle").select("*", F.col("bundle").alias("title"), F.col("bundle").alias("source"))
+    described = kept(_described(linked, listed, counts).join(text, "bundle"), "described")
     return parts(notes, listed, described, at)
 
 
