@@ -26,6 +26,9 @@ TITLE, GENERATED, SOURCE_TEXT, CONNECTED, DEGREE, NOTE = "# Bundle: ", "Generate
 METADATA, SOURCE = "## Metadata", "Source: "
 COUNTS = (("source_notes", "Source notes"), ("direct_tags", "Direct tags"), ("direct_similar_notes", "Direct similar notes"), ("traversed_notes", "Traversed notes"), ("total_notes", "Total notes included"), ("max_depth", "Max depth"))
 
+#: Most characters of a row that digests reads.
+SLICE = 1000
+
 
 def reach_all(notes: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(bundle, note_id, degree, ord): notes within depth tag links of a bundle's seeds (bundle, note_id, ord), seeds left out.
@@ -173,7 +176,9 @@ def digests(pieces: DataFrame) -> DataFrame:
             yield done()
 
     placed = pieces.select("bundle", "degree", "ord", "part").repartition("bundle").sortWithinPartitions("bundle", "degree", "ord", "part")
-    return placed.select("bundle", "part").mapInArrow(run, "bundle string, n_chars long, content_hash string")
+    # an Arrow batch has a number of rows, however long they are: short ones keep it small
+    slices = F.transform(F.sequence(F.lit(0), F.floor(F.length("part") / SLICE).cast("int")), lambda k: F.substring("part", k * SLICE + 1, F.lit(SLICE)))
+    return placed.select("bundle", F.explode(slices).alias("part")).mapInArrow(run, "bundle string, n_chars long, content_hash string")
 
 
 def _described(linked: DataFrame, listed: DataFrame, counts: DataFrame) -> DataFrame:
